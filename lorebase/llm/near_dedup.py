@@ -11,9 +11,10 @@
    confirmed on the full shingle sets.
 4. Buckets that still touch several components are finished exactly: small ones
    compare all pairs of different components (at most `small_bucket` rows each);
-   large ones are joined to groups whose signatures meet block by block inside
-   tasks, where only surviving pairs leave. Blocks of the group's main component
-   don't meet each other, so a large group of copies stays linear.
+   large ones are joined to groups whose documents meet block by block inside tasks:
+   survivors of the signatures are confirmed there on the full sets, and only links
+   that join two components of the block leave, fewer than it has rows. Blocks of the
+   group's main component don't meet each other, so a group of copies stays linear.
 """
 
 from __future__ import annotations
@@ -198,7 +199,7 @@ def near_duplicates(
     stars = met.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     first = checkpoint(pruned(stars))
     # Only texts of classes that share a bucket are needed from here on, one for each class.
-    one = member.join(met.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("doc_id"))
+    one = member.where("cid IS NOT NULL").groupBy("cid").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("doc_id")).join(met.select("cid").distinct(), "cid", "left_semi")
 
     def check_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose text is of their class; an id may stand on several texts."""
@@ -217,8 +218,12 @@ def near_duplicates(
 
     links = confirmed(first)
     comp = components(links)
-    for extra in _unresolved(met, comp, reps, pruned, n_hashes, t, miss, small_bucket):
-        links = links.union(confirmed(extra))
+    live = _unresolved(met, comp)
+    if not live.isEmpty():
+        small, large = live.where(F.col("n") <= small_bucket), live.where(F.col("n") > small_bucket)
+        links = links.union(confirmed(pruned(_fresh_pairs(small))))
+        if not large.isEmpty():
+            links = links.union(_blocks(large, reps, texts, n_hashes, shingle, percent, miss))
         comp = components(links)
 
     own = member.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("low"))
@@ -229,25 +234,40 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
-def _unresolved(met: DataFrame, comp: DataFrame, reps: DataFrame, pruned, n_hashes: int, t: float, miss: float, small_bucket: int) -> Iterator[DataFrame]:
-    """Pairs of different components that share a bucket and survive, as none, one or two sets of links to confirm."""
+def _unresolved(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members, with their components, of buckets that touch more than one."""
     now = checkpoint(met.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
     still = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    live = checkpoint(now.join(still, "band"))
-    small, large = live.where(F.col("n") <= small_bucket), live.where(F.col("n") > small_bucket)
+    return checkpoint(now.join(still, "band"))
+
+
+def _fresh_pairs(small: DataFrame) -> DataFrame:
+    """Pairs of different components within small buckets, but for those with the leader, which have been compared."""
     x, y = small.select("band", F.col("cid").alias("a"), F.col("comp").alias("ca")), small.select("band", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-    # Pairs with a bucket's leader have been compared before.
-    fresh = x.join(y, "band").where("ca <> cb AND a < b").select("a", "b").join(small.where("cid <> leader").select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")), ["a", "b"], "left_anti").distinct()
-    pairs = pruned(fresh)
-    if not large.isEmpty():
-        pairs = pairs.union(_blocks(large, reps, n_hashes, t, miss)).distinct()
-    pairs = checkpoint(pairs)
-    if not pairs.isEmpty():
-        yield pairs
-
-
-def _blocks(large: DataFrame, reps: DataFrame, n_hashes: int, t: float, miss: float) -> DataFrame:
-    """Surviving pairs of different components among classes that large buckets hold together."""
+    stars = small.where("cid <> leader").select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b"))
+    return x.join(y, "band").where("ca <> cb AND a < b").select("a", "b").join(stars, ["a", "b"], "left_anti").distinct()
+
+
+class _Forest:
+    """Union-find over the components of one block."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _blocks(large: DataFrame, reps: DataFrame, texts: DataFrame, n_hashes: int, shingle: int, percent: int, miss: float) -> DataFrame:
+    """Links that join different components of classes that large buckets hold together."""
     group = components(large.select(F.col("leader").alias("a"), F.col("cid").alias("b"))).toDF("cid", "grp")
     inside = checkpoint(large.select("cid", "comp").distinct().join(group, "cid"))
     share = inside.groupBy("grp", "comp").agg(F.count("*").alias("size"))
@@ -256,20 +276,37 @@ def _blocks(large: DataFrame, reps: DataFrame, n_hashes: int, t: float, miss: fl
     is_main, h = F.col("comp") == F.col("main"), F.xxhash64("cid")
     block = F.when(is_main, F.pmod(h, F.col("nm"))).otherwise(F.col("nm") + F.pmod(h, F.greatest("no", F.lit(1))))
     meets = F.when(is_main, F.sequence(F.col("nm"), F.col("nm") + F.col("no") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nm") + F.col("no") - 1))
-    placed = inside.join(main, "grp").where("no > 0").select("cid", "comp", "grp", block.alias("own"), F.explode(meets).alias("other"))
-    placed = placed.select("cid", "comp", "grp", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(reps, "cid")
-
-    def meet(table: pa.Table) -> pa.Table:
-        sig, cid, comp = _signatures(table.column("sig"), n_hashes), np.asarray(table.column("cid")), np.asarray(table.column("comp"))
-        own, p, q = np.asarray(table.column("own")), table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        a, b = [], []
-        for i in left:
+    held = inside.join(reps, "cid").join(texts, "cid")
+    placed = held.join(main, "grp").where("no > 0").select("cid", "comp", "grp", "sig", "text", block.alias("own"), F.explode(meets).alias("other"))
+    placed = placed.select("cid", "comp", "grp", "sig", "text", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        sig, cid, comp = _signatures(rows.column("sig"), n_hashes), np.asarray(rows.column("cid")), np.asarray(rows.column("comp"))
+        own, p, q = np.asarray(rows.column("own")), rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        sets: list[np.ndarray] = []
+        data, offsets = text_buffer(rows.column("text"))
+        for i, j in slices(offsets):
+            sets += shingle_sets(words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), shingle)
+        size = np.array([len(x) for x in sets], np.int64)
+        right = np.flatnonzero(own == q)
+        # All shingles of the right side in order, and whose they are.
+        flat, owner = np.concatenate([sets[k] for k in right]) if len(right) else np.zeros(0, np.uint64), np.repeat(right, size[right])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        forest, a, b = _Forest(), [], []
+        for i in np.flatnonzero(own == p):
             j = right[(comp[right] != comp[i]) & ((cid[right] > cid[i]) if p == q else True)]
-            if len(j):
-                j = j[survives(sig[i][None, :], sig[j], t, miss)]
-                a += [np.minimum(cid[i], cid[j])]
-                b += [np.maximum(cid[i], cid[j])]
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+            j = j[survives(sig[i][None, :], sig[j], percent / 100, miss)] if len(j) else j
+            if not len(j):
+                continue
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(cid))[j]
+            for k in j[100 * both >= percent * (size[i] + size[j] - both)]:
+                if forest.join(int(comp[i]), int(comp[k])):
+                    a.append(cid[i])
+                    b.append(cid[k])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return placed.groupBy("grp", "p", "q").applyInArrow(meet, "a long, b long")
