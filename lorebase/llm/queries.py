@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import decontaminate
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .toxicity import toxicity
@@ -22,12 +23,16 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_toxicity_crf, op9_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_toxicity_crf, op8_winnowing_decontamination, op9_minhash_near_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
