@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .secret_scan import scan_secrets
 from .toxicity import toxicity
 
 
@@ -23,6 +24,10 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_multipart_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("text_hash", "found")
+
+
 def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,7 +37,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_toxicity_crf, op8_winnowing_decontamination, op9_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_toxicity_crf, op6_multipart_secret_scan, op8_winnowing_decontamination, op9_minhash_near_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
