@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import decontaminate
+from .html_extract import extract_main_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .secret_scan import scan_secrets
@@ -29,6 +30,10 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bilstm_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_multipart_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("text_hash", "found")
 
@@ -42,7 +47,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_balanced_label_propagation, op3_best_fit_packing, op4_toxicity_crf, op6_multipart_secret_scan, op8_winnowing_decontamination, op9_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_balanced_label_propagation, op3_best_fit_packing, op4_toxicity_crf, op5_bilstm_html_extraction, op6_multipart_secret_scan, op8_winnowing_decontamination, op9_minhash_near_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
