@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
 from .html_extract import extract_main_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_documents
 from .toxicity import toxicity
@@ -38,6 +40,10 @@ def op6_multipart_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("text_hash", "found")
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).withColumn("log_perplexity", F.round("log_perplexity", 6))
+
+
 def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +53,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_balanced_label_propagation, op3_best_fit_packing, op4_toxicity_crf, op5_bilstm_html_extraction, op6_multipart_secret_scan, op8_winnowing_decontamination, op9_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_balanced_label_propagation, op3_best_fit_packing, op4_toxicity_crf, op5_bilstm_html_extraction, op6_multipart_secret_scan, op7_kneser_ney_quality, op8_winnowing_decontamination, op9_minhash_near_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
