@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, license_scan
 from .common import table
 from .decontaminate import decontaminate
 from .html_extract import extract_main_text
@@ -22,6 +23,10 @@ def op1_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,9 +57,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sentence_rule_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_balanced_label_propagation, op3_best_fit_packing, op4_toxicity_crf, op5_bilstm_html_extraction, op6_multipart_secret_scan, op7_kneser_ney_quality, op8_winnowing_decontamination, op9_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_balanced_label_propagation, op2_perspective_rotation, op3_best_fit_packing, op4_toxicity_crf, op5_bilstm_html_extraction, op6_multipart_secret_scan, op7_kneser_ney_quality, op8_winnowing_decontamination, op9_minhash_near_dedup, op10_sentence_rule_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_perspective_rotation": chat.SQL, "op10_sentence_rule_licenses": license_scan.SQL}
