@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared folder of `spark.checkpoint.dir` and read from there.
-
-    Only where neither the session nor its context names a folder, as in tests, a
-    temporary one is used. Spark deletes the files once nothing refers to them.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: of `spark.checkpoint.dir`, or in tests, where neither the session nor its context names one, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorebase-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder and read from there. Spark deletes the files once nothing refers to them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
