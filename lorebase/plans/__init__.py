@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB twins."""
 
-from . import kb_queries, text_queries  # noqa: F401
+from . import evaluation_queries, kb_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

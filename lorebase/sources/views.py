@@ -46,7 +46,10 @@ def with_views(sql: str, *names: str) -> str:
     if not clauses:
         return sql
     rest = sql.lstrip()
-    return f"WITH {clauses},\n{rest[4:].lstrip()}" if rest.startswith("WITH") else f"WITH {clauses}\n{rest}"
+    for word in ("WITH RECURSIVE", "WITH"):
+        if rest.startswith(word):
+            return f"{word} {clauses},\n{rest[len(word) :].lstrip()}"
+    return f"WITH {clauses}\n{rest}"
 
 
 class Views:
