@@ -18,25 +18,29 @@ LONGEST_RANGE = 30
 def extract_references(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each reference: all columns but the text, pos, kind (section or part), raw, numbers, act."""
     t = F.col(text)
-    found = [F.regexp_extract_all(t, F.lit(SECTION_REF), F.lit(i)) for i in (0, 1, 2)]
-    rows = F.transform(F.arrays_zip(*(x.alias(n) for x, n in zip(found, ("raw", "numbers", "act"), strict=True))), lambda x: F.struct(F.lit("section").alias("kind"), x["raw"].alias("raw"), x["numbers"].alias("numbers"), F.nullif(x["act"], F.lit("")).alias("act")))
+    # The text is searched once; the groups are taken from the short matches.
+    group = lambda raw, i: F.regexp_extract(raw, SECTION_REF, i)
+    rows = F.transform(F.regexp_extract_all(t, F.lit(SECTION_REF), F.lit(0)), lambda raw: F.struct(F.lit("section").alias("kind"), raw.alias("raw"), group(raw, 1).alias("numbers"), F.nullif(group(raw, 2), F.lit("")).alias("act")))
     parts = F.transform(F.regexp_extract_all(t, F.lit(PART_REF), F.lit(1)), lambda x: F.struct(F.lit("part").alias("kind"), x.alias("raw"), F.lit("").alias("numbers"), F.lit(None).cast("string").alias("act")))
     others = [c for c in df.columns if c != text]
     return df.select(*others, F.posexplode(F.concat(rows, parts)).alias("pos", "r")).select(*others, "pos", "r.kind", F.substring("r.raw", 1, 200).alias("raw"), "r.numbers", "r.act")
 
 
-def expand_numbers(refs: DataFrame, numbers: str = "numbers") -> DataFrame:
-    """`no` for each number of the list; `a to b` gives the whole range if 0 < b - a < 30 and both are plain, else both ends."""
-    items = F.filter(F.split(F.col(numbers), r"(?i)\s*(?:,|and|or|&)\s*"), lambda x: x != "")
+def expanded(numbers):
+    """The numbers of a list, as an array; `a to b` gives the whole range if 0 < b - a < 30 and both are plain, else both ends."""
+    items = F.filter(F.split(numbers, r"(?i)\s*(?:,|and|or|&)\s*"), lambda x: x != "")
 
     def expand(item):
         ends = F.split(item, r"(?i)\s*to\s*")
-        lo, hi = F.try_to_number(F.get(ends, 0), F.lit("999999")), F.try_to_number(F.get(ends, 1), F.lit("999999"))
-        plain = F.get(ends, 0).rlike("^[0-9]+$") & F.get(ends, 1).rlike("^[0-9]+$") & (hi > lo) & (hi - lo < LONGEST_RANGE)
-        return F.when(plain, F.transform(F.sequence(F.get(ends, 0).cast("int"), F.when(plain, F.get(ends, 1)).otherwise(F.get(ends, 0)).cast("int")), lambda n: n.cast("string"))).otherwise(ends)
+        lo, hi = F.get(ends, 0).cast("int"), F.get(ends, 1).cast("int")
+        return F.when((hi > lo) & (hi - lo < LONGEST_RANGE), F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda n: n.cast("string"))).otherwise(ends)
+
+    return F.flatten(F.transform(items, lambda x: F.when(x.rlike(r"(?i)^[0-9]+\s*to\s*[0-9]+$"), expand(x)).otherwise(F.split(x, r"(?i)\s*to\s*"))))
 
-    whole = F.flatten(F.transform(items, lambda x: F.when(x.rlike(r"(?i)^[0-9]+\s*to\s*[0-9]+$"), expand(x)).otherwise(F.split(x, r"(?i)\s*to\s*"))))
-    return refs.withColumn("no", F.explode(whole))
+
+def expand_numbers(refs: DataFrame, numbers: str = "numbers") -> DataFrame:
+    """`no`: a row for each number of the list."""
+    return refs.withColumn("no", F.explode(expanded(F.col(numbers))))
 
 
 def resolve_titles(phrases: DataFrame, statutes: DataFrame, phrase: str = "act", most: int = 10_000) -> DataFrame:
@@ -55,15 +59,15 @@ def resolve_titles(phrases: DataFrame, statutes: DataFrame, phrase: str = "act",
 
 def resolve_references(refs: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataFrame:
     """(id, pos, no, raw, to_id, reason): edges where reason is null. `refs`: id, statute_id, pos, kind, raw, numbers, act."""
-    acts = resolve_titles(refs, statutes)
-    r = refs.join(F.broadcast(acts), refs.act == acts.phrase, "left").drop(acts.statute_id).join(acts.select(F.col("phrase").alias("p2"), F.col("statute_id").alias("named")), refs.act == F.col("p2"), "left")
-    r = r.withColumn("target", F.when(F.col("act").isNull(), F.col("statute_id")).otherwise(F.col("named")))
-    part = r.where("kind = 'part'").select("id", "pos", F.lit(None).cast("string").alias("no"), "raw", F.lit(None).cast("long").alias("to_id"), F.lit("no_part_hierarchy").alias("reason"))
-    lost = r.where("kind = 'section' AND target IS NULL").select("id", "pos", F.lit(None).cast("string").alias("no"), "raw", F.lit(None).cast("long").alias("to_id"), F.lit("act_not_in_corpus").alias("reason"))
-    each = expand_numbers(r.where("kind = 'section' AND target IS NOT NULL")).withColumn("key", normalise_no(F.col("no")))
+    acts = resolve_titles(refs, statutes).withColumnRenamed("statute_id", "named")
+    r = refs.join(acts, refs.act == acts.phrase, "left").withColumn("target", F.when(F.col("act").isNull(), F.col("statute_id")).otherwise(F.col("named")))
+    known = (F.col("kind") == "section") & F.col("target").isNotNull()
+    each = r.withColumn("no", F.explode(F.when(known, expanded(F.col("numbers"))).otherwise(F.array(F.lit(None).cast("string")))))
+    each = each.withColumn("key", normalise_no(F.col("no")))
     s = sections.select(F.col("statute_id").alias("target"), normalise_no(F.col("section_no")).alias("key"), F.col("id").alias("to_id")).groupBy("target", "key").agg(F.min("to_id").alias("to_id"))
-    met = each.join(s, ["target", "key"], "left").select("id", "pos", "no", "raw", "to_id", F.when(F.col("to_id").isNull(), "section_not_found").alias("reason"))
-    return met.where("to_id IS NULL OR to_id <> id").unionByName(part).unionByName(lost)
+    reason = F.when(F.col("kind") == "part", "no_part_hierarchy").when(F.col("target").isNull(), "act_not_in_corpus").when(F.col("to_id").isNull(), "section_not_found")
+    met = each.join(s, ["target", "key"], "left").select("id", "pos", "no", "raw", "to_id", reason.alias("reason"))
+    return met.where("to_id IS NULL OR to_id <> id")
 
 
 def build_links(resolved: DataFrame) -> DataFrame:

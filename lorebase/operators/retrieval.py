@@ -27,24 +27,28 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, stop: list[str] | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, stop: list[str] | None = None, most_asked: int = 500_000) -> DataFrame:
     """(query_id, id, score, matched): BM25 of each document that holds a term of the query. docs: id, text; queries: query_id, text.
 
-    Only the documents' occurrences of asked terms are counted and shuffled.
+    Only the documents' occurrences of asked terms are counted and shuffled. Questions of
+    at most `most_asked` terms together are broadcast; more are joined by shuffles.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     if stop:
         asked = asked.where(~F.col("term").isin(stop))
     d = docs.select("id", terms(F.col("text")).alias("t"))
     size = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    words = asked.select("term").distinct()
-    tf = d.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(words, "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    small = asked.count() <= most_asked
+    hint = F.broadcast if small else (lambda x: x)
+    occ = d.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(hint(asked.select("term").distinct()), "term")
+    # One shuffle by document serves the counts, the join with the questions and their sums.
+    tf = occ.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    w = asked.join(df, "term").crossJoin(F.broadcast(size))  # `size` is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = tf.join(w, "term")
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+    w = df.crossJoin(F.broadcast(size))  # `size` is one row
+    w = w.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    weighed = tf.join(hint(w), "term").select("id", "term", part.alias("part"))
+    return weighed.join(hint(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("matched"))
 
 
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
