@@ -139,10 +139,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def fit_field(w: Words, toxic: np.ndarray, epochs: int = 6, batch: int = 512, rate: float = 0.3, seed: int = 5) -> Model:
+def fit_field(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int = 6, batch: int = 512, rate: float = 0.3, seed: int = 5) -> Model:
     """The field's weights, from token labels: chains with a toxic token and three times as many others."""
-    slots = feature_slots(word_features(w), w.doc)
-    start, size = chains(w.first)
+    start, size = chains(first)
     y = _padded(toxic.astype(float), start, size)
     r = np.random.default_rng(seed)
     with_toxic = np.flatnonzero(y.any(1))
@@ -182,8 +181,11 @@ def fit_field(w: Words, toxic: np.ndarray, epochs: int = 6, batch: int = 512, ra
     return Model(weight, float(bias), step, np.zeros(0))
 
 
-def _buffer(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return text_buffer(pa.array(texts, pa.large_string()))
+def _sliced(texts: list[str | None]) -> Iterator[tuple[int, Words]]:
+    """Words of a slice of the texts at a time, with the number of its first text."""
+    data, offsets = text_buffer(pa.array(texts, pa.large_string()))
+    for i, j in slices(offsets):
+        yield i, words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_ALNUM)
 
 
 def fit(sample: list[tuple[str | None, int]], marked: np.ndarray, prior: float) -> Model:
@@ -192,11 +194,16 @@ def fit(sample: list[tuple[str | None, int]], marked: np.ndarray, prior: float)
     fields, links = sample[::2], sample[1::2]
     if not len(marked) or len({y for _, y in fields}) < 2 or len({y for _, y in links}) < 2:
         return empty
-    w = words(*_buffer([x for x, _ in fields]), NOT_ALNUM)
-    toxic_doc = np.array([y for _, y in fields], bool)[w.doc]
-    model = fit_field(w, toxic_doc & np.isin(word_features(w)[1:], marked).any(0))
-    w = words(*_buffer([x for x, _ in links]), NOT_ALNUM)
-    link = fit_logistic(document_features(marginals(model, w), w.first), np.array([y for _, y in links], float))
+    slots, toxic, sizes = [], [], []
+    label = np.array([y for _, y in fields], bool)
+    for i, w in _sliced([x for x, _ in fields]):
+        features = word_features(w)
+        slots.append(feature_slots(features, w.doc))
+        toxic.append(label[i + w.doc] & np.isin(features[1:], marked).any(0))
+        sizes.append(np.diff(w.first))
+    model = fit_field(np.concatenate(slots, 1), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(toxic))
+    seen = np.concatenate([document_features(marginals(model, w), w.first) for _, w in _sliced([x for x, _ in links])])
+    link = fit_logistic(seen, np.array([y for _, y in links], float))
     return Model(model.weight.astype(np.float32), model.bias, model.step, link)
 
 
@@ -265,7 +272,8 @@ def toxicity(
     train = train.where(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
 
-    counts = docs.where("text IS NOT NULL").join(train, "doc_id").select("text", "toxic").mapInArrow(_beginnings, "feature long, toxic long, clean long")
+    # Labels grow with the corpus, so they are never broadcast.
+    counts = docs.where("text IS NOT NULL").join(train.hint("merge"), "doc_id").select("text", "toxic").mapInArrow(_beginnings, "feature long, toxic long, clean long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = n_toxic / max(n, 1)
     expected = (F.col("toxic") + F.col("clean")) * share
