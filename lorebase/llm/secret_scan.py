@@ -75,7 +75,10 @@ def secret_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     def named(kind: str, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
-    base = F.concat(*(named(kind, F.filter(kind, lambda x, n=least: x["size"] >= n)) for kind, _, _, least in BASE))
+    def long_enough(kind: str, least: int) -> Column:
+        return F.filter(kind, lambda x: x["size"] >= least)
+
+    base = F.concat(*(named(kind, long_enough(kind, least)) for kind, _, _, least in BASE))
     weak = F.concat(named("short", F.filter("assign", lambda x: x["size"] < BASE[0][3])), *(named(kind, F.col(kind)) for kind, _, _ in WEAK))
     made = checkpoint(df.select("doc_id", "text_hash", base.alias("base"), weak.alias("weak")))
 
