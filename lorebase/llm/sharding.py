@@ -39,7 +39,7 @@ def numbered(df: DataFrame, keys: list[str], out: str, cells: int, order: list[C
     return placed.join(sizes, [*keys, "_cell"]).withColumn(out, F.col("_before") + F.col("_at")).drop("_cell", "_before", "_at")
 
 
-def propagate(nodes: DataFrame, links: DataFrame, *, shards: int = 16, rounds: int = 3, slack: float = 0.25) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, *, shards: int = 16, rounds: int = 8, slack: float = 0.25) -> DataFrame:
     """(row, shard, slot) for each of `nodes` (row: long, unique): counts of shards differ by one at most.
 
     `links` (row, key): rows with equal keys are linked; null keys and keys of one row
@@ -52,14 +52,16 @@ def propagate(nodes: DataFrame, links: DataFrame, *, shards: int = 16, rounds: i
     quota = F.lit(n // shards) + F.when(F.col("shard") < n % shards, 1).otherwise(0)
     start = _dealt(nodes, shards, cells)
     groups = links.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    linked = checkpoint(links.join(groups.select("key"), "key").select("row", "key").distinct())
-    at = checkpoint(start.join(linked.select("row").distinct().withColumn("is_linked", F.lit(True)), "row", "left").withColumn("is_linked", F.coalesce("is_linked", F.lit(False))))
+    # `grp` keeps a group together where rows queue; a group of more than a cell goes in parts.
+    salt = F.when(F.col("size") > CELL, F.shiftright(F.xxhash64("row"), 52)).otherwise(0)
+    linked = checkpoint(links.distinct().join(groups, "key").select("row", "key", F.xxhash64("key", salt).alias("grp")))
+    at = checkpoint(start.join(linked.groupBy("row").agg(F.min("grp").alias("grp")), "row", "left"))
     if not linked.isEmpty():
         for _ in range(rounds):
             moves = _round(at, linked, n, shards, slack, cells)
             if moves.isEmpty():
                 break
-            at = checkpoint(at.join(moves, "row", "left").select("row", F.coalesce("to", "shard").alias("shard"), "is_linked"))
+            at = checkpoint(at.join(moves, "row", "left").select("row", F.coalesce("to", "shard").alias("shard"), "grp"))
     return _levelled(at, quota, shards, cells)
 
 
@@ -74,22 +76,21 @@ def _round(at: DataFrame, linked: DataFrame, n: int, shards: int, slack: float,
     tally = checkpoint(linked.join(at.select("row", "shard"), "row").groupBy("key", "shard").agg(F.count("*").alias("votes")))
     # Rows linked by several keys go to the key whose target has most votes.
     best = tally.groupBy("key").agg(F.max(F.struct(F.col("votes"), F.xxhash64("key", "shard").alias("tie"), F.col("shard").alias("to"))).alias("b"))
-    wish = linked.join(best.select("key", "b.votes", "b.to"), "key").groupBy("row").agg(F.max(F.struct("votes", "to", "key")).alias("w"))
-    wish = wish.join(at.select("row", "shard"), "row").select("row", "shard", "w.to", "w.key").where("shard <> to")
-    held = at.groupBy("shard").agg(F.count_if("is_linked").alias("held"))
+    wish = linked.join(best.select("key", "b.votes", "b.to"), "key").groupBy("row").agg(F.max(F.struct("votes", "to", "grp")).alias("w"))
+    wish = wish.join(at.select("row", "shard"), "row").select("row", "shard", "w.to", "w.grp").where("shard <> to")
+    held = at.groupBy("shard").agg(F.count("grp").alias("held"))
     rooms = F.floor(F.lit(n / shards * (1 + slack))).cast("long")
     room = at.sparkSession.range(shards).select(F.col("id").cast("int").alias("to")).join(held.withColumnRenamed("shard", "to"), "to", "left").select("to", F.greatest(rooms - F.coalesce("held", F.lit(0)), F.lit(0)).alias("room"))
     # Members of a group stand together in the queue of their target, so that whole groups are let in.
-    queued = numbered(wish, ["to"], "i", cells, [F.xxhash64("key"), F.col("row")], F.pmod(F.xxhash64("key", F.shiftright(F.xxhash64("row"), 60)), F.lit(cells)))
+    queued = numbered(wish, ["to"], "i", cells, [F.col("grp"), F.col("row")], F.pmod("grp", F.lit(cells)))
     return checkpoint(queued.join(F.broadcast(room), "to").where("i < room").select("row", "to"))
 
 
 def _levelled(at: DataFrame, quota: Column, shards: int, cells: int) -> DataFrame:
     """Rows of shards over their quota go to those below it: unlinked rows first, as few as it takes."""
-    first = F.when(F.col("is_linked"), F.lit(0)).otherwise(F.lit(1))
-    hashed = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(cells))
-    # Linked rows come first and so stay; those numbered beyond the quota leave.
-    seated = checkpoint(numbered(at, ["shard"], "i", cells, [F.col("row")], first * cells + hashed))
+    cell = F.when(F.col("grp").isNull(), cells + F.pmod(F.xxhash64("row", F.lit(3)), F.lit(cells))).otherwise(F.pmod("grp", F.lit(cells)))
+    # Linked rows come first and so stay, group by group; those numbered beyond the quota leave.
+    seated = checkpoint(numbered(at, ["shard"], "i", cells, [F.col("grp"), F.col("row")], cell))
     over = seated.where(F.col("i") >= quota)
     held = at.groupBy("shard").agg(F.count("*").alias("n"))
     spare = at.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(held, "shard", "left").select("shard", F.greatest(quota - F.coalesce("n", F.lit(0)), F.lit(0)).alias("spare"))
@@ -103,7 +104,7 @@ def _levelled(at: DataFrame, quota: Column, shards: int, cells: int) -> DataFram
     return seated.where(F.col("i") < quota).select("row", "shard", F.col("i").alias("slot")).unionByName(moved)
 
 
-def shard_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int = 3, slack: float = 0.25) -> DataFrame:
+def shard_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int = 8, slack: float = 0.25) -> DataFrame:
     """One row for each row of `documents`: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Documents with equal texts (by SHA-256) are linked. Counts of shards differ by one
