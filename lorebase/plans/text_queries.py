@@ -164,7 +164,7 @@ def rewrite_decision(v: Views) -> DataFrame:
     return r.select("event_id", reason.alias("reason"), F.when(reason == "rewritten", c).otherwise(F.col("original")).alias("question"))
 
 
-@query("""SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding]), 4) AS before, 1.0 AS after FROM embeddings""")
+@query("""SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding]), 4) AS before, CAST(1 AS DOUBLE) AS after FROM embeddings""")
 def l2_normalise(v: Views) -> DataFrame:
     sq = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     e = v.table("embeddings").select("vec_id", "embedding", T.l2_normalise(F.col("embedding")).alias("unit"))
