@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, store
+from ..operators import embedding, graph, store
+from ..sources import archive
 from ..sources.views import Views
+from ..streaming.streams import shared_path
 from .registry import query
 
 
@@ -343,3 +345,23 @@ def unresolved_by_kind(v: Views) -> DataFrame:
 @query(f"{_RESOLVED} SELECT DISTINCT id AS from_section_id, to_id AS to_section_id FROM out WHERE reason IS NULL", "refs_text", "sections")
 def build_links(v: Views) -> DataFrame:
     return graph.build_links(_resolved(v)).select("from_section_id", "to_section_id")
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS act_id, count(*) AS items, count(*) FILTER (WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0) AS sections, min(CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 THEN c_custkey END) AS least FROM customer GROUP BY 1""")
+def archive_scan(v: Views) -> DataFrame:
+    """Payloads of customers by nation, written as JSON, read again with the archive's schema, and split to sections."""
+    k = F.col("uuid").cast("string")
+    meta = F.map_concat(F.col("metadata"), F.create_map(F.lit("act.id"), F.array(F.struct(F.col("act_id").cast("string").alias("value")))))
+    item = F.struct(k.alias("uuid"), F.concat(F.lit("h/"), k).alias("handle"), k.alias("name"), meta.alias("metadata"))
+    path = shared_path(v.spark, "archive")
+    _payload(v).groupBy(F.col("act_id").cast("string").alias("act_id")).agg(F.collect_list(item).alias("items")).write.json(path)
+    read = archive.read_archive(v.spark, path)
+    found = archive.section_items(read).groupBy("act_id").agg(F.count("*").alias("sections"), F.min(F.col("uuid").cast("long")).alias("least"))
+    return read.select("act_id", F.size("items").cast("long").alias("items")).join(found, "act_id", "left").select("act_id", "items", F.coalesce("sections", F.lit(0)).alias("sections"), "least")
+
+
+@query("""WITH t AS (SELECT doc_id AS id, unnest([x FOR x IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']) AS term FROM documents), h AS (SELECT id, md5(term) AS h FROM t),
+w AS (SELECT id, CAST(('0x' || substr(h, 1, 4)) AS INT) % 64 AS slot, sum(CASE WHEN CAST(('0x' || substr(h, 5, 1)) AS INT) % 2 = 0 THEN 1 ELSE -1 END) AS w FROM h GROUP BY 1, 2)
+SELECT id, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 9) AS value FROM w WHERE w <> 0""")
+def hashed_vectors(v: Views) -> DataFrame:
+    return embedding.hashed_vectors(v.table("documents").select(F.col("doc_id").alias("id"), "text"))

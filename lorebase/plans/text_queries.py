@@ -241,3 +241,13 @@ def plausibility(v: Views) -> DataFrame:
     blank = F.trim("text_verbatim") == ""
     rules = F.array_compact(F.array(rule(live & ~blank & (n < 40), "short_text", "warn"), rule(live & (n > 12000), "long_text", "warn"), rule(live & blank, "blank_text", "error"), rule(T.section_no_sort(F.col("section_no")).isNull(), "bad_number", "error")))
     return v.sections.select("id", F.explode(rules).alias("r")).select("id", "r.*")
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {_html_sql("'[1] ' || CASE WHEN page_id % 6 = 0 THEN '[The whole] Rep. by Act' ELSE html END")} AS body FROM pages)
+SELECT page_id, CAST(page_id AS VARCHAR) AS section_no, nullif(title, '') AS note, body AS text, page_id % 6 = 0 AS is_omitted FROM p""")
+def parse_sections(v: Views) -> DataFrame:
+    """Raw items to parsed sections: number without its full stop, empty note null, plain text, omitted or not."""
+    k = F.col("page_id")
+    raw = F.concat(F.lit("[1] "), F.when(k % 6 == 0, "[The whole] Rep. by Act").otherwise(F.col("html")))
+    p = v.table("pages").select("page_id", F.concat(k.cast("string"), F.lit(".")).alias("no"), F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("note"), T.html_to_text(raw).alias("text"))
+    return p.select("page_id", F.regexp_replace("no", r"\.+$", "").alias("section_no"), "note", "text", T.looks_omitted(F.col("note"), F.col("text")).alias("is_omitted"))
