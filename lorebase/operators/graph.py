@@ -46,13 +46,17 @@ def expand_numbers(refs: DataFrame, numbers: str = "numbers") -> DataFrame:
 def resolve_titles(phrases: DataFrame, statutes: DataFrame, phrase: str = "act", most: int = 10_000) -> DataFrame:
     """(phrase, statute_id) for each distinct phrase: by its normalised title, else by the longest known title that it contains; null if none.
 
-    Titles are few: they are broadcast if there are at most `most`, and refused beyond.
+    At most `most` titles are broadcast; more are joined with every part of the phrases,
+    which are of at most 80 characters.
     """
     known = statutes.select(F.col("id").alias("statute_id"), normalise_title(F.col("short_title")).alias("title"))
-    if known.count() > most:
-        raise ValueError(f"more than {most} titles")
     keys = phrases.where(F.col(phrase).isNotNull()).select(F.col(phrase).alias("phrase")).distinct().withColumn("key", normalise_title(F.col("phrase")))
-    met = keys.join(F.broadcast(known), (F.col("key") == F.col("title")) | F.contains("key", "title"), "left")
+    if known.count() <= most:
+        met = keys.join(F.broadcast(known), F.contains("key", "title"), "left")
+    else:
+        at = keys.where("key <> ''").withColumn("i", F.explode(F.sequence(F.lit(1), F.length("key"))))
+        part = at.withColumn("n", F.explode(F.sequence(F.lit(1), F.length("key") - F.col("i") + 1))).select("phrase", F.expr("substring(key, i, n)").alias("title")).distinct()
+        met = keys.join(part.join(known, "title"), "phrase", "left")
     best = F.max_by("statute_id", F.struct((F.col("key") == F.col("title")).cast("int"), F.length("title"), -F.col("statute_id")))
     return met.groupBy("phrase").agg(best.alias("statute_id"))
 

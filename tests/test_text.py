@@ -38,6 +38,14 @@ def test_references(spark):
     assert {r["reason"] for r in rows if r["reason"]} == {"act_not_in_corpus", "no_part_hierarchy"}
 
 
+def test_titles_by_either_join(spark):
+    statutes = spark.createDataFrame([(1, "Code A Act, 1807"), (2, "A Act"), (3, "The Sale Act, 1930")], "id long, short_title string")
+    phrases = spark.createDataFrame([("the Code A Act, 1807",), ("Amended Code A Act, 1807",), ("Sale Act, 1930",), ("Other Law, 1900",), (None,)], "act string")
+    want = {"the Code A Act, 1807": 1, "Amended Code A Act, 1807": 1, "Sale Act, 1930": 3, "Other Law, 1900": None}
+    for most in (10, 0):
+        assert {r["phrase"]: r["statute_id"] for r in graph.resolve_titles(phrases, statutes, most=most).collect()} == want
+
+
 def test_ranges(spark):
     df = spark.createDataFrame([("3 to 9",), ("3 to 300",), ("1, 2A and 4",), ("5 to 5",)], "numbers string")
     got = [r["no"] for r in graph.expand_numbers(df).collect()]
