@@ -353,7 +353,10 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     spark = pages.sparkSession
     ship(spark)
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = df.where(F.length("html") <= largest).select("html", F.xxhash64("page_id", F.lit(5)).alias("h")).orderBy("h", "html").limit(sample_pages).collect()
+    # The sample's hashes first, then only its pages: else every task would send its own best ones to the driver.
+    hashed = df.where(F.length("html") <= largest).select("html", F.xxhash64("page_id", "html", F.lit(5)).alias("h"))
+    least = [r["h"] for r in hashed.select("h").orderBy("h").limit(sample_pages).collect()]
+    rows = sorted(hashed.where(F.col("h") <= least[-1]).dropDuplicates(["h"]).collect(), key=lambda r: r["h"]) if least else []
     made = [(p, y) for p, y in training_pages([blocks(r["html"]) for r in rows]) if (y == 0).any() and (y == 1).any()]
     model = spark.sparkContext.broadcast(train(made) if made else None)
 
