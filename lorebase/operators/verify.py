@@ -7,14 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+CELL = 4096
+
+
 def numeric_prefix(no):
     return F.nullif(F.regexp_extract(no, "^([0-9]+)", 1), F.lit("")).cast("int")
 
 
 def gaps(sections: DataFrame) -> DataFrame:
     """(statute_id, after, before, gap, level) between distinct number prefixes: fail over 200."""
-    n = sections.select("statute_id", numeric_prefix(F.col("section_no")).alias("n")).where("n IS NOT NULL").distinct()
-    d = n.withColumn("prev", F.lag("n").over(W.partitionBy("statute_id").orderBy("n"))).withColumn("gap", F.col("n") - F.col("prev") - 1).where("gap >= 1")
+    n = sections.select("statute_id", numeric_prefix(F.col("section_no")).alias("n")).where("n IS NOT NULL").distinct().withColumn("cell", F.floor(F.col("n") / CELL))
+    # The number before is in the own cell, or the greatest of the nearest cell below: a large act needs no single task.
+    cells = n.groupBy("statute_id", "cell").agg(F.max("n").alias("most")).select("statute_id", "cell", F.lag("most").over(W.partitionBy("statute_id").orderBy("cell")).alias("below"))
+    inside = F.lag("n").over(W.partitionBy("statute_id", "cell").orderBy("n"))
+    d = n.withColumn("inside", inside).join(cells, ["statute_id", "cell"]).withColumn("prev", F.coalesce("inside", "below")).withColumn("gap", F.col("n") - F.col("prev") - 1).where("gap >= 1")
     return d.select("statute_id", F.col("prev").alias("after"), F.col("n").alias("before"), "gap", F.when(F.col("gap") > 200, "error").otherwise("warn").alias("level"))
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import verify as V
+from ..operators.ranking import numbered_in_cells
 from ..sources.views import Views
 from .registry import query
 
@@ -130,13 +130,14 @@ def act_section_count(v: Views) -> DataFrame:
 
 @query("SELECT id, statute_id, CAST(row_number() OVER (PARTITION BY statute_id ORDER BY id) - 1 AS INT) AS order_idx FROM sections", "sections")
 def assign_order_idx(v: Views) -> DataFrame:
-    return v.sections.select("id", "statute_id", (F.row_number().over(W.partitionBy("statute_id").orderBy("id")) - 1).alias("order_idx"))
+    rows = numbered_in_cells(v.sections.select("id", "statute_id"), ["statute_id"], F.floor(F.col("id") / 4096), ["id"])
+    return rows.select("id", "statute_id", (F.col("rn") - 1).alias("order_idx"))
 
 
 @query("SELECT statute_id, id, CAST(row_number() OVER (PARTITION BY statute_id ORDER BY CAST(regexp_extract(section_no, '^[0-9]+') AS INT), section_no LIKE '%A', id) AS INT) AS place FROM sections", "sections")
 def citation_order(v: Views) -> DataFrame:
-    w = W.partitionBy("statute_id").orderBy(T.section_no_sort(F.col("section_no")), "id")
-    return v.sections.select("statute_id", "id", F.row_number().over(w).alias("place"))
+    s = v.sections.select("statute_id", "id", T.section_no_sort(F.col("section_no")).alias("sort"), V.numeric_prefix(F.col("section_no")).alias("n"))
+    return numbered_in_cells(s, ["statute_id"], F.floor(F.col("n") / 512), ["sort", "id"], "place").select("statute_id", "id", "place")
 
 
 # --- verification ---------------------------------------------------------------------------------------------

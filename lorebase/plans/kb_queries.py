@@ -102,10 +102,10 @@ def ask_log_projection(v: Views) -> DataFrame:
     return v.table("events").select(F.col("event_id").alias("id"), (t == "click").alias("answered"), (t == "error").alias("abstained"), F.floor("value").cast("int").alias("latency_ms"), F.col("ts").alias("created_at"))
 
 
-@query("SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) AS INT) AS ord FROM embeddings WHERE label % 3 = 0")
+@query("SELECT vec_id, label FROM embeddings WHERE label % 3 = 0")
 def pending_embeddings(v: Views) -> DataFrame:
-    e = v.table("embeddings").withColumn("embedding", F.when(F.col("label") % 3 != 0, F.col("embedding"))).where("embedding IS NULL")
-    return e.select("vec_id", F.row_number().over(W.orderBy("vec_id")).alias("ord"))
+    """Rows that wait for a vector: what `embedding.embed` is given; a second run finds none."""
+    return v.table("embeddings").withColumn("embedding", F.when(F.col("label") % 3 != 0, F.col("embedding"))).where("embedding IS NULL").select("vec_id", "label")
 
 
 @query("SELECT doc_id, source, CASE WHEN source = 'src3' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
