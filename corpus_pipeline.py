@@ -12,35 +12,39 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import shared_folder, table
-from lorebase.llm.decontaminate import decontaminate
+from lorebase.llm.common import checkpoint, shared_folder, table
+from lorebase.llm.decontaminate import contamination
 from lorebase.llm.near_dedup import near_duplicates
 from lorebase.llm.packing import pack_documents
 from lorebase.llm.secret_scan import redact_secrets
 from lorebase.llm.toxicity import toxicity
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of `docs` whose id is (`left_semi`) or isn't (`left_anti`) in `ids`; null ids are ids too."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("_id")), how)
+def _met(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """`docs` joined with distinct `keys` (doc_id, text_hash, others) on id and text: rows that share an id, or have none, are told apart."""
+    keys = keys.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    return docs.join(keys, docs.doc_id.eqNullSafe(F.col("_d")) & (F.xxhash64(docs.text) == F.col("_t")), how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger doesn't predict to be toxic."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scored.where("predicted = 1"), "left_anti")
+    scored = toxicity(docs.withColumn("text_hash", F.xxhash64("text")), table(spark, sf_dir, "labels"), carry=("text_hash",))
+    return _met(docs, scored.where("predicted = 1").select("doc_id", "text_hash").distinct(), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group."""
-    return _only(docs, near_duplicates(docs).where("NOT kept"), "left_anti")
+    """One row, that with the least id, of each group; rows without words are in no group."""
+    found = near_duplicates(docs, by_text=True).where("NOT kept OR copies > 1")
+    rows = _met(docs, checkpoint(found.select("doc_id", "text_hash", F.col("kept").alias("_kept"))), "left")
+    # Rows with the id and text of the kept one are copies of it; the first stands for them.
+    copies = rows.where("_kept").groupBy("_d", "_t").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return rows.where("_kept IS NULL").select(docs.columns).unionByName(copies)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where("contaminated"), "left_anti")
+    _, hits = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _met(docs, hits.select("doc_id", "text_hash").distinct(), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

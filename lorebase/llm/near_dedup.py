@@ -20,8 +20,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import comb
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,7 @@ def near_duplicates(
     rows: int = ROWS,
     miss: float = 1e-6,
     small_bucket: int = 32,
+    by_text: bool = False,
 ) -> DataFrame:
     """One row for each row of `documents`: id, n_shingles (set size), component_id, kept.
 
@@ -140,10 +142,15 @@ def near_duplicates(
     hashes. Null or wordless texts have an empty set and are linked with nothing.
     Null ids are never a component_id unless the row stands alone. Repeated rows count
     as copies. Other columns are ignored; an empty table gives an empty result.
+
+    With `by_text` there is instead one row for each id and text that has words: doc_id,
+    text_hash (xxhash64 of the text), copies (its rows), kept. Of each group just one is
+    kept, that with the least id, and then hash; null ids come last.
     """
     ship(documents.sparkSession)
     n_hashes, t = bands * rows, percent / 100
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    key = ["doc_id", "text_hash"] if by_text else ["doc_id"]
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).select(*key, "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,10 +160,10 @@ def near_duplicates(
                 sets = shingle_sets(w, shingle)
                 size = np.array([len(s) for s in sets], np.int64)
                 sig = minhash(sets, n_hashes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(class_ids(w), mask=size == 0), pa.array(size), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "cid", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in key), pa.array(class_ids(w), mask=size == 0), pa.array(size), pa.array([x.tobytes() for x in sig], pa.binary())], [*key, "cid", "n_shingles", "sig"])
 
-    made = checkpoint(docs.mapInArrow(sketch, "doc_id long, cid long, n_shingles long, sig binary"))
-    member = made.select("doc_id", "cid", "n_shingles")
+    made = checkpoint(docs.mapInArrow(sketch, ", ".join([*(f"{c} long" for c in key), "cid long, n_shingles long, sig binary"])))
+    member = made.select(*key, "cid", "n_shingles")
     reps = checkpoint(made.where("cid IS NOT NULL").groupBy("cid").agg(F.first("sig").alias("sig")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +206,7 @@ def near_duplicates(
     stars = met.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     first = checkpoint(pruned(stars))
     # Only texts of classes that share a bucket are needed from here on, one for each class.
-    one = member.where("cid IS NOT NULL").groupBy("cid").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("doc_id")).join(met.select("cid").distinct(), "cid", "left_semi")
+    one = member.where("cid IS NOT NULL").groupBy("cid").agg(F.min_by(F.struct(*key), F.xxhash64(*key)).alias("key")).select("cid", "key.*").join(met.select("cid").distinct(), "cid", "left_semi")
 
     def check_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose text is of their class; an id may stand on several texts."""
@@ -210,7 +217,8 @@ def near_duplicates(
                 on = pa.array(class_ids(w) == np.asarray(batch.column("cid").slice(i, j - i)))
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).filter(on) for c in ("cid", "text")], ["cid", "text"])
 
-    texts = checkpoint(docs.where("text IS NOT NULL").join(one, docs.doc_id.eqNullSafe(one.doc_id)).select("cid", "text").mapInArrow(check_class, "cid long, text string").dropDuplicates(["cid"]))
+    same = reduce(and_, (docs[c].eqNullSafe(one[c]) for c in key))
+    texts = checkpoint(docs.where("text IS NOT NULL").join(one, same).select("cid", "text").mapInArrow(check_class, "cid long, text string").dropDuplicates(["cid"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
@@ -226,10 +234,14 @@ def near_duplicates(
             links = links.union(_blocks(large, reps, texts, n_hashes, shingle, percent, miss))
         comp = components(links)
 
-    own = member.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("low"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), *key)
+    own = member.where("cid IS NOT NULL").groupBy("cid").agg(F.min(rank if by_text else "doc_id").alias("low"))
     own = own.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = own.groupBy("comp").agg(F.min("low").alias("component_id"))
     found = own.join(least, "comp").select("cid", "component_id")
+    if by_text:
+        each = member.where("cid IS NOT NULL").groupBy(*key, "cid").agg(F.count("*").alias("copies"))
+        return each.join(found, "cid").select(*key, "copies", (rank == F.col("component_id")).alias("kept"))
     out = member.join(found, "cid", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 

@@ -251,8 +251,9 @@ def toxicity(
     folds: int = 5,
     sample_docs: int = 4000,
     marks: int = 20_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each row of `documents`: doc_id, held_out, score, predicted, mass, spans.
+    """One row for each row of `documents`: doc_id, held_out, score, predicted, mass, spans, and the columns named in `carry`.
 
     held_out is crc32(id as text) mod `folds` = 0; labels of such rows are never read.
     score is the probability that the label is 1, predicted is score >= 0.5, mass the
@@ -266,7 +267,7 @@ def toxicity(
     """
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     train = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     train = train.where(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -299,12 +300,12 @@ def toxicity(
                 score = 1 / (1 + np.exp(-np.clip(x @ model.link, -30, 30)))
                 total = np.concatenate([[0.0], np.cumsum(p)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(score), pa.array(np.round(total[w.first[1:]] - total[w.first[:-1]], 6)), pa.array(_spans(w, p, offsets[i : j + 1] - offsets[i]), pa.string())],
-                    ["doc_id", "score", "mass", "spans"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(score), pa.array(np.round(total[w.first[1:]] - total[w.first[:-1]], 6)), pa.array(_spans(w, p, offsets[i : j + 1] - offsets[i]), pa.string()), *(batch.column(c).slice(i, j - i) for c in carry)],
+                    ["doc_id", "score", "mass", "spans", *carry],
                 )
 
-    out = docs.mapInArrow(tag, "doc_id long, score double, mass double, spans string")
-    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mass", "spans")
+    out = docs.mapInArrow(tag, ", ".join(["doc_id long, score double, mass double, spans string", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)]))
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mass", "spans", *carry)
 
 
 def _spans(w: Words, p: np.ndarray, offsets: np.ndarray) -> list[str]:

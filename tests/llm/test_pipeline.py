@@ -1,3 +1,4 @@
+import tempfile
 import zlib
 from collections import Counter
 
@@ -66,3 +67,46 @@ def test_pipeline_of_nothing(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame, SF).count() == 0
+
+
+def test_stages_tell_rows_apart_without_unique_ids(spark):
+    """Null and repeated ids in every stage: only the rows at fault go, and one row of a group stays."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+
+    def words(seed, n=40):
+        return " ".join(f"v{seed}x{(seed * 31 + k * k) % 997}" for k in range(n))
+
+    def after(stage, rows, folder=SF):
+        frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        out = stage(spark, frame, folder)
+        assert out.columns == columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    clean = [(None, words(1)), (None, words(2)), (7, words(3)), (None, None), (7, ""), (None, "")]
+    folder = tempfile.mkdtemp(prefix="lorebase-ids-")
+
+    # Toxicity: ids 1000 and more teach the tagger.
+    taught = [(1000 + i, words(100 + i) + (" vileness scummiest badword" if i % 4 == 0 else "")) for i in range(200)]
+    spark.createDataFrame([(i, int("badword" in t)) for i, t in taught], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    toxic = [(None, words(4) + " vileness scummiest badword"), (7, words(5) + " vileness scummiest badword")]
+    got = after(corpus_pipeline.drop_toxic, taught + clean + toxic, folder)
+    assert [x for x in got if x[0] is None or x[0] < 1000] == sorted(clean, key=str)
+
+    # Near-duplicates: copies by text with one id, with null ids only, with both, and near copies with one id.
+    near = words(9)
+    groups = [(8, words(6))] * 3 + [(None, words(7))] * 3 + [(None, words(8)), (3, words(8)), (4, words(8))] + [(5, near), (5, near + " end"), (None, near + " fin")]
+    got = after(corpus_pipeline.drop_near_duplicates, clean + groups)
+    five = [x for x in got if x[0] == 5]
+    assert len(five) == 1 and five[0] in groups
+    assert sorted(got, key=str) == sorted([*clean, (8, words(6)), (None, words(7)), (3, words(8)), *five], key=str)
+
+    # Leaks.
+    spark.createDataFrame([(1, words(11))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    leaks = [(None, f"a {words(11)} b"), (7, f"c {words(11)}")]
+    assert after(corpus_pipeline.drop_benchmark_leaks, clean + leaks, folder) == sorted(clean, key=str)
+
+    # Secrets, and packing of all rows.
+    secret = "token=" + "0123456789abcdef" * 2
+    assert after(corpus_pipeline.mask_secrets, clean + [(None, secret), (7, secret), (7, secret)]) == sorted(clean + [(None, "[SECRET]"), (7, "[SECRET]"), (7, "[SECRET]")], key=str)
+    frame = spark.createDataFrame(clean + groups, "doc_id long, text string")
+    assert corpus_pipeline.pack(spark, frame, SF).count() == len(clean + groups)
