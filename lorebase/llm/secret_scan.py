@@ -3,9 +3,10 @@
 Base patterns report their spans by themselves. Parts of a credential that say little
 alone (an account name, a short assigned value, an endpoint, a long mixed token) are
 reported only if complementary parts stand within the same scope. Parts and base
-spans meet by an interval join: text is cut into stretches as long as the scope, each
-stretch keeps the first and last place of each role, and a part looks at its own
-stretch and the two beside it. That is exact and makes no row for a pair.
+spans meet by an interval join: text is cut into stretches as long as the scope, a span
+enters every stretch that it touches, each stretch keeps the least start and greatest
+end of each role, and a part looks at its own stretches and the two beside them. That
+is exact and makes no row for a pair.
 """
 
 from __future__ import annotations
@@ -63,8 +64,9 @@ def secret_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     The first has doc_id, text_hash and base (array of kind, start, end) for each row;
     the second doc_id, text_hash, kind, start, end of weak parts that have a complement:
-    an identifier or endpoint near a secret, or a secret near either, starting at most
-    `scope` code points apart. A base span counts as a complement.
+    an identifier or endpoint near a secret, or a secret near either, with at most `scope`
+    code points from the end of one to the start of the other. A base span counts as a
+    complement.
     """
     df = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for kind, pattern, group, _ in BASE:
@@ -84,17 +86,18 @@ def secret_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     role = F.create_map(*(F.lit(x) for pair in _ROLE.items() for x in pair))
     part = made.where("size(weak) > 0").select("doc_id", "text_hash", F.explode(F.concat(F.transform("base", lambda x: F.struct(F.lit(True).alias("strong"), x.alias("s"))), F.transform("weak", lambda x: F.struct(F.lit(False).alias("strong"), x.alias("s"))))).alias("p"))
-    part = part.select("doc_id", "text_hash", "p.strong", "p.s.*").distinct().withColumn("role", role[F.col("kind")]).withColumn("stretch", F.floor(F.col("start") / scope))
-    # Every kind of complement for each role; first and last start of each role in each stretch.
-    edge = part.groupBy("doc_id", "text_hash", "stretch").agg(*(f(F.when(F.col("role") == r, F.col("start"))).alias(f"{name}_{r}") for r in ("id", "secret", "where") for name, f in (("first", F.min), ("last", F.max))))
+    part = part.select("doc_id", "text_hash", "p.strong", "p.s.*").distinct().withColumn("role", role[F.col("kind")])
+    part = part.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
+    # Every kind of complement for each role; least start and greatest end of each role in each stretch. A span that
+    # touches the stretch after a part's last can only be too far by its start, one before its first only by its end.
+    edge = part.groupBy("doc_id", "text_hash", "stretch").agg(*(f(F.when(F.col("role") == r, F.col(c))).alias(f"{name}_{r}") for r in ("id", "secret", "where") for name, f, c in (("first", F.min, "start"), ("last", F.max, "end"))))
     near = edge.withColumn("by", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("stretch", F.col("stretch") + F.col("by")).drop("by")
     near = near.withColumnsRenamed({"doc_id": "d", "text_hash": "t", "stretch": "n"})
     weak_part = part.where("NOT strong")
     met = weak_part.join(near, weak_part.doc_id.eqNullSafe(near.d) & (weak_part.text_hash == near.t) & (weak_part.stretch == near.n))
 
     def by(r: str) -> Column:
-        first, last, at = F.col(f"first_{r}"), F.col(f"last_{r}"), F.col("start")
-        return F.coalesce((F.abs(first - at) <= scope) | (F.abs(last - at) <= scope), F.lit(False))
+        return F.coalesce((F.col(f"first_{r}") <= F.col("end") + scope) & (F.col(f"last_{r}") >= F.col("start") - scope), F.lit(False))
 
     linked = met.where(F.when(F.col("role") == "secret", by("id") | by("where")).otherwise(by("secret")))
     return made.select("doc_id", "text_hash", "base"), linked.select("doc_id", "text_hash", "kind", "start", "end").distinct()

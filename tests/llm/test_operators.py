@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from hashlib import sha256
 
@@ -112,6 +113,25 @@ def test_weak_parts_need_a_complement(spark):
     assert got == {1: ["short", "endpoint"], 2: [], 3: [], 4: [], 5: ["account", "assign", "hex"], 6: ["hex"]}
 
 
+def test_scope_is_measured_between_spans(spark):
+    """Links by the gap between spans, whatever their lengths, against all pairs."""
+    r, url = random.Random(8), "https://h.example.com/"
+    docs = [(1, f"{url}{'p' * 300} password: hunter2"), (2, f"{url}{'p' * 900}{' ' * 190} pwd password: hunter2"), (3, f"password: hunter2{' ' * 200}{url}x"), (4, f"password: hunter2{' ' * 201}{url}x"), (5, f"login: {'u' * 700}{' ' * 150}passwd=x1")]
+    kinds = [lambda n: url + "p" * n, lambda n: "password: " + "q" * (n % 11 + 1), lambda n: "login: " + "u" * (n + 3), lambda n: "token=" + "k" * (12 + n)]
+    docs += [(100 + i, "".join(r.choice(kinds)(r.choice([1, 90, 450])) + " " * r.choice([1, 150, 199, 200, 201, 202, 260]) for _ in range(5))) for i in range(60)]
+    frame = H.docs_frame(spark, docs)
+    _, extra = secret_scan.secret_spans(frame)
+    got = {(x["doc_id"], x["kind"], x["start"], x["end"]) for x in extra.collect()}
+    want = set()
+    for i, t in docs:
+        parts = [("where", "endpoint", *m.span()) for m in re.finditer(r"https://\S+", t)] + [("id", "account", *m.span()) for m in re.finditer(r"login: u+", t)]
+        for m in re.finditer(r"(?:password: |passwd=|token=)(\w+)", t):
+            parts.append(("secret", "assign" if len(m[1]) >= 12 else "short", *m.span()))
+        want |= {(i, k, a, b) for x, k, a, b in parts if k != "assign" for y, _, c, d in parts if (x == "secret") != (y == "secret") and max(a, c) - min(b, d) <= 200}
+    assert got == want
+    assert {i for i, *_ in got if i < 100} == {1, 2, 3, 5}
+
+
 def test_redaction(spark):
     docs = [(1, f"a é token={HEX} z {HEX}"), (2, "plain"), (3, None), (4, "")]
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(H.docs_frame(spark, docs)).collect()}
