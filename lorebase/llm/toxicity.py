@@ -5,12 +5,17 @@ training rows: a word or word beginning that is significantly more frequent amon
 toxic documents marks its tokens there. The field (two states, hashed features of a
 word, its beginnings and its neighbours) is fitted by minibatch gradients on one half
 of a bounded sample; a logistic link from the marginals of a document to its label is
-fitted on the other half. Every document is then tagged by forward-backward over
-whole texts.
+fitted on the other half, both in one executor task. Every document is then tagged by
+forward-backward over its whole text, however long: a chain is a document.
+
+Chains of any length run side by side in blocks: products of transfer matrices carry
+the messages from block to block, and each block then starts from those that enter it.
+The marginals are those of the unbroken chain.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, text_buffer
+from .common import checkpoint, ship, slices, text_buffer
 from .wordhash import NOT_ALNUM, Words, mix, spans_hash, words
 
 TABLE = 1 << 18
-CHAIN = 64
+BLOCK = 64
 BEGINNINGS = (4, 5, 6, 7, 8)
 _CONTEXT = (-1, 1)
 
@@ -61,45 +66,75 @@ def feature_slots(features: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return slots
 
 
-def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and length of each chain: runs of at most CHAIN tokens of one document."""
-    at = [np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:], strict=True)]
-    start = np.concatenate(at) if at else np.zeros(0, np.int64)
-    end = np.minimum(start + CHAIN, np.repeat(first[1:], [len(x) for x in at]) if at else start)
-    return start.astype(np.int64), (end - start).astype(np.int64)
-
-
-def forward_backward(emit: np.ndarray, size: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1, (chain, position), and expected transitions (2 x 2), for padded emission log-odds."""
-    n, t = emit.shape
-    inside = np.arange(t)[None, :] < size[:, None]
-    e1 = np.where(inside, np.exp(np.clip(emit, -30, 30)), 1.0)
-    a = np.exp(step)
-    fwd, back = np.empty((2, t, n)), np.ones((2, t, n))
-    scale = 1 + e1[:, 0]
-    fwd[0, 0], fwd[1, 0] = 1 / scale, e1[:, 0] / scale
-    for i in range(1, t):
-        x0 = fwd[0, i - 1] * a[0, 0] + fwd[1, i - 1] * a[1, 0]
-        x1 = (fwd[0, i - 1] * a[0, 1] + fwd[1, i - 1] * a[1, 1]) * e1[:, i]
-        scale = x0 + x1
-        fwd[0, i], fwd[1, i] = x0 / scale, x1 / scale
-    moves = np.zeros((2, 2))
-    for i in range(t - 2, -1, -1):
-        y0, y1 = back[0, i + 1], back[1, i + 1] * e1[:, i + 1]
-        x0, x1 = a[0, 0] * y0 + a[0, 1] * y1, a[1, 0] * y0 + a[1, 1] * y1
-        scale = x0 + x1
-        on = inside[:, i + 1]
-        back[0, i], back[1, i] = np.where(on, x0 / scale, 1.0), np.where(on, x1 / scale, 1.0)
-        z = fwd[0, i] * x0 + fwd[1, i] * x1
-        for p, q, y in ((0, 0, y0), (0, 1, y1), (1, 0, y0), (1, 1, y1)):
-            moves[p, q] += (fwd[p, i] * a[p, q] * y / z)[on].sum()
-    top = fwd * back
-    return (top[1] / (top[0] + top[1])).T, moves
+def _block_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token, length and number within its chain of each block of at most BLOCK tokens; `first` holds the chains' first tokens, and the end."""
+    size = np.diff(first)
+    count = -(-size // BLOCK)
+    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = np.repeat(first[:-1], count) + BLOCK * number
+    return start, np.minimum(BLOCK, np.repeat(first[1:], count) - start), number
 
 
-def _padded(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    at = start[:, None] + np.arange(CHAIN)[None, :]
-    return np.where(np.arange(CHAIN)[None, :] < size[:, None], values[np.minimum(at, len(values) - 1)], 0.0)
+def forward_backward(emit: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 of each token, and expected transitions (2 x 2), of chains that lie end to end.
+
+    emit: log-odds of state 1 by token; first: first token of each chain, and the end;
+    step: log scores of transitions.
+    """
+    if not len(emit):
+        return np.zeros(0), np.zeros((2, 2))
+    a, odds = np.exp(step), np.exp(np.clip(emit, -30, 30))
+    start, size, number = _block_starts(first)
+    at = np.minimum(start[None, :] + np.arange(BLOCK)[:, None], len(emit) - 1)
+    inside = np.arange(BLOCK)[:, None] < size[None, :]
+    e = np.where(inside, odds[at], 1.0)
+    n = len(start)
+
+    # What a block makes of a message: emission of its first token, then transition and emission of each other.
+    whole = np.zeros((2, 2, n))
+    whole[0, 0], whole[1, 1] = 1.0, e[0]
+    for t in range(1, BLOCK):
+        on = inside[t]
+        if not on.any():
+            break
+        for row in (0, 1):
+            x0, x1 = whole[row, 0] * a[0, 0] + whole[row, 1] * a[1, 0], (whole[row, 0] * a[0, 1] + whole[row, 1] * a[1, 1]) * e[t]
+            whole[row, 0], whole[row, 1] = np.where(on, x0, whole[row, 0]), np.where(on, x1, whole[row, 1])
+        whole /= whole.sum((0, 1))
+    enter, leave = np.full((2, n), 0.5), np.full((2, n), 0.5)
+    last = np.append(number[1:] == 0, True)
+    for k in range(1, int(number.max()) + 1):  # messages from block to block, over all chains at once
+        here = np.flatnonzero(number == k)
+        x = np.einsum("in,ijn->jn", enter[:, here - 1], whole[:, :, here - 1])
+        x = np.einsum("in,ij->jn", x, a)
+        enter[:, here] = x / x.sum(0)
+    for k in range(int(number.max()) - 1, -1, -1):
+        here = np.flatnonzero((number == k) & ~last)
+        x = np.einsum("ijn,jn->in", whole[:, :, here + 1], leave[:, here + 1])
+        x = np.einsum("ij,jn->in", a, x)
+        leave[:, here] = x / x.sum(0)
+
+    fwd, back = np.empty((2, BLOCK, n)), np.empty((2, BLOCK, n))
+    x0, x1 = enter[0], enter[1] * e[0]
+    fwd[0, 0], fwd[1, 0] = x0 / (x0 + x1), x1 / (x0 + x1)
+    for t in range(1, BLOCK):
+        x0 = fwd[0, t - 1] * a[0, 0] + fwd[1, t - 1] * a[1, 0]
+        x1 = (fwd[0, t - 1] * a[0, 1] + fwd[1, t - 1] * a[1, 1]) * e[t]
+        fwd[0, t], fwd[1, t] = x0 / (x0 + x1), x1 / (x0 + x1)
+    back[:, BLOCK - 1] = leave
+    for t in range(BLOCK - 2, -1, -1):
+        y0, y1 = back[0, t + 1], back[1, t + 1] * e[t + 1]
+        x0, x1 = a[0, 0] * y0 + a[0, 1] * y1, a[1, 0] * y0 + a[1, 1] * y1
+        on = inside[t + 1]  # a block's last token has the message that leaves it
+        back[0, t], back[1, t] = np.where(on, x0 / (x0 + x1), leave[0]), np.where(on, x1 / (x0 + x1), leave[1])
+    f, b = (x.transpose(0, 2, 1)[:, inside.T] for x in (fwd, back))  # by token
+    top = f * b
+    p = top[1] / top.sum(0)
+    later = np.ones(len(emit), bool)
+    later[first[:-1][np.diff(first) > 0]] = False
+    later = np.flatnonzero(later)
+    pair = np.stack([f[i, later - 1] * a[i, j] * b[j, later] * (odds[later] if j else 1.0) for i in (0, 1) for j in (0, 1)])
+    return p, (pair / pair.sum(0)).sum(1).reshape(2, 2)
 
 
 def marginals(model: Model, w: Words) -> np.ndarray:
@@ -107,9 +142,7 @@ def marginals(model: Model, w: Words) -> np.ndarray:
     if not len(w.hash):
         return np.zeros(0)
     emit = model.bias + model.weight[feature_slots(word_features(w), w.doc)].sum(0)
-    start, size = chains(w.first)
-    p, _ = forward_backward(_padded(emit, start, size), size, model.step)
-    return p[np.arange(CHAIN)[None, :] < size[:, None]]
+    return forward_backward(emit, w.first, model.step)[0]
 
 
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -139,42 +172,37 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def fit_field(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int = 6, batch: int = 512, rate: float = 0.3, seed: int = 5) -> Model:
-    """The field's weights, from token labels: chains with a toxic token and three times as many others."""
-    start, size = chains(first)
-    y = _padded(toxic.astype(float), start, size)
+def fit_field(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: int = 200, batch: int = 64, rate: float = 0.3, seed: int = 5) -> Model:
+    """The field's weights, from token labels: documents with a toxic token and three times as many others, each one chain; six epochs, and `steps` batches at least."""
+    y, size = toxic.astype(float), np.diff(first)
     r = np.random.default_rng(seed)
-    with_toxic = np.flatnonzero(y.any(1))
-    rest = np.setdiff1d(np.arange(len(start)), with_toxic)
+    held = np.concatenate([[0], np.cumsum(toxic)])
+    marked = held[first[1:]] > held[first[:-1]]
+    with_toxic, rest = np.flatnonzero(marked), np.flatnonzero(~marked & (size > 0))
     use = np.concatenate([with_toxic, r.permutation(rest)[: 3 * len(with_toxic) + 500]])
     weight, step = np.zeros(TABLE), np.zeros((2, 2))
     weight_sq, step_sq = np.full(TABLE, 1e-4), np.full((2, 2), 1e-2)
     bias, bias_sq = -3.0, 1e-2
-    inside_at = np.arange(CHAIN)
-    for _ in range(epochs):
+    for _ in range(max(6, -(-steps * batch // max(1, len(use))))):
         for at in range(0, len(use), batch):
-            pick = use[(at + np.arange(min(batch, len(use) - at)))]
-            s, n = start[pick], size[pick]
-            inside = inside_at[None, :] < n[:, None]
-            tok = (s[:, None] + inside_at[None, :])[inside]
-            emit = np.zeros((len(pick), CHAIN))
-            emit[inside] = weight[slots[:, tok]].sum(0) + bias
-            p, moves = forward_backward(emit, n, step)
-            gap = (y[pick] - p)[inside]
-            grad = np.bincount(slots[:, tok].ravel(), np.tile(gap, len(slots)), TABLE) / len(pick) - 1e-5 * weight
+            pick = use[at : at + batch]
+            n = size[pick]
+            own = np.concatenate([[0], np.cumsum(n)])
+            tok = np.arange(own[-1]) + np.repeat(first[pick] - own[:-1], n)
+            p, moves = forward_backward(weight[slots[:, tok]].sum(0) + bias, own, step)
+            gap, chains = y[tok] - p, max(1.0, own[-1] / BLOCK)
+            grad = np.bincount(slots[:, tok].ravel(), np.tile(gap, len(slots)), TABLE) / chains - 1e-5 * weight
             grad[0] = 0
             weight_sq += grad**2
             weight += rate * grad / np.sqrt(weight_sq)
-            g = gap.sum() / len(pick)
+            g = gap.sum() / chains
             bias_sq += g * g
             bias += rate * g / np.sqrt(bias_sq)
-            seen = np.zeros((2, 2))
-            both = inside[:, 1:]
-            a, b = y[pick][:, :-1][both], y[pick][:, 1:][both]
-            for i in (0, 1):
-                for j in (0, 1):
-                    seen[i, j] = ((a == i) & (b == j)).sum()
-            g2 = (seen - moves) / len(pick)
+            later = np.ones(len(tok), bool)
+            later[own[:-1]] = False
+            b = np.flatnonzero(later)
+            seen = np.bincount((2 * y[tok[b - 1]] + y[tok[b]]).astype(np.int64), minlength=4).reshape(2, 2)
+            g2 = (seen - moves) / chains
             step_sq += g2**2
             step += 0.1 * g2 / np.sqrt(step_sq)
         use = r.permutation(use)
@@ -189,7 +217,7 @@ def _sliced(texts: list[str | None]) -> Iterator[tuple[int, Words]]:
 
 
 def fit(sample: list[tuple[str | None, int]], marked: np.ndarray, prior: float) -> Model:
-    """The model from (text, toxic) rows; marked: sorted hashes of the word beginnings that mark toxic tokens."""
+    """The model from (text, toxic) rows; marked: sorted hashes of the words and word beginnings that mark toxic tokens."""
     empty = Model(np.zeros(TABLE), -30.0, np.zeros((2, 2)), np.array([np.log((prior + 1e-4) / (1 - prior + 1e-4)), 0, 0, 0, 0, 0]))
     fields, links = sample[::2], sample[1::2]
     if not len(marked) or len({y for _, y in fields}) < 2 or len({y for _, y in links}) < 2:
@@ -199,7 +227,7 @@ def fit(sample: list[tuple[str | None, int]], marked: np.ndarray, prior: float)
     for i, w in _sliced([x for x, _ in fields]):
         features = word_features(w)
         slots.append(feature_slots(features, w.doc))
-        toxic.append(label[i + w.doc] & np.isin(features[1:], marked).any(0))
+        toxic.append(label[i + w.doc] & np.isin(features, marked).any(0))
         sizes.append(np.diff(w.first))
     model = fit_field(np.concatenate(slots, 1), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(toxic))
     seen = np.concatenate([document_features(marginals(model, w), w.first) for _, w in _sliced([x for x, _ in links])])
@@ -207,8 +235,8 @@ def fit(sample: list[tuple[str | None, int]], marked: np.ndarray, prior: float)
     return Model(model.weight.astype(np.float32), model.bias, model.step, link)
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, toxic documents, clean documents) that hold each word beginning, summed over a task as far as memory bounds allow."""
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic documents, clean documents) that hold each word or word beginning, summed over a task as far as memory bounds allow."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -224,7 +252,7 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = np.asarray(batch.column("toxic"))
         for i, j in slices(offsets):
             w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_ALNUM)
-            f = word_features(w)[1:]
+            f = word_features(w)
             for d in range(j - i):
                 own = np.unique(f[:, w.first[d] : w.first[d + 1]])
                 own = own[own != 0]
@@ -241,6 +269,39 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(summed())
 
 
+def _fit_in_task(prior: float, most_bytes: int):
+    """For one task that gets the sample's texts and labels and the marking features, in any order: the model as one binary row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, str, int]] = []
+        marked: list[np.ndarray] = []
+        for batch in batches:
+            kind, at = batch.column("feature").is_valid().to_numpy(zero_copy_only=False), batch.column("at")
+            marked.append(batch.column("feature").drop_null().to_numpy().view(np.uint64))
+            for i in np.flatnonzero(~kind).tolist():
+                rows.append((at[i].as_py(), batch.column("text")[i].as_py() or "", batch.column("toxic")[i].as_py()))
+        rows.sort(key=lambda r: (r[0], r[1]))
+        size, sample = 0, []
+        for _, text, toxic in rows:
+            size += len(text)
+            if size > most_bytes and sample:
+                break
+            sample.append((text, toxic))
+        model = fit(sample, np.unique(np.concatenate(marked)) if marked else np.zeros(0, np.uint64), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return run
+
+
+def _feature_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct features of the texts of a batch's slice."""
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        for i, j in slices(offsets):
+            own = np.unique(word_features(words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_ALNUM)))
+            yield pa.RecordBatch.from_arrays([pa.array(own[own != 0].view(np.int64))], ["feature"])
+
+
 def toxicity(
     documents: DataFrame,
     labels: DataFrame,
@@ -249,8 +310,8 @@ def toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     folds: int = 5,
-    sample_docs: int = 4000,
-    marks: int = 20_000,
+    sample_docs: int = 8000,
+    sample_chars: int = 64_000_000,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each row of `documents`: doc_id, held_out, score, predicted, mass, spans, and the columns named in `carry`.
@@ -258,12 +319,13 @@ def toxicity(
     held_out is crc32(id as text) mod `folds` = 0; labels of such rows are never read.
     score is the probability that the label is 1, predicted is score >= 0.5, mass the
     expected number of toxic tokens, spans the runs of tokens with a marginal of 0.5 or
-    more as start:end in code points, comma-joined. Word statistics cover all labelled
-    training rows; the fit uses at most about `sample_docs` of them, picked by a hash of
-    their ids, and the `marks` most significant word beginnings. Null and empty texts
-    get the score of a text without words. Without labels of both kinds every score is
-    the share of label 1 (0 if there is none). A repeated label counts as toxic if any
-    says so; rows with a null id or label are not used; other columns are ignored.
+    more as start:end in code points, comma-joined. Word statistics, and so what marks a
+    token, cover all labelled training rows; the fit uses whole texts of at most
+    `sample_docs` of them, picked by a hash of their ids, and of no more than
+    `sample_chars` together but for the first. Null and empty texts get the score of a
+    text without words. Without labels of both kinds every score is the share of label 1
+    (0 if there is none). A repeated label counts as toxic if any says so; rows with a
+    null id or label are not used; other columns are ignored.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -274,20 +336,25 @@ def toxicity(
     n, n_toxic = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
 
     # Labels grow with the corpus, so they are never broadcast.
-    counts = docs.where("text IS NOT NULL").join(train.hint("merge"), "doc_id").select("text", "toxic").mapInArrow(_beginnings, "feature long, toxic long, clean long")
+    counts = docs.where("text IS NOT NULL").join(train.hint("merge"), "doc_id").select("text", "toxic").mapInArrow(_feature_counts, "feature long, toxic long, clean long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = n_toxic / max(n, 1)
     expected = (F.col("toxic") + F.col("clean")) * share
     odds = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5)
     z = (F.col("toxic") - expected) / F.sqrt(expected + 1e-9)
-    strong = counts.where(F.col("toxic") >= 3).where(odds >= 4 * (n_toxic + 0.5) / (n - n_toxic + 0.5)).where(z >= 4)
-    marked = np.array([r[0] for r in strong.orderBy(z.desc(), "feature").limit(marks).select("feature").collect()], np.int64).view(np.uint64)
+    strong = counts.where(F.col("toxic") >= 3).where(odds >= 4 * (n_toxic + 0.5) / (n - n_toxic + 0.5)).where(z >= 4).select("feature")
 
     # Ids of the sample are chosen by a hash before the join, so that only their texts move.
     part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(max(1, n // sample_docs))) == 0
-    rows = docs.where(part).join(train.where(part), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id")).limit(2 * sample_docs).toPandas()
-    model = fit(list(zip(rows["text"], rows["toxic"], strict=True)), np.sort(marked), share)
-    shared = spark.sparkContext.broadcast(model)
+    rows = docs.where(part).join(train.where(part), "doc_id").select(F.xxhash64("doc_id").alias("at"), "text", "toxic").orderBy("at").limit(sample_docs)
+    rows = checkpoint(rows)
+    # Of all features that mark tokens the fit needs those of the sample's texts: as bounded as the sample.
+    marking = rows.where("toxic = 1").select("text").mapInArrow(_feature_set, "feature long").distinct().join(strong, "feature", "left_semi")
+    none = F.lit(None)
+    both = rows.select("at", "text", "toxic", none.cast("long").alias("feature")).union(marking.select(none.cast("long"), none.cast("string"), none.cast("int"), "feature"))
+    fitted = checkpoint(both.repartition(1).mapInArrow(_fit_in_task(share, sample_chars), "model binary"))
+    model = fitted.first()
+    shared = spark.sparkContext.broadcast(pickle.loads(model["model"]) if model else fit([], np.zeros(0, np.uint64), share))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

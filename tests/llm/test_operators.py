@@ -213,21 +213,61 @@ def test_forward_backward_equals_enumeration():
     from itertools import product
 
     r = np.random.default_rng(1)
-    emit, step, size = np.zeros((3, 5)), r.normal(size=(2, 2)), np.array([5, 3, 1])
-    for i, n in enumerate(size):
-        emit[i, :n] = r.normal(size=n)
-    p, moves = toxicity.forward_backward(emit, size, step)
+    size, step = [5, 3, 0, 1, 0], r.normal(size=(2, 2))
+    first = np.concatenate([[0], np.cumsum(size)])
+    emit = r.normal(size=first[-1])
+    p, moves = toxicity.forward_backward(emit, first, step)
     seen = np.zeros((2, 2))
-    for i, n in enumerate(size):
-        paths = list(product((0, 1), repeat=int(n)))
-        w = np.array([np.exp(sum(emit[i, k] * y for k, y in enumerate(ys)) + sum(step[a, b] for a, b in zip(ys, ys[1:], strict=False))) for ys in paths])
+    for at, n in zip(first, size, strict=False):
+        paths = list(product((0, 1), repeat=n))
+        w = np.array([np.exp(sum(emit[at + k] * y for k, y in enumerate(ys)) + sum(step[a, b] for a, b in zip(ys, ys[1:], strict=False))) for ys in paths])
         w /= w.sum()
         for k in range(n):
-            assert abs(sum(x for x, ys in zip(w, paths, strict=True) if ys[k]) - p[i, k]) < 1e-9
+            assert abs(sum(x for x, ys in zip(w, paths, strict=True) if ys[k]) - p[at + k]) < 1e-9
         for x, ys in zip(w, paths, strict=True):
             for a, b in zip(ys, ys[1:], strict=False):
                 seen[a, b] += x
     assert np.allclose(seen, moves)
+    assert toxicity.forward_backward(np.zeros(0), np.zeros(3, int), step)[0].tolist() == []
+
+
+@pytest.mark.parametrize("strength", [0.3, 1.5, 4.0])
+def test_marginals_of_long_chains_are_those_of_the_whole_chain(strength):
+    """Against a chain walked token by token: lengths around and far beyond a block."""
+    r = np.random.default_rng(int(10 * strength))
+    size = [63, 64, 65, 128, 129, 1, 3000, 200]
+    first, step = np.concatenate([[0], np.cumsum(size)]), strength * r.normal(size=(2, 2))
+    emit = 3 * r.normal(size=first[-1])
+    p, moves = toxicity.forward_backward(emit, first, step)
+    want, seen = [], np.zeros((2, 2))
+    for at, n in zip(first, size, strict=False):
+        e = np.stack([np.zeros(n), emit[at : at + n]], 1)
+        f, b = [e[0]], [np.zeros(2)]
+        for k in range(1, n):
+            f.append(np.logaddexp(f[-1][0] + step[0], f[-1][1] + step[1]) + e[k])
+        for k in range(n - 1, 0, -1):
+            x = b[0] + e[k]
+            b.insert(0, np.logaddexp(step[:, 0] + x[0], step[:, 1] + x[1]))
+        z = np.logaddexp(*f[-1])
+        want += [np.exp(f[k][1] + b[k][1] - z) for k in range(n)]
+        for k in range(1, n):
+            seen += np.exp(f[k - 1][:, None] + step + (e[k] + b[k])[None, :] - z)
+    assert np.abs(p - want).max() < 1e-9 and np.allclose(moves, seen)
+
+
+def test_short_toxic_words_are_learnt(spark):
+    """A three-letter toxic word, and one that clean words begin with."""
+    r = random.Random(9)
+    docs, labels = [], []
+    for i in range(800):
+        w = prose(i, 50, 300).split() + ["hello", "helloing"]
+        if i % 5 == 0:
+            w += [r.choice(["zyx", "hell"])] * 3
+        r.shuffle(w)
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    rows = toxicity.toxicity(H.docs_frame(spark, docs), spark.createDataFrame([(*x, 1, "s") for x in labels], "doc_id long, toxic int, mass int, text string")).where("held_out").collect()
+    assert sum(x["predicted"] != (x["doc_id"] % 5 == 0) for x in rows) <= len(rows) // 50
 
 
 def test_toxicity_learns_and_ignores_held_out_labels(spark):
