@@ -3,8 +3,9 @@
 Documents are tokenised where they stand. Pieces are dealt to partitions of about
 `partition_rows` pieces; each is packed by best-fit decreasing and certified by a
 lower bound on its number of bins. A partition that meets its bound is done. One
-with a gap gives up its least filled bins; the pieces of `fan_in` such partitions
-meet in one partition and are packed anew, and so on until one partition is left.
+with a gap gives up as many of its least filled bins as the gap has, and one more; the
+pieces of `fan_in` such partitions meet in one partition and are packed anew, and so on
+until one partition is left or no fewer partitions would hold them.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ class Tokens:
     In this vocabulary's pattern a single space between other characters always begins
     a token's word, so a text is the join of its pieces between spaces, and the ids of
     pieces that come again are kept (at most `_CACHED` of them). Texts with a run of
-    white space that holds a space are encoded whole. Special tokens' names are plain text.
+    white space that holds a space are encoded whole. Where a text holds the name of one
+    of the file's added tokens, that is the token's id and the parts beside it are texts
+    of their own, as `tokenizers` has it.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -47,10 +50,17 @@ class Tokens:
         if path.endswith(".json"):
             table = {c: b for b, c in enumerate(_byte_alphabet())}
             file = json.loads(Path(path).read_text())
-            vocabulary, special = file["model"]["vocab"], {x["content"] for x in file.get("added_tokens", [])}
+            added = file.get("added_tokens", [])
+            if any(x.get(flag) for x in added for flag in ("lstrip", "rstrip", "single_word")):
+                raise ValueError("added tokens that take in what stands beside them are not supported")
+            vocabulary, special = file["model"]["vocab"], {x["content"]: x["id"] for x in added}
             ranks = {bytes(table[c] for c in word): i for word, i in vocabulary.items() if word not in special}
         else:
-            ranks = {b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+            ranks, special = {b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}, {}
+        self.special = {name: array("I", [i]) for name, i in special.items()}
+        for x in self.special.values() if sys.byteorder == "big" else ():
+            x.byteswap()
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
@@ -61,6 +71,11 @@ class Tokens:
         return ids.tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return b"".join(self.special[x].tobytes() if x in self.special else self._plain(x) for x in self.added.split(text) if x)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _RUN.search(text):
             return self._encode(text)
         parts = text.split(" ")
@@ -156,16 +171,16 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(held, np.int64)
 
 
-def _packer(step: int, capacity: int, exchange_bins: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Packs one partition and marks the bins that it gives up: none if its bound is met."""
+def _packer(step: int, capacity: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs one partition and marks the bins that it gives up: none if its bound is met, or in the last round."""
 
     def pack(df: pd.DataFrame) -> pd.DataFrame:
         lengths = df["length"].to_numpy()
         b, offset, held = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(lengths, capacity)
         given = np.zeros(len(held), bool)
-        if exchange_bins and len(held) > bound:
-            given[np.argsort(held, kind="stable")[: min(len(held) - bound + 1, exchange_bins)]] = True
+        if not last and len(held) > bound:
+            given[np.argsort(held, kind="stable")[: len(held) - bound + 1]] = True
         part = int(df["part"].iloc[0])
         return df.assign(sequence_id=(step << 57) + (part << 24) + b, offset=offset, bins=len(held), bound=bound, open=given[b])
 
@@ -183,7 +198,6 @@ def pack_documents(
     end_id: int = 0,
     partition_rows: int = 8192,
     fan_in: int = 16,
-    exchange_bins: int = 32,
 ) -> DataFrame:
     """One row for each piece of each row of `documents`: doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins, bound.
 
@@ -191,9 +205,9 @@ def pack_documents(
     its first piece takes the remainder. No piece is lost or cut otherwise. Null text is
     empty: one piece of length 1. Repeated rows are packed each for itself; ids may be
     null. `bins` and `bound` are the number of bins and the certified lower bound of the
-    partition in which the piece was packed last. A partition exchanges at most
-    `exchange_bins` of its bins, so that later rounds are small. An empty table gives an
-    empty result; other columns are ignored.
+    partition in which the piece was packed last. Every round has fewer partitions, of
+    about `partition_rows` pieces or fewer each; they end where no fewer would do. An
+    empty table gives an empty result; other columns are ignored.
     """
     ship(documents.sparkSession)
 
@@ -216,17 +230,17 @@ def pack_documents(
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, part long, sequence_id long, offset long, bins long, bound long, open boolean"
     open_rows = open_rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    result = None
-    for step in range(64):
+    result, step = None, 0
+    while True:
         last = parts == 1
-
-        packed = open_rows.groupBy("part").applyInPandas(_packer(step, capacity, 0 if last else exchange_bins), schema)
-        if last:
+        packed = open_rows.groupBy("part").applyInPandas(_packer(step, capacity, last), schema)
+        packed = packed if last else checkpoint(packed)
+        given = 0 if last else packed.where("open").count()
+        fewer = max(-(-parts // fan_in), -(-given // partition_rows))
+        if given == 0 or fewer >= parts:
             done = packed.select(columns)
             return done if result is None else result.unionByName(done)
-        packed = checkpoint(packed)
         done = packed.where("NOT open").select(columns)
         result = done if result is None else result.unionByName(done)
-        parts = -(-parts // fan_in)
+        parts, step = fewer, step + 1
         open_rows = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", "row", F.pmod("part", F.lit(parts)).alias("part"))
-    raise AssertionError("partitions do not end")

@@ -170,8 +170,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    docs = [x for x in ODD if x[0] != 10] + [(100 + i, prose(i, 20 + 7 * i)) for i in range(60)] + [(300, "a  b   c \n d\n\n e <|endoftext|> 12 34's"), (301, " 　 x\t y "), (302, "tail  ")]
+    docs = [x for x in ODD if x[0] != 10] + [(100 + i, prose(i, 20 + 7 * i)) for i in range(60)] + [(300, "a  b   c \n d\n\n e <|endoftext|> 12 34's"), (301, " 　 x\t y "), (302, "tail  "), (303, "hi <|endoftext|> x"), (304, "<|endoftext|><|endoftext|>  <|endoftext|"), (305, "a <|endoftext|>\n\n b's <|endoftext|>")]
     rows = packing.pack_documents(H.docs_frame(spark, docs).repartition(3), tokenizer_path=P.path("byte_bpe_50k.json"), pattern=P.PATTERN, partition_rows=40, fan_in=2).collect()
     want = []
     for i, text in docs:

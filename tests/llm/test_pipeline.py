@@ -52,7 +52,6 @@ def test_pipeline_equals_brute_force(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in seen["secrets"].values())
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     packed = corpus_pipeline.run(spark, SF).collect()
     want = Counter()
     for i, text in got.items():
