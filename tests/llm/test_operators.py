@@ -354,15 +354,97 @@ def test_perspectives(spark):
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS."""
+
+
+def test_licenses_of_real_headers(spark):
+    """Official wording wrapped, on one line, and behind the comment marks of several languages."""
+    texts = {"mit_text": MIT, "apache_header": APACHE, "gpl3_header": GPL3, "bsd2_text": BSD2, "bsd3_text": BSD3, "mpl_header": MPL, "isc_text": ISC}
+    shapes = [lambda t: t, lambda t: " ".join(t.split()), *(lambda t, m=m: "\n".join(f"{m} {x}" for x in t.split("\n")) for m in ("//", "#", " *", "--", ";;", "dnl", "%")), lambda t: f"Code first.\n\n/*\n{t}\n*/\nint main;", lambda t: t.replace("\n", "\r\n")]
+    docs = [(100 * i + j, shape(t)) for i, t in enumerate(texts.values(), 1) for j, shape in enumerate(shapes)]
+    got = {}
+    for r in license_scan.scan_licenses(H.docs_frame(spark, docs)).collect():
+        got.setdefault(r["doc_id"], []).append(r["rule"])
+    assert got == {100 * i + j: [name] for i, name in enumerate(texts, 1) for j in range(len(shapes))}
+
+
 def test_licenses(spark):
     s = license_scan.SENTENCES
+    assert all(re.search(license_scan.HINT, license_scan.normalised(x)) for x in s.values())
     mit = f"{s[3]}.\n{s[4]}. Filler here! {s[5].upper()}."
-    docs = ODD + [(20, mit), (21, f"{s[5]}. {s[4]}. {s[3]}."), (22, "x\nLicensed under the Apache License, Version 2.0.\ny"), (22, "Released under the MIT License."), (23, "Released under the MIT Licenses.")]
+    docs = ODD + [(20, mit), (21, f"{s[5]}. {s[4]}. {s[3]}."), (22, "x\nLicensed under the Apache License, Version 2.0.\ny"), (22, "Released under the MIT License."), (23, "Released under the MIT Licenses."), (24, "This project is Licensed under the\nApache License, Version 2.0."), (25, "a license. " * 20_000), (26, f"{s[50]}. {s[51]}"), (27, "unlicensed under the mit license")]
     rows = [(r["doc_id"], r["rule"], r["sentence_ids"]) for r in license_scan.scan_licenses(H.docs_frame(spark, docs)).collect()]
-    assert sorted(rows) == [(20, "mit_text", "3,4,5"), (22, "apache_notice", "10"), (22, "mit_notice", "1")]
+    assert sorted(rows) == [(20, "mit_text", "3,4,5"), (22, "apache_notice", "10"), (22, "mit_notice", "1"), (24, "apache_notice", "10"), (26, "mpl_header", "50,51")]
     assert license_scan.scan_licenses(H.docs_frame(spark, docs).limit(0)).count() == 0
 
 
+def test_licenses_sql_on_real_headers(spark, tmp_path):
+    """The SQL twin on a table of such texts."""
+    from ..conftest import same_rows
+
+    rows = [(i, t) for i, t in enumerate([MIT, APACHE, GPL3, BSD2, BSD3, MPL, ISC, "# " + APACHE.replace("\n", "\n# "), None, "", "SPDX-License-Identifier: MIT\n\n" + BSD3], 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    same_rows(license_scan.scan_licenses(spark.read.parquet(f"{tmp_path}/documents")), license_scan.SQL.replace("FROM documents", f"FROM '{tmp_path}/documents/*.parquet'"))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, compare, name):
     compare(queries.queries()[name](spark, SF), queries.oracle_sql()[name])
