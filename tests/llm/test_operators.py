@@ -324,12 +324,93 @@ def test_quality_counts_equal_brute_force(spark):
     assert quality.quality_rules(H.docs_frame(spark, docs).limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one_and_bands_reject(spark):
-    count = np.zeros(quality.SIZE)
-    r = np.random.default_rng(4)
-    np.add.at(count, r.integers(0, 60_000, 20_000), 1)
-    p = quality.kneser_ney(count)
-    assert np.allclose(p.reshape(-1, 32).sum(1), 1)
+def kneser_ney_costs(texts):
+    """Mean negative log probability of each text's folded code points by interpolated modified Kneser-Ney of order 4, from dictionaries."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    def symbols(t):
+        out = []
+        for c in t:
+            x = " " if c.isspace() or ord(c) < 32 else "0" if c.isdecimal() else c.lower() if len(c.lower()) == 1 else c
+            if not (x == " " and out and out[-1] == " "):
+                out.append(x)
+        return out
+
+    grams = [[tuple((["\0"] * 3 + w)[i : i + 4]) for i in range(len(w))] for w in map(symbols, texts)]
+    tables = {4: Counter(g for x in grams for g in x)}
+    for k in (3, 2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    info = {}
+    for k, table in tables.items():
+        n1, n2, n3, n4 = (sum(c == i for c in table.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        d = [0.0] + [min(max(i - (i + 1) * y * b / a, 0.0), i) if n1 and a else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        total, spare = Counter(), defaultdict(float)
+        for g, c in table.items():
+            total[g[:-1]] += c
+            spare[g[:-1]] += d[min(c, 3)]
+        info[k] = d, total, spare
+
+    def p(g):
+        if not g:
+            return 1 / len(tables[1])
+        d, total, spare = info[len(g)]
+        c, h = tables[len(g)][g], g[:-1]
+        return (c - d[min(c, 3)] + spare[h] * p(g[1:])) / total[h]
+
+    return [sum(-log(p(g)) for g in x) / len(x) if x else None for x in grams]
+
+
+def lingual():
+    """(id, text, lang) in three scripts, one language null."""
+    cyrillic, han = "абвгдежзийклмнопрстуфхцчшщыэюя", [chr(0x4E00 + 7 * i) for i in range(300)]
+
+    def made(seed, lang):
+        r = random.Random(seed)
+        if lang == "zh":
+            return "。".join("".join(r.choice(han[:60] if r.random() < 0.8 else han) for _ in range(r.randrange(5, 30))) + " x" for _ in range(r.randrange(12, 40)))
+        letters = cyrillic if lang == "ru" else "abcdefghij"
+        return " ".join("".join(r.choice(letters[: 6 + i]) for i in range(r.randrange(2, 9))).capitalize() for _ in range(r.randrange(12, 160)))
+
+    rows = [(1000 * k + i, made(1000 * k + i, lang), lang) for k, lang in enumerate(("ru", "zh", None), 1) for i in range(90)]
+    r = random.Random(1)
+    noise = [" ".join("".join(r.choice(cyrillic) for _ in range(6)) for _ in range(60)), "".join(chr(0x4E00 + r.randrange(8000)) + " " for _ in range(120)), "ы " * 5 + " ".join(f"ъ{i}ъъъ" for i in range(300))]
+    return rows + [(9001, noise[0], "ru"), (9002, noise[1], "zh"), (9003, noise[2], "ru"), (9004, None, "ru"), (9005, "", "zh"), (None, rows[0][1], "ru"), (9006, "🙂 😀 \U00020000 İx \x00 ½ ²  \u00a0 9 ٣", "xx")]
+
+
+@pytest.mark.parametrize("model_rows", [2_000_000, 4000])
+def test_perplexity_and_bands_equal_brute_force(spark, model_rows):
+    rows = lingual()
+    frame = spark.createDataFrame([(*x, 1, 2.0) for x in rows], "doc_id long, text string, lang string, grp int, total double").repartition(3)
+    got = {r["doc_id"]: r for r in quality.quality_rules(frame, model_rows=model_rows).collect()}
+    for lang in ("ru", "zh", None, "xx"):
+        own = [(i, t) for i, t, x in rows if x == lang]
+        # What lies beyond the basic plane shares the symbols of its private-use area.
+        want = kneser_ney_costs(["".join(c if ord(c) < 0x10000 else chr(0xE000 + ord(c) % 6400) for c in (t or "")) for _, t in own])
+        for (i, _), x in zip(own, want, strict=True):
+            assert got[i]["log_perplexity"] is None if x is None else abs(got[i]["log_perplexity"] - x) < 1e-5
+        cost = {i: got[i]["log_perplexity"] for i, _ in own}
+        good = {i for i in cost if not got[i]["base_failed"]}
+        n_symbols = {i: len(re.sub(r"\s+", " ", t or "")) for i, t in own}
+        quart = lambda xs: [sorted(xs)[max(0, -(-p * len(xs) // 4) - 1)] for p in (1, 3)]
+        place = {i: np.log(max(1, n)) / np.log(4) for i, n in n_symbols.items()}
+        edges = {}
+        for k in {int(np.floor(place[i] + 0.5)) for i in good}:
+            xs = [cost[i] for i in good if int(np.floor(place[i] + 0.5)) == k]
+            w, (a, b), (c, d) = len(xs) / (len(xs) + 50), quart(xs), quart([cost[i] for i in good])
+            lo, hi = w * a + (1 - w) * c, w * b + (1 - w) * d
+            edges[k] = lo - 4 * max(hi - lo, 0.005), hi + 12 * max(hi - lo, 0.005)
+        for i in cost:
+            k, f = int(np.floor(place[i])), place[i] % 1
+            x, y = edges.get(k), edges.get(k + 1)
+            x, y = x or y, y or x
+            keep = i in good and (1 - f) * x[0] + f * y[0] <= cost[i] <= (1 - f) * x[1] + f * y[1]
+            assert got[i]["kept"] == bool(keep), i
+    assert not got[9002]["kept"] and not got[9003]["kept"] and got[1001]["kept"]
+
+
+def test_symbol_noise_is_rejected(spark):
     docs = [(i, prose(i, 60)) for i in range(120)] + [(500, " ".join(f"q{x}zzj" * 3 for x in "abcdefghijklmnopqrst")), (501, prose(999, 80))]
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(H.docs_frame(spark, docs)).collect()}
     assert not kept.pop(500) and all(kept.values())
