@@ -9,12 +9,19 @@
    the posterior P(similarity >= threshold | m, n), under a uniform prior, is
    P(Bin(n + 1, threshold) <= m); below `miss` the pair is dropped. Survivors are
    confirmed on the full shingle sets.
-4. Buckets that still touch several components are finished exactly: small ones
-   compare all pairs of different components (at most `small_bucket` rows each);
-   large ones are joined to groups whose documents meet block by block inside tasks:
-   survivors of the signatures are confirmed there on the full sets, and only links
-   that join two components of the block leave, fewer than it has rows. Blocks of the
-   group's main component don't meet each other, so a group of copies stays linear.
+4. Buckets that still touch several components are finished exactly. Small ones
+   compare all pairs of different components (at most `small_bucket` rows each).
+   Members of large ones are dealt anew by their rarest shingles: of two linked sets
+   both hold a common shingle among the first 100 - `percent` percent of an order from
+   rare to frequent, and the smaller set holds it still further in front. A page
+   template that very many texts share stands behind, so texts that have only that in
+   common never meet, however many they are.
+5. Shingles' postings that still touch several components are finished as buckets are:
+   small ones pair by pair; members of large ones meet block by block inside tasks, in
+   blocks of bounded bytes. Survivors of the signatures are confirmed there on the full
+   sets, and only links that join two components of the block leave, fewer than it has
+   rows. Blocks of the group's main component don't meet each other, so a group of
+   copies stays linear.
 """
 
 from __future__ import annotations
@@ -38,6 +45,9 @@ ROWS = 8
 BANDS = 32
 BATCH = 32
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
+#: Counters of the sketch that orders shingles from rare to frequent. The order decides on speed only.
+SKETCH = 1 << 20
 
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,22 +194,21 @@ def near_duplicates(
 
     def pruned(pairs: DataFrame) -> DataFrame:
         left, right = reps.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "sig_a", "b", "sig_b").mapInArrow(compare, "a long, b long")
+        return pairs.join(right, "b").join(left, "a").select("a", "sig_a", "b", "sig_b").mapInArrow(compare, "a long, b long")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0, np.uint64)  # rows come in the order of a, whose set is made once for its run
         for batch in batches:
-            sides = []
-            for side in "ab":
-                data, offsets = text_buffer(batch.column(f"text_{side}"))
-                sides.append((data, offsets))
-            (da, oa), (db, ob) = sides
-            for i, j in slices(np.maximum(oa, ob)):
-                sa = shingle_sets(words(da[oa[i] : oa[j]], oa[i : j + 1] - oa[i]), shingle)
-                sb = shingle_sets(words(db[ob[i] : ob[j]], ob[i : j + 1] - ob[i]), shingle)
+            a, text_a = np.asarray(batch.column("a")), batch.column("text_a")
+            data, offsets = text_buffer(batch.column("text_b"))
+            for i, j in slices(offsets):
                 on = []
-                for x, y in zip(sa, sb, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    on.append(100 * both >= percent * (len(x) + len(y) - both))
+                for k, y in enumerate(shingle_sets(words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), shingle), i):
+                    if a[k] != last:
+                        own, cut = text_buffer(text_a.slice(k, 1))
+                        last, held = a[k], shingle_sets(words(own, cut), shingle)[0]
+                    both = len(np.intersect1d(held, y, assume_unique=True))
+                    on.append(100 * both >= percent * (len(held) + len(y) - both))
                 on = pa.array(on, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).filter(on) for c in "ab"], ["a", "b"])
 
@@ -222,7 +231,8 @@ def near_duplicates(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-        return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "text_a", "b", "text_b").mapInArrow(confirm, "a long, b long"))
+        # A bucket's leader is `a` of very many pairs: its text joins last, so that no shuffle repeats it.
+        return checkpoint(pairs.join(b, "b").join(a, "a").select("a", "text_a", "b", "text_b").mapInArrow(confirm, "a long, b long"))
 
     links = confirmed(first)
     comp = components(links)
@@ -231,7 +241,11 @@ def near_duplicates(
         small, large = live.where(F.col("n") <= small_bucket), live.where(F.col("n") > small_bucket)
         links = links.union(confirmed(pruned(_fresh_pairs(small))))
         if not large.isEmpty():
-            links = links.union(_blocks(large, reps, texts, n_hashes, shingle, percent, miss))
+            near = _rare_postings(large, texts, shingle, percent)
+            few, many = near.where(F.col("n") <= small_bucket), near.where(F.col("n") > small_bucket)
+            links = links.union(confirmed(pruned(_posting_pairs(few))))
+            if not many.isEmpty():
+                links = links.union(_blocks(many, reps, texts, n_hashes, shingle, percent, miss))
         comp = components(links)
 
     rank = F.struct(F.col("doc_id").isNull().alias("none"), *key)
@@ -260,6 +274,59 @@ def _fresh_pairs(small: DataFrame) -> DataFrame:
     return x.join(y, "band").where("ca <> cb AND a < b").select("a", "b").join(stars, ["a", "b"], "left_anti").distinct()
 
 
+def _rare_postings(large: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(band, cid, comp, wide, leader, n): postings of shingles in the front of their sets that touch several components.
+
+    Sets stand in an order from rare to frequent shingles, by counters of a sketch. With
+    t = percent / 100, linked sets share at least t of each, so both have a common
+    shingle among their first (1 - t) n + 1; in the smaller one less than
+    (1 - t) / (1 + t) of it stands before ("wide"). A posting without a wide member
+    links nothing.
+    """
+    held = checkpoint(large.select("cid", "comp").distinct().join(texts, "cid"))
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+        data, offsets = text_buffer(batch.column("text"))
+        for i, j in slices(offsets):
+            yield i, shingle_sets(words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), shingle)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for _, part in sets(batch):
+                total += np.bincount((np.concatenate(part) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    counted = held.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
+    sketch = np.zeros(SKETCH, np.int64)
+    sketch[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = large.sparkSession.sparkContext.broadcast(sketch)
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = shared.value
+        for batch in batches:
+            for i, part in sets(batch):
+                size = np.array([len(x) for x in part], np.int64)
+                many = size + (-size * percent // 100) + 1  # n - ceil(t n) + 1
+                token = [x[np.lexsort((x, sketch[(x % np.uint64(SKETCH)).astype(np.int64)]))[:m]] for x, m in zip(part, many, strict=True)]
+                row = np.repeat(np.arange(len(part)), many)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                wide = place * (100 + percent) <= size[row] * (100 - percent)
+                take = pa.array(i + row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), batch.column("cid").take(take), batch.column("comp").take(take), pa.array(wide)], ["band", "cid", "comp", "wide"])
+
+    each = checkpoint(held.mapInArrow(front, "band long, cid long, comp long, wide boolean"))
+    live = each.groupBy("band").agg(F.min("cid").alias("leader"), F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("wide").alias("any")).where("lo <> hi AND any")
+    return checkpoint(each.join(live.select("band", "leader", "n"), "band"))
+
+
+def _posting_pairs(few: DataFrame) -> DataFrame:
+    """Pairs of different components within small postings, one of them wide."""
+    x, y = few.select("band", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("wide").alias("wa")), few.select("band", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("wide").alias("wb"))
+    return x.join(y, "band").where("ca <> cb AND a < b AND (wa OR wb)").select("a", "b").distinct()
+
+
 class _Forest:
     """Union-find over the components of one block."""
 
@@ -281,15 +348,15 @@ class _Forest:
 def _blocks(large: DataFrame, reps: DataFrame, texts: DataFrame, n_hashes: int, shingle: int, percent: int, miss: float) -> DataFrame:
     """Links that join different components of classes that large buckets hold together."""
     group = components(large.select(F.col("leader").alias("a"), F.col("cid").alias("b"))).toDF("cid", "grp")
-    inside = checkpoint(large.select("cid", "comp").distinct().join(group, "cid"))
-    share = inside.groupBy("grp", "comp").agg(F.count("*").alias("size"))
+    inside = checkpoint(large.select("cid", "comp").distinct().join(group, "cid").join(texts, "cid").join(reps, "cid"))
+    # A row counts as one of BLOCK, or by its bytes if it is long.
+    share = inside.groupBy("grp", "comp").agg(F.sum(F.greatest(F.lit(1 / BLOCK), F.octet_length("text") / BLOCK_BYTES)).alias("size"))
     main = share.groupBy("grp").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("total"))
-    main = main.select("grp", F.col("main.comp").alias("main"), F.ceil(F.col("main.size") / BLOCK).alias("nm"), F.ceil((F.col("total") - F.col("main.size")) / BLOCK).alias("no"))
+    main = main.select("grp", F.col("main.comp").alias("main"), F.ceil(F.col("main.size")).alias("nm"), F.ceil(F.round(F.col("total") - F.col("main.size"), 6)).alias("no"))
     is_main, h = F.col("comp") == F.col("main"), F.xxhash64("cid")
     block = F.when(is_main, F.pmod(h, F.col("nm"))).otherwise(F.col("nm") + F.pmod(h, F.greatest("no", F.lit(1))))
     meets = F.when(is_main, F.sequence(F.col("nm"), F.col("nm") + F.col("no") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nm") + F.col("no") - 1))
-    held = inside.join(reps, "cid").join(texts, "cid")
-    placed = held.join(main, "grp").where("no > 0").select("cid", "comp", "grp", "sig", "text", block.alias("own"), F.explode(meets).alias("other"))
+    placed = inside.join(main, "grp").where("no > 0").select("cid", "comp", "grp", "sig", "text", block.alias("own"), F.explode(meets).alias("other"))
     placed = placed.select("cid", "comp", "grp", "sig", "text", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def meet(rows: pa.Table) -> pa.Table:

@@ -68,6 +68,42 @@ def test_large_buckets_meet_in_blocks(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows} == {i: c for (i, _), (_, c) in zip(docs, H.components(docs), strict=True)}
 
 
+def template_cases(n=150, same=0.88):
+    """Texts of one template that share about 0.8 of their shingles with each other, some with near copies of their own, and texts near to several of them."""
+    r, base = random.Random(12), prose(70, 400, 10_000).split()
+    docs = []
+    for i in range(n):
+        own = [f"o{i}_{k}" for k in range(int(len(base) * (1 - same)))]
+        docs.append((1000 + i, " ".join(base + own)))
+        if i % 7 == 0:
+            own[3] = "edit"
+            docs.append((2000 + i, " ".join(base + own)))
+        if i % 11 == 0:
+            mine = [f"o{i}_{k}" for k in range(30)] + [f"o{(i + 1) % n}_{k}" for k in range(30, 44)]
+            docs.append((3000 + i, " ".join(base + mine)))
+    r.shuffle(docs)
+    return docs
+
+
+def test_template_below_the_threshold(spark):
+    """A large group that shares buckets but not links: right components, and no pairs of all with all."""
+    docs = template_cases()
+    sets = [H.shingles(t) for _, t in docs[:20]]
+    alike = [len(x & y) / len(x | y) for i, x in enumerate(sets) for y in sets[i + 1 :]]
+    assert 0.75 < np.median(alike) < 0.84
+    frame = H.docs_frame(spark, docs)
+    rows = near_dedup.near_duplicates(frame, small_bucket=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: c for (i, _), (_, c) in zip(docs, H.components(docs), strict=True)}
+
+
+def test_template_members_do_not_meet(spark):
+    """Postings of rare shingles hold few of a template's texts."""
+    docs = [(i, t) for i, t in template_cases(400) if i < 2000]
+    large = spark.createDataFrame([(i, i) for i, _ in docs], "cid long, comp long")
+    near = near_dedup._rare_postings(large, spark.createDataFrame(docs, "cid long, text string"), 5, 85)
+    assert near.count() == 0
+
+
 def test_bayesian_pruning_keeps_similar_pairs():
     least = near_dedup.least_agreements(256, 32, 0.85, 1e-6)
     assert len(least) == 8 and all(a <= b for a, b in zip(least, least[1:], strict=False)) and least[0] < 0.85 * 32 and least[-1] < 0.85 * 256
