@@ -1,4 +1,4 @@
-"""Connected components of a graph given as edges, by least labels and pointer jumping."""
+"""Connected components of a graph given as edges, by contraction: every round joins nodes to their least neighbours."""
 
 from __future__ import annotations
 
@@ -7,23 +7,36 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Edges for each task of a round, as a graph may be far smaller than what it was made of.
+_EDGES, _LEAST_TASKS = 200_000, 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for each end of an edge of `edges` (a, b: long); comp is the least id of its component.
 
-    Every round takes the least label of the neighbours and then the label of that
-    label, so paths shorten by halves; it ends when no label changes. Ends without
-    edges are absent. Loops, repeated and reversed edges change nothing, null ends
-    are left out, and without edges the result is empty.
+    In each round a node goes to its least neighbour's own least neighbour, if less than
+    itself, and the edges between such nodes that stay different are the next round's
+    graph: a star is done in one round, a path shortens by halves or more. Ends without
+    edges are absent. Loops, repeated and reversed edges change nothing, null ends are
+    left out, and without edges the result is empty.
     """
-    real = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = checkpoint(real.union(real.select("b", "a")).toDF("src", "dst").distinct())
-    labels = checkpoint(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("comp")))
+    def ordered(x, y) -> list:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    graph = checkpoint(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(*ordered("a", "b")).distinct())
+    n, labels = graph.count(), None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", "comp", F.least("comp", "near").alias("to"))
-        above = labels.select(F.col("id").alias("to"), F.col("comp").alias("top"))
-        labels = checkpoint(step.join(above, "to").select("id", F.least("to", "top").alias("comp"), (F.least("to", "top") != F.col("comp")).alias("moved")))
-        if labels.where("moved").isEmpty():
-            return labels.select("id", "comp")
-        labels = labels.select("id", "comp")
+        tasks = max(_LEAST_TASKS, -(-n // _EDGES))
+        ends = graph.union(graph.select("b", "a")).toDF("id", "near")
+        up = ends.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("up")).coalesce(tasks)
+        again = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        up = checkpoint(up.join(again, "up").select("id", F.col("top").alias("up")).coalesce(tasks))
+        if labels is None:
+            labels = up.toDF("id", "comp")
+        else:
+            labels = checkpoint(labels.join(up.toDF("comp", "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")).coalesce(tasks))
+        met = graph.join(up.toDF("a", "up_a"), "a").join(up.toDF("b", "up_b"), "b").where("up_a <> up_b")
+        graph = checkpoint(met.select(*ordered("up_a", "up_b")).coalesce(tasks).distinct().coalesce(tasks))
+        n = graph.count()
+        if n == 0:
+            return labels
