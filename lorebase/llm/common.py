@@ -16,15 +16,29 @@ _SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: of `spark.checkpoint.dir`, or in tests, where neither the session nor its context names one, a temporary one."""
+    """The folder that driver and executors share: of `spark.checkpoint.dir`; where neither the session nor its context names one, in the warehouse, or in a temporary folder if all runs in one local process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorebase-checkpoint-"))
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        own = tempfile.mkdtemp(prefix="lorebase-checkpoint-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return sc.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store that `path` names, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with a number behind it if `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (n, *(f"{n}{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken) for n in names]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared folder and read from there. Spark deletes the files once nothing refers to them."""
+    """`df`, written to the shared folder and read from there. With `spark.cleaner.referenceTracking.cleanCheckpoints` Spark deletes the files once nothing refers to them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh
 
 #: Base kinds in the order of their listing: name, pattern, the group whose length counts, and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,11 +23,13 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Weak kinds: name, role and pattern. A short assignment is an `assign` match that failed by length.
+_SCHEME = r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|ftp|ssh|jdbc:[a-z]+)://"""
+#: Weak kinds: name, role and pattern. A short assignment is an `assign` match that failed by length. A mixed token is
+#: the first group of its pattern, which takes whole addresses first: a token in one's own path or query is part of it.
 WEAK = (
     ("account", "id", r"""\b(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""),
-    ("endpoint", "where", r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|ftp|ssh|jdbc:[a-z]+)://[A-Za-z0-9._~:@/-]+"""),
-    ("mixed", "secret", r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}"""),
+    ("endpoint", "where", _SCHEME + r"""[A-Za-z0-9._~:@/-]+"""),
+    ("mixed", "secret", _SCHEME + r"""[^\s"'<>]+|(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,})"""),
 )
 _ROLE = {"assign": "secret", "access": "id", "hex": "secret", "short": "secret"} | {kind: role for kind, role, _ in WEAK}
 _ORDER = ["assign", "access", "hex", "short", "account", "endpoint", "mixed"]
@@ -72,7 +74,7 @@ def secret_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     for kind, pattern, group, _ in BASE:
         df = _matches(df, kind, "text", pattern, group)
     for kind, _, pattern in WEAK:
-        df = _matches(df, kind, "text", pattern, 0)
+        df = _matches(df, kind, "text", pattern, int(kind == "mixed"))
 
     def named(kind: str, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
@@ -81,7 +83,7 @@ def secret_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         return F.filter(kind, lambda x: x["size"] >= least)
 
     base = F.concat(*(named(kind, long_enough(kind, least)) for kind, _, _, least in BASE))
-    weak = F.concat(named("short", F.filter("assign", lambda x: x["size"] < BASE[0][3])), *(named(kind, F.col(kind)) for kind, _, _ in WEAK))
+    weak = F.concat(named("short", F.filter("assign", lambda x: x["size"] < BASE[0][3])), *(named(kind, F.filter(kind, lambda x: x["size"] > 0)) for kind, _, _ in WEAK))
     made = checkpoint(df.select("doc_id", "text_hash", base.alias("base"), weak.alias("weak")))
 
     role = F.create_map(*(F.lit(x) for pair in _ROLE.items() for x in pair))
@@ -133,8 +135,9 @@ def scan_secrets(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def redact_secrets(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", scope: int = 200) -> DataFrame:
     """`documents` with every reported span of its text replaced by `mark`; overlapping spans give one mark. Other rows are as they were."""
-    found = scan_secrets(documents, id_col=id_col, text_col=text_col, scope=scope).where("size(found) > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("found").alias("_found")).distinct()
-    rows = documents.withColumn("_h", F.xxhash64(text_col)).join(found, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    h, d, t, spans = fresh(documents, "_h", "_d", "_t", "_found")
+    found = scan_secrets(documents, id_col=id_col, text_col=text_col, scope=scope).where("size(found) > 0").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), F.col("found").alias(spans)).distinct()
+    rows = documents.withColumn(h, F.xxhash64(text_col)).join(found, F.col(id_col).eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -142,5 +145,5 @@ def redact_secrets(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         fresh = F.concat(acc["out"], F.array(kept, F.lit(mark)))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"] + 1, F.char_length(text_col))))
-    return rows.withColumn(text_col, F.when(F.col("_found").isNotNull(), done).otherwise(F.col(text_col))).select(documents.columns)
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"] + 1, F.char_length(text_col))))
+    return rows.withColumn(text_col, F.when(F.col(spans).isNotNull(), done).otherwise(F.col(text_col))).select(documents.columns)

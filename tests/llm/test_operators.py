@@ -149,6 +149,13 @@ def test_weak_parts_need_a_complement(spark):
     assert got == {1: ["short", "endpoint"], 2: [], 3: [], 4: [], 5: ["account", "assign", "hex"], 6: ["hex"]}
 
 
+def test_tokens_within_an_address_are_part_of_it(spark):
+    token = "AbCgEh12345xyz67890QrStUvW"
+    docs = [(1, f"see https://site.com/watch?id={token} now"), (2, f"see https://site.com/{token}/x?y={token}#{token}"), (3, f"https://site.com/a?b=c key {token}"), (4, f"https://site.com/watch?id={token} then {token}"), (5, f"{token} at https://site.com/")]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(H.docs_frame(spark, docs)).collect()}
+    assert got == {1: "", 2: "", 3: "endpoint:0:18,mixed:27:53", 4: "endpoint:0:22,mixed:58:84", 5: "mixed:0:26,endpoint:30:47"}
+
+
 def test_scope_is_measured_between_spans(spark):
     """Links by the gap between spans, whatever their lengths, against all pairs."""
     r, url = random.Random(8), "https://h.example.com/"

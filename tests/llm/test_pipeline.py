@@ -70,15 +70,17 @@ def test_pipeline_of_nothing(spark):
 
 def test_stages_tell_rows_apart_without_unique_ids(spark):
     """Null and repeated ids in every stage: only the rows at fault go, and one row of a group stays."""
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "_id", "_h", "_d", "_t", "_found", "_kept", "_row", "text_hash", "kept", "copies"]
 
     def words(seed, n=40):
         return " ".join(f"v{seed}x{(seed * 31 + k * k) % 997}" for k in range(n))
 
     def after(stage, rows, folder=SF):
-        frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        extra = tuple(range(1, 11))
+        frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *extra) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in columns[5:])).repartition(3)
         out = stage(spark, frame, folder)
         assert out.columns == columns
+        assert all(tuple(r)[5:] == extra for r in out.collect())
         return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
 
     clean = [(None, words(1)), (None, words(2)), (7, words(3)), (None, None), (7, ""), (None, "")]
