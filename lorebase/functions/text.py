@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_DIGITS, MAX_LETTERS = 6, 4
-#: Fixed words that make a note an amendment or an omission.
-AMENDMENT_HINT = r"(?i)\b(ins|subs|omitted|rep|added|amended)\b"
+#: Fixed words that make a note an amendment, and notes that make a section an omitted one.
+AMENDMENT_HINT = r"(?i)\b(?:Ins\.|Subs\.|Rep\.|Omitted|Substituted|Inserted|w\.e\.f\.|vide\b|Act\s+\d+\s+of\s+\d{4})"
+OMITTED_NOTES = ("repealed", "omitted")
+#: What begins an omitted section's text: the old title in brackets, and the word. `Rep.` counts with any character behind.
+OMITTED_BODY = r"(?i)^\[[^\]]*\]\s*(?:Rep\.|Repealed\b|Omitted\b)"
+LEADING_MARKERS = r"^(?:\s*\[[0-9]{1,2}\])+\s*"
+FOOTNOTE_START = r"(?m)^\s*\[?([0-9]{1,2})\]?\s*\.\s*"
+#: What begins a segment at a line's start; any word Provided begins one too.
+SEGMENT_START = r"(?m)^(\s*)(\(\s*[0-9]{1,2}[A-Za-z]?\s*\)|(?:Explanation|Illustrations?|Exception)\b)"
+SEGMENT_NUMBER = r"^\(\s*([0-9]{1,2}[A-Za-z]?)\s*\)"
+#: Common English words that no search looks for.
+STOP_WORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their
+    theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and
+    but if or because as until while of at by for with about against between into through during before after above below to from up down in out on
+    off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so
+    than too very s t can will just don should now""".split()
+)
+_REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _reference_names() -> str:
+    """JSON of every named reference, and of the numbers 128 to 159, which mean what Windows-1252 has there."""
+    names = {f"&{k}": v for k, v in html.entities.html5.items() if k.endswith(";")}
+    for n in range(128, 160):
+        try:
+            names[f"&#{n};"] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            continue
+    return json.dumps(names)
+
+
+def decode_references(text: Column) -> Column:
+    """Character references, named and numeric, as their characters; unknown names stay, impossible numbers give U+FFFD."""
+    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    names = F.from_json(F.lit(_reference_names()), "map<string,string>")
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_extract(x, "#[xX]?([0-9a-fA-F]+)", 1)
+        n = F.when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+        possible = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        char = F.when(possible, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.coalesce(F.try_element_at(names, x), F.when(x.startswith("&#"), char), x)
+
+    parts = F.zip_with(F.split(text, _REFERENCE), F.transform(found, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
 
 def section_no_sort(no: Column) -> Column:
@@ -40,20 +87,18 @@ def parse_date(raw: Column) -> Column:
 
 
 def html_to_text(fragment: Column) -> Column:
-    """Block tags to line feeds, <sup>x</sup> to [x], references decoded, blanks squeezed, one empty line at most."""
-    t = F.regexp_replace(fragment, r"(?i)<sup[^>]*>([^<]*)</sup>", "[$1]")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|br|tr|li)(\s[^>]*|/)?>", "\n")
-    t = F.regexp_replace(t, "<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"[ \t]+", " ")
+    """Block tags to line feeds, <sup>x</sup> to [x], references decoded twice, blanks squeezed, one empty line at most."""
+    t = F.regexp_replace(F.regexp_replace(fragment, "(?s)<!--.*?-->", ""), r"(?i)<sup(\s[^>]*|/)?>", "[")
+    t = F.regexp_replace(F.regexp_replace(t, "(?i)</sup>", "]"), r"(?i)</?(p|div|br|tr|li)(\s[^>]*|/)?>", "\n")
+    t = decode_references(decode_references(F.regexp_replace(t, "</?[A-Za-z][^>]*>|<[!?][^>]*>", "")))
+    t = F.regexp_replace(F.replace(t, F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), "\n{3,}", "\n\n")
     return F.regexp_replace(F.replace(t, F.lit("[]"), F.lit("")), r"^\s+|\s+$", "")
 
 
 def footnotes(text: Column) -> Column:
-    """array<struct<marker, text>>: cut before `[n].` or `n.` at a line's start; without a marker one note; blank bodies and text before the first marker go."""
-    marked = F.regexp_replace(text, r"(?m)^[ \t]*\[?([0-9]{1,3})\]?\.[ \t]*", "\u0001$1\u0002")
+    """array<struct<marker, text>>: cut before `[n].` or `n.` of one or two digits at a line's start; without a marker one note; blank bodies and text before the first marker go."""
+    marked = F.regexp_replace(text, FOOTNOTE_START, "\u0001$1\u0002")
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     notes = F.transform(F.slice(F.split(marked, "\u0001"), 2, 1 << 20), lambda x: F.struct(F.split(x, "\u0002")[0].alias("marker"), trimmed(F.split(x, "\u0002")[1]).alias("text")))
     one = F.array(F.struct(F.lit("").alias("marker"), trimmed(text).alias("text")))
@@ -66,22 +111,23 @@ def amendment_note(notes: Column) -> Column:
 
 
 def looks_omitted(note: Column, body: Column) -> Column:
-    bare = F.lower(F.trim(F.regexp_replace(note, r"[\[\].]", "")))
-    text = F.regexp_replace(body, r"^(\s*\[[0-9]+\])+\s*", "")
-    return F.coalesce(bare.isin("repealed", "omitted"), F.lit(False)) | F.coalesce(text.rlike(r"(?i)^\s*\[?[^\[\]]{0,60}\]?\s*(rep\.|repealed|omitted)"), F.lit(False))
+    """By the note, or by a body that begins with the old title in brackets and the word of its end."""
+    bare = F.lower(F.trim(F.regexp_replace(F.trim(note), r"^[\[\].]+|[\[\].]+$", "")))
+    text = F.regexp_replace(body, LEADING_MARKERS, "")
+    return F.coalesce(bare.isin(*OMITTED_NOTES), F.lit(False)) | F.coalesce(text.rlike(OMITTED_BODY), F.lit(False))
 
 
 def segments(text: Column) -> Column:
-    """Pieces that begin at a line-start (n), at a line-start Explanation, Illustration(s) or Exception, or at any word Provided."""
-    marked = F.regexp_replace(text, r"(?m)^([ \t]*)(\([0-9]{1,3}[A-Z]{0,2}\)|Explanation|Illustrations?|Exception)", "\u0001$1$2")
+    """Pieces that begin at a line-start (n) or (nA), at a line-start Explanation, Illustration(s) or Exception, or at any word Provided."""
+    marked = F.regexp_replace(text, SEGMENT_START, "\u0001$1$2")
     marked = F.regexp_replace(marked, r"\b(Provided)\b", "\u0001$1")
     pieces = F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.filter(pieces, lambda x: x != "")
 
 
 def segment_label(piece: Column) -> Column:
-    number = F.regexp_extract(piece, r"^(\([0-9]{1,3}[A-Z]{0,2}\))", 1)
-    out = F.when(number != "", number)
+    number = F.regexp_extract(piece, SEGMENT_NUMBER, 1)
+    out = F.when(number != "", F.concat(F.lit("("), number, F.lit(")")))
     for word in ("Explanation", "Illustrations", "Illustration", "Exception", "Provided"):
         out = out.when(piece.startswith(word), F.lit(word))
     return out.otherwise("body")
@@ -115,6 +161,11 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def index_terms(text: Column) -> Column:
+    """Terms without stop words."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: (x != "") & ~x.isin(*STOP_WORDS))
+
+
 def cited_ids(text: Column) -> Column:
     """Distinct ids of S<digits> words inside brackets that don't nest."""
     inside = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]*)\]"), F.lit(1))

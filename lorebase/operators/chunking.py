@@ -9,47 +9,64 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
+from ..functions.text import SEGMENT_START, word_count
 
 CEILING = 450
-_START = re.compile(r"(?m)(?=^[ \t]*(?:\([0-9]{1,3}[A-Z]{0,2}\)|Explanation|Illustrations?|Exception))|\b(?=Provided\b)")
+_START = re.compile(rf"{SEGMENT_START}|\bProvided\b")
 _SENTENCE = re.compile(r"(?<=[.;:])\s+")
 
 
-def _fill(units: list[str], join: str, room: int, size: Callable[[str], int]) -> list[str]:
-    """Units side by side as long as they fit; a unit that is too large stands alone."""
+def _segments(text: str) -> list[str]:
+    at = [0, *(m.start() for m in _START.finditer(text)), len(text)]
+    return [x for a, b in zip(at, at[1:], strict=False) if (x := text[a:b].strip())]
+
+
+def _filled(units: list[str], join: str, fits: Callable[[str], bool]) -> list[str]:
+    """Units side by side as long as they fit. One that is too large alone is broken up after what stands before it is closed; its last part stays open."""
     out: list[str] = []
     for u in units:
-        if out and size(out[-1]) + size(u) <= room:
+        if out and fits(out[-1] + join + u):
             out[-1] += join + u
         else:
-            out.append(u)
+            out += [u] if fits(u) else _broken(u, fits)
     return out
 
 
-def split_section(text: str, room: int, size: Callable[[str], int] = lambda s: len(s.split())) -> list[str]:
-    """Segments packed by line; a segment over the room goes by sentences, a sentence over it by words. Nothing is lost or moved."""
-    units: list[str] = []
-    for segment in filter(None, (x.strip() for x in _START.split(text))):
-        if size(segment) <= room:
-            units.append(segment)
-            continue
-        sentences: list[str] = []
-        for s in filter(None, (x.strip() for x in _SENTENCE.split(segment))):
-            sentences += [s] if size(s) <= room else _fill(s.split(), " ", room, size)
-        units += _fill(sentences, " ", room, size)
-    return _fill(units, "\n", room, size)
+def _broken(unit: str, fits: Callable[[str], bool]) -> list[str]:
+    """By sentences, or by words if it is one sentence; a word stays whole."""
+    sentences, words = [x for x in _SENTENCE.split(unit) if x.strip()], unit.split()
+    if len(sentences) > 1:
+        return _filled(sentences, " ", fits)
+    return _filled(words, " ", fits) if len(words) > 1 else [unit]
+
+
+def split_section(text: str, fits: Callable[[str], bool]) -> list[str]:
+    """Chunks of an overlong section: segments packed by line, broken where one alone doesn't fit. Nothing is lost or moved."""
+    return _filled(_segments(text), "\n", fits)
+
 
+def chunk_sections(sections: DataFrame, ceiling: int = CEILING, load: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """(id, chunk_idx, text, token_count). sections: id, heading, text; a chunk and its heading have at most `ceiling` tokens, but for a longer word.
 
-def chunk_sections(sections: DataFrame, ceiling: int = CEILING) -> DataFrame:
-    """(id, chunk_idx, text, token_count). sections: id, heading, text; tokens are words, the heading's included."""
-    s = sections.withColumn("h", word_count(F.col("heading"))).withColumn("n", F.col("h") + word_count(F.col("text")))
-    fits = s.where(F.col("n") <= ceiling).where(F.trim("text") != "").select("id", F.lit(0).alias("chunk_idx"), "text", F.col("n").cast("int").alias("token_count"))
+    Tokens are words, unless `load` makes another counter, once in each task; that one is
+    asked about every section in Python. Blank sections give no chunk.
+    """
+    s = sections.select("id", "heading", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
+    size = word_count(F.col("heading")) + word_count(F.col("text"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = load() if load else lambda t: len(t.split())
         for df in batches:
-            rows = [(i, k, t, h + len(t.split())) for i, text, h in df.itertuples(index=False) for k, t in enumerate(split_section(text, max(1, ceiling - h)))]
+            rows = []
+            for i, heading, text in df.itertuples(index=False):
+                fits = lambda t, heading=heading: count(heading + t) <= ceiling
+                rows += [(i, k, t, count(heading + t)) for k, t in enumerate([text] if fits(text) else split_section(text, fits))]
             yield pd.DataFrame(rows, columns=["id", "chunk_idx", "text", "token_count"])
 
-    over = s.where(F.col("n") > ceiling).select("id", "text", "h").mapInPandas(split, "id long, chunk_idx int, text string, token_count int")
+    schema = "id long, chunk_idx int, text string, token_count int"
+    if load:
+        return s.mapInPandas(split, schema)
+    s = s.withColumn("n", size)
+    fits = s.where(F.col("n") <= ceiling).select("id", F.lit(0).alias("chunk_idx"), "text", F.col("n").cast("int").alias("token_count"))
+    over = s.where(F.col("n") > ceiling).select("id", "heading", "text").mapInPandas(split, schema)
     return fits.unionByName(over)

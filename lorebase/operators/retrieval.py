@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import index_terms
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -24,19 +24,18 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf)."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return docs.select(F.col(id_col).alias("id"), F.explode(index_terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, stop: list[str] | None = None, most_asked: int = 500_000) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, most_asked: int = 500_000) -> DataFrame:
     """(query_id, id, score, matched): BM25 of each document that holds a term of the query. docs: id, text; queries: query_id, text.
 
+    Stop words are neither indexed nor asked for: a question of nothing else matches nothing.
     Only the documents' occurrences of asked terms are counted and shuffled. Questions of
     at most `most_asked` terms together are broadcast; more are joined by shuffles.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    if stop:
-        asked = asked.where(~F.col("term").isin(stop))
-    d = docs.select("id", terms(F.col("text")).alias("t"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("term"))
+    d = docs.select("id", index_terms(F.col("text")).alias("t"))
     size = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
     small = asked.count() <= most_asked
     hint = F.broadcast if small else (lambda x: x)

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def upsert_latest(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Both tables' rows, the highest `version` of each key only. Equal versions: the new row."""
-    rows = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = W.partitionBy(*keys).orderBy(F.col(version).desc(), F.col("_new").desc())
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
+    whole = F.struct(*existing.columns).alias("row")
+    rows = existing.select(*keys, whole, F.lit(0).alias("new")).unionByName(new.select(*keys, whole, F.lit(1).alias("new")))
+    latest = F.max_by("row", F.struct(F.col("row")[version].isNotNull(), F.col("row")[version], "new"))  # partly done before the shuffle
+    return rows.groupBy(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))).agg(latest.alias("row")).select("row.*")
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,7 +26,9 @@ def changed_rows(existing: DataFrame, new: DataFrame, key: str, columns: list[st
 
 
 def fingerprint(columns: list[str]) -> Column:
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)), 256)
+    """SHA-256 of all values, each behind its length so that no two rows look alike; null is told apart."""
+    parts = (F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~")) for c in columns)
+    return F.sha2(F.concat(*parts), 256)
 
 
 def fingerprint_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

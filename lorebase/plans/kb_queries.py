@@ -57,7 +57,8 @@ def item_projection(v: Views) -> DataFrame:
     return _payload(v).select("uuid", _first("title").alias("title"), number.alias("order_number"), (F.lower(_first("omitted")) == "true").alias("is_omitted"), _first("nothing").alias("missing"))
 
 
-@query("SELECT doc_id, sha256(doc_id || '|' || CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 10 = 0 OR doc_id % 17 = 3")
+@query("""WITH n AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS t FROM documents)
+SELECT doc_id, sha256(length(k) || ':' || k || coalesce(length(t) || ':' || t, '~')) AS sha FROM n WHERE doc_id % 10 = 0 OR doc_id % 17 = 3""")
 def changed_documents(v: Views) -> DataFrame:
     d = v.table("documents").select("doc_id", "text")
     new = d.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
@@ -206,16 +207,16 @@ def section_act(v: Views) -> DataFrame:
     return v.sections.join(F.broadcast(a), "statute_id").select(F.col("id").alias("section_id"), "statute_id", F.concat("short_title", F.lit(", s. "), "section_no").alias("citation"), "marginal_note")
 
 
-@query("SELECT e.vec_id AS chunk_id, s.id AS section_id, a.slug, s.section_no FROM embeddings e JOIN sections s ON s.id = e.vec_id % 1000 JOIN statutes a ON a.id = s.statute_id", "sections")
+@query("SELECT e.vec_id AS chunk_id, s.id AS section_id, a.slug, s.section_no FROM embeddings e JOIN sections s ON s.id = e.vec_id % (SELECT count(*) FROM documents) JOIN statutes a ON a.id = s.statute_id", "sections")
 def chunk_section_act(v: Views) -> DataFrame:
-    c = v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 1000).alias("id"))
+    c = v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % v.table("documents").count()).alias("id"))
     a = v.statutes.select(F.col("id").alias("statute_id"), "slug")
     return c.join(v.sections.select("id", "statute_id", "section_no"), "id").join(F.broadcast(a), "statute_id").select("chunk_id", F.col("id").alias("section_id"), "slug", "section_no")
 
 
-@query("""SELECT e.vec_id AS chunk_id, s.id AS section_id, a.short_title, s.section_no, s.marginal_note, 'passage: ' || a.short_title AS heading FROM embeddings e JOIN sections s ON s.id = e.vec_id % 1000 JOIN statutes a ON a.id = s.statute_id WHERE NOT s.is_omitted""", "sections")
+@query("""SELECT e.vec_id AS chunk_id, s.id AS section_id, a.short_title, s.section_no, s.marginal_note, 'passage: ' || a.short_title AS heading FROM embeddings e JOIN sections s ON s.id = e.vec_id % (SELECT count(*) FROM documents) JOIN statutes a ON a.id = s.statute_id WHERE NOT s.is_omitted""", "sections")
 def candidate_base(v: Views) -> DataFrame:
-    c = v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 1000).alias("id"))
+    c = v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % v.table("documents").count()).alias("id"))
     s = v.sections.where(~F.col("is_omitted")).select("id", "statute_id", "section_no", "marginal_note")
     a = v.statutes.select(F.col("id").alias("statute_id"), "short_title")
     return c.join(s, "id").join(F.broadcast(a), "statute_id").select("chunk_id", F.col("id").alias("section_id"), "short_title", "section_no", "marginal_note", F.concat(F.lit("passage: "), "short_title").alias("heading"))
@@ -264,11 +265,11 @@ def unchunked_sections(v: Views) -> DataFrame:
     return v.sections.where(~F.col("is_omitted")).select("id").join(done, "id", "left_anti")
 
 
-@query("SELECT 'statutes' AS part, count(*) AS n FROM statutes WHERE year >= 1850 UNION ALL SELECT 'sections', count(*) FROM sections s JOIN statutes a ON a.id = s.statute_id WHERE year >= 1850 UNION ALL SELECT 'chunks', count(*) FROM embeddings WHERE vec_id % 1000 NOT IN (SELECT s.id FROM sections s JOIN statutes a ON a.id = s.statute_id WHERE year < 1850)", "sections")
+@query("SELECT 'statutes' AS part, count(*) AS n FROM statutes WHERE year >= 1850 UNION ALL SELECT 'sections', count(*) FROM sections s JOIN statutes a ON a.id = s.statute_id WHERE year >= 1850 UNION ALL SELECT 'chunks', count(*) FROM embeddings WHERE vec_id % (SELECT count(*) FROM documents) NOT IN (SELECT s.id FROM sections s JOIN statutes a ON a.id = s.statute_id WHERE year < 1850)", "sections")
 def cascade_delete(v: Views) -> DataFrame:
     gone = F.col("year") < 1850
     s = v.sections.select("id", F.col("statute_id").alias("parent_id"))
-    c = v.table("embeddings").select((F.col("vec_id") % 1000).alias("parent_id"))
+    c = v.table("embeddings").select((F.col("vec_id") % v.table("documents").count()).alias("parent_id"))
     left, chunks = store.cascade_delete(v.statutes, s, c, gone)
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
     return one("statutes", v.statutes.where(~gone)).unionByName(one("sections", left)).unionByName(one("chunks", chunks))

@@ -21,9 +21,10 @@ def _asked(v: Views) -> DataFrame:
     return v.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_TERMS = """WITH tok AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF x <> ''] AS t FROM documents),
+_STOP = "[" + ", ".join(f"'{x}'" for x in T.STOP_WORDS) + "]"
+_TERMS = f"""WITH tok AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') IF x <> '' AND NOT list_contains({_STOP}, x)] AS t FROM documents),
 occ AS (SELECT id, len(t) AS len, unnest(t) AS term FROM tok)"""
-_BM25 = _TERMS + """, asked AS (SELECT DISTINCT item_id AS query_id, unnest([x FOR x IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']) AS term FROM benchmark),
+_BM25 = _TERMS + f""", asked AS (SELECT DISTINCT item_id AS query_id, unnest([x FOR x IN string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') IF x <> '' AND NOT list_contains({_STOP}, x)]) AS term FROM benchmark),
 tf AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM occ WHERE term IN (SELECT term FROM asked) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sz AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
 bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score, count(*) AS matched FROM asked JOIN tf USING (term) JOIN df USING (term), sz GROUP BY query_id, id),
 sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM bm) WHERE rank <= 30)"""
@@ -34,9 +35,9 @@ def postings(v: Views) -> DataFrame:
     return R.postings(_docs(v), "id", "text")
 
 
-@query(f"{_BM25} SELECT query_id, id, score FROM bm WHERE matched >= 5")
+@query(f"{_BM25} SELECT query_id, id, score FROM bm")
 def bm25_scores(v: Views) -> DataFrame:
-    return R.bm25(_docs(v), _asked(v)).where("matched >= 5").select("query_id", "id", "score")
+    return R.bm25(_docs(v), _asked(v)).select("query_id", "id", "score")
 
 
 @query(f"{_BM25} SELECT query_id, id, score, rank FROM sparse")
@@ -109,7 +110,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 def _coverage(v: Views) -> DataFrame:
     """The default pair scorer: share of a question's distinct terms that the passage holds."""
-    n = _asked(v).select("query_id", F.size(F.array_distinct(T.terms(F.col("text")))).alias("n"))
+    n = _asked(v).select("query_id", F.size(F.array_distinct(T.index_terms(F.col("text")))).alias("n"))
     return R.sparse_topk(_docs(v), _asked(v)).join(n, "query_id").select("query_id", "id", F.round(F.col("matched") / F.col("n"), 6).alias("score"))
 
 
@@ -175,10 +176,10 @@ _HEAD = "'passage: ' || short_title || CASE WHEN regexp_replace(marginal_note, '
 _SIZES = f"WITH z AS (SELECT s.id, text_verbatim AS text, {_WORDS.format(_HEAD)} AS h, {_WORDS.format('text_verbatim')} AS n FROM sections s JOIN statutes a ON a.id = s.statute_id WHERE NOT is_omitted)"
 
 
-@query(f"{_SIZES} SELECT id, text, CAST(h + n AS INT) AS token_count FROM z WHERE h + n <= 450 AND trim(text) <> ''", "sections")
+@query(f"{_SIZES} SELECT id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, CAST(h + n AS INT) AS token_count FROM z WHERE h + n <= 450 AND n > 0", "sections")
 def chunk_single(v: Views) -> DataFrame:
-    s = _headed(v).withColumn("n", T.word_count(F.col("heading")) + T.word_count(F.col("text")))
-    return s.where("n <= 450").where(F.trim("text") != "").select("id", "text", F.col("n").cast("int").alias("token_count"))
+    one = _chunk(_headed(v)).groupBy("id").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("token_count").alias("token_count"))
+    return one.where("n = 1 AND token_count <= 450").select("id", "text", "token_count")
 
 
 @query(f"{_SIZES} SELECT id, CAST(n AS BIGINT) AS words, true AS within FROM z WHERE n > 0", "sections")

@@ -40,11 +40,12 @@ def multi_format_date(v: Views) -> DataFrame:
 
 
 def _html_sql(x: str) -> str:
-    x = f"regexp_replace({x}, '(?i)<sup[^>]*>([^<]*)</sup>', '[\\1]', 'g')"
-    x = f"regexp_replace({x}, '(?i)</?(p|div|br|tr|li)(\\s[^>]*|/)?>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{char}')"
+    x = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), '(?i)<sup(\\s[^>]*|/)?>', '[', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '(?i)</sup>', ']', 'g'), '(?i)</?(p|div|br|tr|li)(\\s[^>]*|/)?>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '</?[A-Za-z][^>]*>|<[!?][^>]*>', '', 'g')"
+    for _ in range(2):  # the references that the pages hold
+        for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&raquo;", "»"), ("&laquo;", "«"), ("&times;", "×"), ("&amp;", "&")):
+            x = f"replace({x}, '{name}', '{char}')"
     x = f"regexp_replace(replace({x}, chr(160), ' '), '[ \\t]+', ' ', 'g')"
     x = f"regexp_replace(regexp_replace({x}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
     return f"regexp_replace(replace({x}, '[]', ''), '^\\s+|\\s+$', '', 'g')"
@@ -55,49 +56,53 @@ def html_to_text(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-_NOTES = "CASE l_linenumber % 4 WHEN 0 THEN '[1]. Subs. by Act ' || l_orderkey || chr(10) || '2. Ins. later' WHEN 1 THEN 'lead text' || chr(10) || '3.  plain words' || chr(10) || '[4]. ' WHEN 2 THEN 'One note without a mark' ELSE '  ' END"
+#: Raw notes, the same SQL in both engines.
+_NOTES = """CASE (l_orderkey + l_linenumber) % 8 WHEN 0 THEN '[1]. Subs. by Act ' || l_orderkey || chr(10) || '2. plain' || chr(10) || '[3] . Ins. later' WHEN 1 THEN 'lead text' || chr(10) || ' 3.  plain words' || chr(10) || '[4]. ' WHEN 2 THEN 'One note without a mark'
+WHEN 3 THEN '  ' WHEN 4 THEN '1. Substituted by Act 3 of 1951' || chr(10) || '100. of these, w.e.f. 1-1-1990' WHEN 5 THEN '1. Fee added up' || chr(10) || '12. vide notification ' || l_orderkey WHEN 6 THEN 'Act 7 of ' || (1900 + l_linenumber) || ' applies' ELSE '[2]. repeal it' || chr(10) || 'rep. here' END"""
+_PARSED = f"""WITH r AS (SELECT l_orderkey, l_linenumber, {_NOTES} AS raw FROM lineitem), m AS (SELECT *, regexp_replace(raw, '{T.FOOTNOTE_START}', chr(1) || '\\1' || chr(2), 'g') AS marked FROM r),
+n AS (SELECT *, CASE WHEN contains(marked, chr(1)) THEN [{{'marker': split_part(x, chr(2), 1), 'text': regexp_replace(split_part(x, chr(2), 2), '^\\s+|\\s+$', '', 'g')}} FOR x IN string_split(marked, chr(1))[2:]] ELSE [{{'marker': '', 'text': regexp_replace(raw, '^\\s+|\\s+$', '', 'g')}}] END AS every FROM m),
+p AS (SELECT l_orderkey, l_linenumber, [x FOR x IN every IF x.text <> ''] AS notes FROM n)"""
 
 
 def _notes(v: Views) -> DataFrame:
-    k = F.col("l_linenumber") % 4
-    note = F.when(k == 0, F.concat(F.lit("[1]. Subs. by Act "), F.col("l_orderkey").cast("string"), F.lit("\n2. Ins. later"))).when(k == 1, "lead text\n3.  plain words\n[4]. ").when(k == 2, "One note without a mark").otherwise("  ")
-    return v.table("lineitem").select("l_orderkey", "l_linenumber", note.alias("raw")).withColumn("notes", T.footnotes(F.col("raw")))
+    return v.table("lineitem").select("l_orderkey", "l_linenumber", F.expr(_NOTES).alias("raw")).withColumn("notes", T.footnotes(F.col("raw")))
 
 
-_FLAT = """CASE l_linenumber % 4 WHEN 0 THEN '1=Subs. by Act ' || l_orderkey || ';2=Ins. later' WHEN 1 THEN '3=plain words' WHEN 2 THEN '=One note without a mark' ELSE '' END"""
-
-
-@query(f"SELECT l_orderkey, l_linenumber, {_FLAT} AS notes FROM lineitem")
+@query(f"{_PARSED} SELECT l_orderkey, l_linenumber, array_to_string([x.marker || '=' || x.text FOR x IN notes], ';') AS notes FROM p")
 def parse_footnotes(v: Views) -> DataFrame:
     return _notes(v).select("l_orderkey", "l_linenumber", F.array_join(F.transform("notes", lambda n: F.concat_ws("=", n["marker"], n["text"])), ";").alias("notes"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN 'Subs. by Act ' || l_orderkey || chr(10) || 'Ins. later' END AS note FROM lineitem")
+@query(f"{_PARSED} SELECT l_orderkey, l_linenumber, nullif(array_to_string([x.text FOR x IN notes IF regexp_matches(x.text, '{T.AMENDMENT_HINT}')], chr(10)), '') AS note FROM p")
 def amendment_note(v: Views) -> DataFrame:
     return _notes(v).select("l_orderkey", "l_linenumber", T.amendment_note(F.col("notes")).alias("note"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 3) AS omitted FROM orders")
+#: Raw notes and bodies of sections, the same SQL in both engines.
+_OMITTED = ("CASE o_orderkey % 6 WHEN 0 THEN '[Repealed.].' WHEN 1 THEN ' Omitted' WHEN 2 THEN 'Repealed in part' ELSE 'Short title' END", "CASE o_orderkey % 11 WHEN 3 THEN '[2] [The whole ' || repeat('long ', 20) || 'title.] Rep. by the Act' WHEN 4 THEN '[1][2] [x] omitted' WHEN 5 THEN 'The Indian Act, 1882, is hereby repealed.' WHEN 6 THEN '[x] repealedly' ELSE 'This Act extends to all' END")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, {_OMITTED[0]} AS note, {_OMITTED[1]} AS body FROM orders)
+SELECT o_orderkey, lower(trim(regexp_replace(trim(note), '^[\\[\\].]+|[\\[\\].]+$', '', 'g'))) IN ('repealed', 'omitted') OR regexp_matches(regexp_replace(body, '{T.LEADING_MARKERS}', ''), '{T.OMITTED_BODY}') AS omitted FROM r""")
 def detect_omitted(v: Views) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    note = F.when(k == 0, "[Repealed.]").when(k == 1, "[Omitted]").otherwise("Short title")
-    body = F.when(k == 3, "[2] [The whole] Rep. by the Act").otherwise("This Act extends to all")
-    return v.table("orders").select("o_orderkey", T.looks_omitted(note, body).alias("omitted"))
+    r = v.table("orders").select("o_orderkey", F.expr(_OMITTED[0]).alias("note"), F.expr(_OMITTED[1]).alias("body"))
+    return r.select("o_orderkey", T.looks_omitted(F.col("note"), F.col("body")).alias("omitted"))
 
 
-_BODY = "'Head of ' || l_orderkey || ':' || chr(10) || '(1) first rule; (2) inline' || chr(10) || '(2A) second rule. Provided that x holds.' || chr(10) || 'Explanation. - y' || chr(10) || 'Illustrations' || chr(10) || 'z'"
+#: A section's text, the same SQL in both engines.
+_BODY = "'Head of ' || l_orderkey || ':' || chr(10) || '(1) first rule; (2) inline' || chr(10) || ' ( 2a ) second rule. Provided that x holds.' || chr(10) || 'Exceptional cases' || chr(10) || chr(10) || '(123) no number' || chr(10) || 'Explanation. - y' || chr(10) || 'Illustrations' || chr(10) || 'z'"
 
 
 def _bodies(v: Views) -> DataFrame:
-    body = F.concat(F.lit("Head of "), F.col("l_orderkey").cast("string"), F.lit(":\n(1) first rule; (2) inline\n(2A) second rule. Provided that x holds.\nExplanation. - y\nIllustrations\nz"))
-    return v.table("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", body.alias("body"))
+    return v.table("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", F.expr(_BODY).alias("body"))
 
 
 @query(f"""WITH b AS (SELECT l_orderkey, l_partkey, {_BODY} AS body FROM lineitem WHERE l_linenumber = 1),
-m AS (SELECT *, regexp_replace(regexp_replace(body, '(^|\\n)([ \\t]*)(\\([0-9]{{1,3}}[A-Z]{{0,2}}\\)|Explanation|Illustrations?|Exception)', '\\1' || chr(1) || '\\2\\3', 'g'), '\\b(Provided)\\b', chr(1) || '\\1', 'g') AS marked FROM b),
-p AS (SELECT l_orderkey, l_partkey, unnest(string_split(marked, chr(1))) AS piece, generate_subscripts(string_split(marked, chr(1)), 1) - 1 AS pos FROM m)
-SELECT l_orderkey, l_partkey, pos, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS piece,
-  CASE WHEN regexp_matches(piece, '^\\([0-9]{{1,3}}[A-Z]{{0,2}}\\)') THEN regexp_extract(piece, '^(\\([0-9]{{1,3}}[A-Z]{{0,2}}\\))', 1) WHEN starts_with(piece, 'Explanation') THEN 'Explanation' WHEN starts_with(piece, 'Illustrations') THEN 'Illustrations'
+m AS (SELECT *, regexp_replace(regexp_replace(body, '{T.SEGMENT_START}', chr(1) || '\\1\\2', 'g'), '\\b(Provided)\\b', chr(1) || '\\1', 'g') AS marked FROM b),
+q AS (SELECT l_orderkey, l_partkey, [y FOR y IN [regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split(marked, chr(1))] IF y <> ''] AS pieces FROM m),
+p AS (SELECT l_orderkey, l_partkey, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS pos FROM q)
+SELECT l_orderkey, l_partkey, pos, piece,
+  CASE WHEN regexp_matches(piece, '{T.SEGMENT_NUMBER}') THEN '(' || regexp_extract(piece, '{T.SEGMENT_NUMBER}', 1) || ')' WHEN starts_with(piece, 'Explanation') THEN 'Explanation' WHEN starts_with(piece, 'Illustrations') THEN 'Illustrations'
        WHEN starts_with(piece, 'Illustration') THEN 'Illustration' WHEN starts_with(piece, 'Exception') THEN 'Exception' WHEN starts_with(piece, 'Provided') THEN 'Provided' ELSE 'body' END AS label FROM p""")
 def segment_sections(v: Views) -> DataFrame:
     p = _bodies(v).select("l_orderkey", "l_partkey", F.posexplode(T.segments(F.col("body"))).alias("pos", "piece"))

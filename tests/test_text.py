@@ -86,7 +86,7 @@ def test_ranking_and_percentiles(spark):
 def test_chunks_lose_nothing(spark):
     body = "\n".join(f"({i}) " + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(1, 12))
     for text in (body, "one " * 3000, "x" * 5000, "Provided that a. Provided b; c:"):
-        parts = split_section(text, 450)
+        parts = split_section(text, lambda t: len(t.split()) <= 450)
         assert " ".join(parts).split() == text.split() and all(len(p.split()) <= 450 for p in parts)
     df = spark.createDataFrame([(1, "passage: A. ", body), (2, "passage: A. ", "short"), (3, "passage: A. ", " ")], "id long, heading string, text string")
     rows = chunk_sections(df).orderBy("id", "chunk_idx").collect()
