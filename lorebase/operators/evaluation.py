@@ -29,6 +29,14 @@ def recall_at(out: DataFrame) -> DataFrame:
     return labelled.agg(*(F.round(c, 9).alias(f"recall_{k}") for c, k in zip(cols, KS, strict=True)))
 
 
+def report_lines(out: DataFrame, wrong: DataFrame) -> DataFrame:
+    """The report as JSON lines: one of totals, and one for each case of `wrong` (id, topic, kind, top_score, first_correct); four decimals."""
+    totals = recall_at(out).crossJoin(mrr(out))  # one row each
+    totals = totals.select(F.to_json(F.struct(F.lit("totals").alias("kind"), *(F.round(c, 4).alias(c) for c in totals.columns))).alias("line"))
+    cases = wrong.select(F.to_json(F.struct("kind", "id", "topic", F.round("top_score", 4).alias("top_score"), "first_correct")).alias("line"))
+    return totals.unionByName(cases)
+
+
 def mrr(out: DataFrame) -> DataFrame:
     return out.where("NOT must_abstain").agg(F.round(F.coalesce(F.avg(F.coalesce(1.0 / F.col("first_correct"), F.lit(0.0))), F.lit(0.0)), 9).alias("mrr"))
 

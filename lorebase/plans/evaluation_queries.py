@@ -92,13 +92,13 @@ def gold_label_errors(v: Views) -> DataFrame:
 # --- statistics -----------------------------------------------------------------------------------------------
 
 _STATS = """SELECT (SELECT count(*) FROM statutes) AS acts, (SELECT count(*) FROM sections) AS sections, (SELECT count(*) FROM sections WHERE NOT is_omitted) AS in_force, (SELECT count(*) FROM embeddings) AS chunks,
-  (SELECT count(embedding) FROM embeddings) AS embedded, (SELECT count(*) FROM links) AS links, (SELECT max(n_chars) FROM documents) AS most_chars"""
+  (SELECT count(embedding) FROM embeddings) AS embedded, (SELECT count(*) FROM links) AS links, (SELECT max(len([x FOR x IN string_split_regex(text, '\\s+') IF x <> ''])) FROM documents) AS max_tokens, (SELECT max(ts) FROM events) AS last_finished_at"""
 
 
 def _stats(v: Views) -> DataFrame:
     parts = [
         v.statutes.agg(F.count("*").alias("acts")), v.sections.agg(F.count("*").alias("sections"), F.count_if(~F.col("is_omitted")).alias("in_force")),
-        v.table("embeddings").agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded")), v.links.agg(F.count("*").alias("links")), v.table("documents").agg(F.max("n_chars").alias("most_chars")),
+        v.table("embeddings").agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded")), v.links.agg(F.count("*").alias("links")), v.table("documents").agg(F.max(T.word_count(F.col("text"))).cast("long").alias("max_tokens")), v.table("events").agg(F.max("ts").alias("last_finished_at")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -142,16 +142,22 @@ def citation_order(v: Views) -> DataFrame:
 
 # --- verification ---------------------------------------------------------------------------------------------
 
-_N = "SELECT DISTINCT statute_id, CAST(regexp_extract(section_no, '^[0-9]+') AS INT) AS n FROM sections WHERE id % 9 <> 0"
+#: Sections with faulty ones beside them, the same SQL in both engines: unsortable, repeated and far numbers, blank texts and notes.
+_FAULTY = ("statute_id", "CASE id % 3 WHEN 0 THEN '—' WHEN 1 THEN section_no ELSE '123456' END AS section_no", "order_idx + 1000000000 AS order_idx", "CASE WHEN id % 2 = 0 THEN marginal_note ELSE '' END AS marginal_note", "CASE WHEN id % 4 = 1 THEN '  ' ELSE text_verbatim END AS text_verbatim", "is_omitted")
+_PLAIN = ("statute_id", "section_no", "order_idx", "marginal_note", "text_verbatim", "is_omitted")
+_ALL = f"SELECT {', '.join(_PLAIN)} FROM sections UNION ALL SELECT {', '.join(_FAULTY)} FROM sections WHERE id % 29 = 5"
 
 
-def _some(v: Views) -> DataFrame:
-    return v.sections.where("id % 9 <> 0")
+def _all(v: Views) -> DataFrame:
+    return v.sections.select(*_PLAIN).unionByName(v.sections.where("id % 29 = 5").selectExpr(*_FAULTY))
 
 
-@query(f"WITH d AS (SELECT *, lag(n) OVER (PARTITION BY statute_id ORDER BY n) AS prev FROM ({_N})) SELECT statute_id, prev AS after, n AS before, CAST(n - prev - 1 AS INT) AS gap, CASE WHEN n - prev - 1 > 200 THEN 'error' ELSE 'warn' END AS level FROM d WHERE n - prev > 1", "sections")
+_GAPS = f"SELECT statute_id, prev AS after, n AS before, CAST(n - prev - 1 AS INT) AS gap, CASE WHEN n - prev - 1 > 200 THEN 'error' ELSE 'warn' END AS level FROM (SELECT *, lag(n) OVER (PARTITION BY statute_id ORDER BY n) AS prev FROM (SELECT DISTINCT statute_id, CAST(regexp_extract(section_no, '^[0-9]+') AS INT) AS n FROM ({_ALL}) WHERE regexp_matches(section_no, '^[0-9]'))) WHERE n - prev > 1"
+
+
+@query(_GAPS, "sections")
 def section_gaps(v: Views) -> DataFrame:
-    return V.gaps(_some(v))
+    return V.gaps(_all(v))
 
 
 @query("SELECT l_partkey % 100 AS statute_id, l_orderkey % 300 AS no, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -178,33 +184,66 @@ def count_drift(v: Views) -> DataFrame:
     return _drift(v)
 
 
-@query(f"""WITH d AS (SELECT *, lag(n) OVER (PARTITION BY statute_id ORDER BY n) AS prev FROM ({_N})), x AS (SELECT statute_id, CASE WHEN n - prev - 1 > 200 THEN 'error' ELSE 'warn' END AS level, 'numbering_gap' AS kind, CAST(prev AS VARCHAR) || '..' || CAST(n AS VARCHAR) AS detail FROM d WHERE n - prev > 1
-UNION ALL SELECT statute_id, level, 'count_drift', CAST(n AS VARCHAR) || '/' || CAST(expected AS VARCHAR) FROM ({_DRIFT}) WHERE level <> 'ok')
-SELECT a.id AS statute_id, count(x.kind) AS findings, count(*) FILTER (WHERE x.level = 'error') AS errors, count(*) FILTER (WHERE x.level = 'error') = 0 AS ok FROM statutes a LEFT JOIN x ON x.statute_id = a.id GROUP BY 1""", "sections")
+_EXPECTED = "SELECT statute_id, count(*) FILTER (WHERE NOT is_omitted) - 7 + statute_id AS expected FROM sections GROUP BY statute_id"
+_FINDINGS = f"""WITH s AS ({_ALL}), live AS (SELECT *, length(text_verbatim) AS n FROM s WHERE NOT is_omitted), notes AS (SELECT *, row_number() OVER (PARTITION BY statute_id ORDER BY order_idx, section_no) AS r FROM s WHERE coalesce(marginal_note, '') = ''),
+c AS (SELECT statute_id, count(*) FILTER (WHERE NOT is_omitted) AS n, count(*) FILTER (WHERE marginal_note <> '') AS noted, count(*) AS total FROM s GROUP BY 1), d AS (SELECT statute_id, n, expected, abs(n - expected) AS off FROM c JOIN ({_EXPECTED}) USING (statute_id)),
+f AS (SELECT statute_id, 'error' AS level, 'unsortable_section_no' AS kind, section_no AS detail FROM s WHERE NOT regexp_matches(section_no, '[0-9A-Za-z]')
+UNION ALL SELECT statute_id, 'error', 'duplicate_section_no', section_no FROM s GROUP BY statute_id, section_no HAVING count(*) > 1
+UNION ALL SELECT statute_id, 'warn', 'no_section_1', 'lowest section number is ' || min(CAST(regexp_extract(section_no, '^[0-9]+') AS INT)) FROM s WHERE regexp_matches(section_no, '^[0-9]') GROUP BY statute_id HAVING min(CAST(regexp_extract(section_no, '^[0-9]+') AS INT)) <> 1
+UNION ALL SELECT statute_id, level, CASE WHEN level = 'error' THEN 'implausible_gap' ELSE 'section_gap' END, 'nothing between ' || after || ' and ' || before || ' (' || gap || ' numbers)' FROM ({_GAPS})
+UNION ALL SELECT statute_id, 'warn', CASE WHEN n < 40 THEN 'short_section' ELSE 'long_section' END, 's.' || section_no || ' is ' || n || ' chars' FROM live WHERE n < 40 OR n > 12000
+UNION ALL SELECT statute_id, 'error', 'empty_section', 's.' || section_no || ' has no text' FROM live WHERE trim(text_verbatim) = ''
+UNION ALL SELECT statute_id, 'warn', 'missing_marginal_note', (total - noted) || ' of ' || total || ' sections: ' || (SELECT string_agg(section_no, ', ' ORDER BY r) FROM notes WHERE notes.statute_id = c.statute_id AND r <= 10) FROM c WHERE noted > 0 AND noted < total
+UNION ALL SELECT statute_id, CASE WHEN off <= greatest(5, expected // 20) THEN 'warn' ELSE 'error' END, 'section_count_drift', 'parsed ' || n || ' in-force sections, oracle expects ' || expected FROM d WHERE off <> 0
+UNION ALL SELECT id, 'error', 'empty', 'no sections parsed' FROM statutes WHERE id NOT IN (SELECT statute_id FROM s))"""
+
+
+def _findings(v: Views) -> DataFrame:
+    expected = v.sections.groupBy("statute_id").agg((F.count_if(~F.col("is_omitted")) - 7 + F.col("statute_id")).alias("expected"))
+    return V.findings(v.statutes, _all(v), expected)
+
+
+@query(f"{_FINDINGS} SELECT statute_id, level, kind, detail FROM f", "sections")
 def verify_report(v: Views) -> DataFrame:
-    s = lambda c: F.col(c).cast("string")
-    rows = V.gaps(_some(v)).select("statute_id", "level", F.lit("numbering_gap").alias("kind"), F.concat(s("after"), F.lit(".."), s("before")).alias("detail"))
-    rows = rows.unionByName(_drift(v).where("level <> 'ok'").select("statute_id", "level", F.lit("count_drift").alias("kind"), F.concat(s("n"), F.lit("/"), s("expected")).alias("detail")))
-    g = v.statutes.select(F.col("id").alias("statute_id")).join(rows, "statute_id", "left").groupBy("statute_id").agg(F.count("kind").alias("findings"), F.count_if(F.col("level") == "error").alias("errors"))
+    return _findings(v)
+
+
+@query(f"{_FINDINGS} SELECT a.id AS statute_id, count(f.kind) AS findings, count(*) FILTER (WHERE f.level = 'error') AS errors, count(*) FILTER (WHERE f.level = 'error') = 0 AS ok FROM statutes a LEFT JOIN f ON f.statute_id = a.id GROUP BY 1", "sections")
+def verify_summary(v: Views) -> DataFrame:
+    g = v.statutes.select(F.col("id").alias("statute_id")).join(_findings(v), "statute_id", "left").groupBy("statute_id").agg(F.count("kind").alias("findings"), F.count_if(F.col("level") == "error").alias("errors"))
     return g.withColumn("ok", F.col("errors") == 0)
 
 
-@query("""SELECT rule, count(*) AS n FROM (SELECT 'year_range' AS rule FROM statutes WHERE year NOT BETWEEN 1800 AND 1900 UNION ALL SELECT 'self_loop' FROM lineitem WHERE l_orderkey % 100 = l_partkey % 100 UNION ALL SELECT 'token_count' FROM documents WHERE n_chars < 20
-UNION ALL SELECT 'answered_and_abstained' FROM events WHERE event_type = 'click' AND user_id % 10 = 0 UNION ALL SELECT 'unique_section_no' FROM sections GROUP BY statute_id, id % 37 HAVING count(*) > 1) GROUP BY rule""", "sections")
+#: Tables of the schema made of the given ones, each with rows that break its rules; the same SQL in both engines.
+_SCHEMA = {
+    "statutes": ("customer", "CONCAT('c', c_custkey % 1400) AS slug, CAST(1795 + c_custkey % 410 AS INT) AS year, CASE WHEN c_custkey % 90 = 0 THEN 'short' ELSE repeat('a', 64) END AS source_sha256, CASE c_custkey % 50 WHEN 0 THEN 'county' WHEN 1 THEN 'state' ELSE 'central' END AS level"),
+    "sections": ("orders", "o_custkey AS statute_id, o_orderkey % 500 AS section_no, o_orderkey AS order_idx"),
+    "chunks": ("lineitem", "l_partkey AS section_id, l_suppkey AS chunk_idx, CAST(l_quantity AS INT) - 1 AS token_count"),
+    "links": ("lineitem", "l_orderkey % 300 AS from_section_id, l_partkey % 300 AS to_section_id, CASE l_linenumber % 5 WHEN 0 THEN 'cites' WHEN 1 THEN 'see_also' WHEN 2 THEN 'amended_by' ELSE 'refers_to' END AS relation"),
+    "runs": ("events", "event_id AS id, CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'done' ELSE 'partial' END AS status"),
+    "logs": ("events", "event_id AS id, event_type = 'click' AS answered, user_id % 10 = 0 AS abstained"),
+}
+_UNIQUE = (("unique_slug", "statutes", "slug"), ("unique_section_no", "sections", "statute_id, section_no"), ("unique_order_idx", "sections", "statute_id, order_idx"), ("unique_chunk_idx", "chunks", "section_id, chunk_idx"), ("unique_edge", "links", "from_section_id, to_section_id, relation"))
+_BROKEN = (
+    ("year_range", "statutes", "slug", "year NOT BETWEEN 1800 AND 2200"), ("sha256_length", "statutes", "slug", "length(source_sha256) <> 64"), ("level", "statutes", "slug", "level NOT IN ('central', 'state')"), ("token_count", "chunks", "section_id, chunk_idx", "token_count <= 0"),
+    ("relation", "links", "from_section_id, to_section_id, relation", "relation NOT IN ('refers_to', 'amended_by', 'see_also')"), ("self_loop", "links", "from_section_id, to_section_id, relation", "from_section_id = to_section_id"),
+    ("status", "runs", "id", "status NOT IN ('running', 'succeeded', 'partial', 'failed')"), ("answered_and_abstained", "logs", "id", "answered AND abstained"),
+)
+_VIOLATIONS = "WITH " + ", ".join(f"x_{name} AS (SELECT {cols} FROM {source})" for name, (source, cols) in _SCHEMA.items()) + " " + " UNION ALL ".join(
+    [f"SELECT '{rule}' AS rule, concat_ws('/', {key}) AS key FROM x_{t} WHERE {on}" for rule, t, key, on in _BROKEN] + [f"SELECT '{rule}', concat_ws('/', {key}) FROM x_{t} GROUP BY {key} HAVING count(*) > 1" for rule, t, key in _UNIQUE]
+)
+
+
+@query(_VIOLATIONS)
 def constraint_violations(v: Views) -> DataFrame:
-    rows = [
-        v.statutes.where("year NOT BETWEEN 1800 AND 1900").select(F.lit("year_range").alias("rule")), v.table("lineitem").where("l_orderkey % 100 = l_partkey % 100").select(F.lit("self_loop").alias("rule")),
-        v.table("documents").where("n_chars < 20").select(F.lit("token_count").alias("rule")), v.table("events").where("event_type = 'click' AND user_id % 10 = 0").select(F.lit("answered_and_abstained").alias("rule")),
-        v.sections.groupBy("statute_id", F.col("id") % 37).count().where("count > 1").select(F.lit("unique_section_no").alias("rule")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("rule").agg(F.count("*").alias("n"))
+    return V.violations(**{name: v.spark.sql(f"SELECT {cols} FROM {{source}}", source=v.table(source)) for name, (source, cols) in _SCHEMA.items()})
 
 
-@query()
+@query(f"""{_RANKS}, m AS (SELECT id, topic, CASE WHEN must_abstain THEN 'wrongly_answered' ELSE 'miss' END AS kind, top_score, first_correct FROM o WHERE (NOT must_abstain AND (top_score < 0.6 OR coalesce(first_correct, 99) > 6)) OR (must_abstain AND top_score >= 0.6))
+SELECT 'totals' AS kind, NULL AS id, NULL AS topic, NULL AS top_score, NULL AS first_correct, {", ".join(f"round(avg(CASE WHEN first_correct <= {k} THEN 1 ELSE 0 END), 4) AS recall_{k}" for k in E.KS)}, round(avg(coalesce(1.0 / first_correct, 0)), 4) AS mrr FROM o WHERE NOT must_abstain
+UNION ALL SELECT kind, id, topic, round(top_score, 4), first_correct, {", ".join("NULL" for _ in E.KS)}, NULL FROM m""", "cases")
 def report_json(v: Views) -> DataFrame:
-    """The evaluation report as one JSON line for each case that went wrong, and one for the totals."""
-    totals = E.recall_at(_outcomes(v)).crossJoin(E.mrr(_outcomes(v)))  # one row each
-    return totals.select(F.to_json(F.struct("*")).alias("line")).unionByName(eval_misses(v).select(F.to_json(F.struct("*")).alias("line")))
+    """The report as JSON lines (the totals, and each case that went wrong; four decimals), read back."""
+    lines = E.report_lines(_outcomes(v), eval_misses(v))
+    fields = "kind string, id long, topic string, top_score double, first_correct int, " + ", ".join(f"recall_{k} double" for k in E.KS) + ", mrr double"
+    return lines.select(F.from_json("line", fields).alias("r")).select("r.*")

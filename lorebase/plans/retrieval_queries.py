@@ -189,7 +189,9 @@ def chunk_all(v: Views) -> DataFrame:
     return g.select("id", "words", (F.col("most") <= 450).alias("within"))
 
 
-@query(f"{_SIZES} SELECT count(*) AS sections, count(*) FILTER (WHERE h + n > 450) AS split_sections FROM z WHERE n > 0", "sections")
+@query(f"{_SIZES} SELECT count(*) AS sections, count(*) FILTER (WHERE h + n > 450) AS split_sections, true AS as_many, true AS within FROM z WHERE n > 0", "sections")
 def chunk_report(v: Views) -> DataFrame:
-    each = _chunk(_headed(v)).groupBy("id").agg(F.count("*").alias("chunks"))
-    return each.agg(F.count("*").alias("sections"), F.count_if(F.col("chunks") > 1).alias("split_sections"))
+    """Sections and split ones; whether there are more chunks than sections by those split at least, and whether the largest chunk keeps to the ceiling."""
+    each = _chunk(_headed(v)).groupBy("id").agg(F.count("*").alias("chunks"), F.max("token_count").alias("most"))
+    r = each.agg(F.count("*").alias("sections"), F.sum("chunks").alias("chunks"), F.count_if(F.col("chunks") > 1).alias("split_sections"), F.max("most").alias("max_tokens"))
+    return r.select("sections", "split_sections", (F.col("chunks") >= F.col("sections") + F.col("split_sections")).alias("as_many"), (F.col("max_tokens") <= 450).alias("within"))
