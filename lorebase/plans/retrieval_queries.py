@@ -104,19 +104,21 @@ def search_corpus(v: Views) -> DataFrame:
     return best.select("query_id", F.col("id").alias("section_id"), F.concat("short_title", F.lit(", s. "), "section_no").alias("citation"), "rrf", "rank", T.snippet(F.col("text_verbatim")).alias("snippet"))
 
 
-_SCORED = _BM25 + """, n AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1), cov AS (SELECT query_id, id, round(matched / n, 6) AS score FROM sparse JOIN n USING (query_id)),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM cov)"""
+_SCORED = _HYBRID + """, n AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1), cov AS (SELECT fused.query_id, fused.id, rank, round(coalesce(matched, 0) / n, 6) AS score FROM fused JOIN n USING (query_id) LEFT JOIN bm ON bm.query_id = fused.query_id AND bm.id = fused.id WHERE rank <= 30),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS r FROM cov)"""
 
 
 def _coverage(v: Views) -> DataFrame:
-    """The default pair scorer: share of a question's distinct terms that the passage holds."""
-    n = _asked(v).select("query_id", F.size(F.array_distinct(T.index_terms(F.col("text")))).alias("n"))
-    return R.sparse_topk(_docs(v), _asked(v)).join(n, "query_id").select("query_id", "id", F.round(F.col("matched") / F.col("n"), 6).alias("score"))
+    """The default pair scorer over the first candidates of the fused order: share of a question's distinct terms that the passage holds."""
+    asked = _asked(v).select("query_id", F.array_distinct(T.index_terms(F.col("text"))).alias("q")).where("size(q) > 0")
+    pairs = _fused(v).where(F.col("rank") <= R.TOP_K).select("query_id", "id", F.col("rank").alias("fused_rank")).join(asked, "query_id")
+    met = pairs.join(_docs(v), "id", "left").withColumn("held", F.coalesce(F.size(F.array_intersect("q", T.index_terms(F.col("text")))), F.lit(0)))
+    return met.select("query_id", "id", "fused_rank", F.round(F.col("held") / F.size("q"), 6).alias("score"))
 
 
 @query(f"{_SCORED} SELECT query_id, id, score, CAST(r AS INT) AS rank FROM top WHERE r <= 6")
 def rerank_topn(v: Views) -> DataFrame:
-    return R.top_k(_coverage(v), ["query_id"], [F.col("score").desc(), F.col("id")], R.TOP_N)
+    return R.top_k(_coverage(v), ["query_id"], [F.col("score").desc(), F.col("fused_rank")], R.TOP_N).drop("fused_rank")
 
 
 @query(f"""{_SCORED} SELECT b.item_id AS query_id, coalesce(count(*) FILTER (WHERE r <= 6 AND score >= 0.6), 0) > 0 AS passed, count(*) FILTER (WHERE r <= 6 AND score >= 0.6) AS n_kept, max(score) AS top_score,

@@ -21,12 +21,23 @@ SELECT answer_id, seq, CASE WHEN seq = trip THEN 'invalidated' ELSE 'token' END
 @query(_GUARD, "answers")
 def stream_guard_batch(v: Views) -> DataFrame:
     t = S.token_stream(v.answers)
-    w = W.partitionBy("answer_id").orderBy("seq")
-    sofar = F.array_join(F.collect_list("delta").over(w.rowsBetween(W.unboundedPreceding, 0)), "")
-    t = t.withColumn("sofar", sofar).withColumn("bad", F.size(F.array_except(T.cited_ids(F.col("sofar")), F.col("allowed"))) > 0)
-    t = t.withColumn("trip", F.min(F.when(F.col("bad"), F.col("seq"))).over(W.partitionBy("answer_id")))
-    hit = F.col("seq") == F.col("trip")
-    return t.where("trip IS NULL OR seq <= trip").select("answer_id", "seq", F.when(hit, "invalidated").otherwise("token").alias("name"), F.when(hit, "").otherwise(F.col("delta")).alias("text"))
+    # The text is put together once; its first bad citation ends at a character, and so in a token.
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "")
+    a = t.groupBy("answer_id").agg(whole.alias("text"), F.first("allowed").alias("allowed"))
+    closed = F.regexp_extract_all("text", F.lit(r"\[[^\[\]]*\]"), F.lit(0))
+    pieces = F.arrays_zip(F.transform(F.slice(F.split("text", r"\[[^\[\]]*\]"), 1, F.size(closed)), F.char_length).alias("before"), closed.alias("cited"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad"))
+
+    def step(acc, x):
+        at = acc["at"] + x["before"] + F.char_length(x["cited"])
+        wrong = F.size(F.array_except(T.cited_ids(x["cited"]), F.col("allowed"))) > 0
+        return F.struct(at.alias("at"), F.coalesce(acc["bad"], F.when(wrong, at)).alias("bad"))
+
+    a = a.select("answer_id", F.aggregate(pieces, start, step)["bad"].alias("bad"))
+    end = F.sum(F.char_length("delta")).over(W.partitionBy("answer_id").orderBy("seq"))
+    t = t.withColumn("end", end).withColumn("begin", F.col("end") - F.char_length("delta")).join(a, "answer_id").where("bad IS NULL OR begin < bad")
+    hit = F.coalesce(F.col("end") >= F.col("bad"), F.lit(False))
+    return t.select("answer_id", "seq", F.when(hit, "invalidated").otherwise("token").alias("name"), F.when(hit, "").otherwise(F.col("delta")).alias("text"))
 
 
 @query(_GUARD, "answers")
@@ -34,15 +45,15 @@ def stream_citation_guard(v: Views) -> DataFrame:
     live = Views(v.spark, v.sf_dir)
     live.table = lambda name: S.read_stream(v.spark, f"{v.sf_dir}/{name}.parquet")  # type: ignore[method-assign]
     path = S.shared_path(v.spark, "guard")
-    S.run_to_end(S.citation_guard(S.token_stream(live.answers)), lambda batch, number: batch.write.mode("append").parquet(path), "append")
-    return v.spark.read.parquet(path)
+    S.run_to_end(S.citation_guard(S.token_stream(live.answers)), S.write_batch(path), "append")
+    return v.spark.read.parquet(path).drop("batch")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, user_id, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling_counts(v: Views) -> DataFrame:
     path = S.shared_path(v.spark, "counts")
     stream = S.tumbling_counts(S.read_stream(v.spark, f"{v.sf_dir}/events.parquet"), "user_id", "ts", "1 hour")
-    S.run_to_end(stream, lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path))
+    S.run_to_end(stream, S.write_batch(path))
     return v.spark.read.parquet(path).groupBy("window_start", "user_id").agg(F.max_by("n", "batch").alias("n"))
 
 

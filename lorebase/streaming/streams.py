@@ -17,11 +17,23 @@ from ..operators.store import insert_ignore
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorebase-stream-")
+    """A new path in the folder that driver and executors share; where none is set, in the warehouse, or a temporary one if all runs in one local process."""
+    sc = spark.sparkContext
+    alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    base = base or (tempfile.mkdtemp(prefix="lorebase-stream-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams")
     return f"{base}/{name}-{uuid4().hex}"
 
 
+def write_batch(path: str):
+    """For `run_to_end`: keeps each micro-batch in a folder of its own, so that one that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet file or folder at `path` as a stream. As a pattern, since a stream's plain path must be a folder."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -54,7 +66,8 @@ def guard_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     """
     tail, tripped = state.get if state.exists else ("", False)
     rows = []
-    df = pd.concat(list(frames)).sort_values("seq")
+    parts = [df[["seq", "delta", "allowed"]] for df in frames]  # one answer's new tokens, which may come in any order
+    df = pd.concat(parts).sort_values("seq")
     for seq, delta, allowed in zip(df["seq"], df["delta"], df["allowed"], strict=True):
         if tripped:
             break
@@ -93,7 +106,7 @@ def incremental_chunks(stream: DataFrame, path: str) -> None:
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            old = new.limit(0)
-        insert_ignore(old, new, ["id", "chunk_idx"]).write.mode("append").parquet(path)
+            old = new.limit(0).withColumn("batch", F.lit(number))
+        insert_ignore(old.where(F.col("batch") != number), new, ["id", "chunk_idx"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run_to_end(stream, add, "append")

@@ -3,7 +3,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from lorebase.operators import embedding, store
-from lorebase.sources import archive
+from lorebase.sources import archive, manifest
 
 
 def test_upsert_and_insert_ignore(spark):
@@ -46,3 +46,29 @@ def test_archive(spark, tmp_path):
     )
     rows = archive.section_items(archive.read_archive(spark, str(tmp_path))).collect()
     assert [(r["uuid"], r["section_no"], r["order_number"], r["title"]) for r in rows] == [("u1", "2A", None, "")]
+
+
+def test_fingerprints_tell_values_apart(spark):
+    a = spark.createDataFrame([(1, "a|b", "c"), (2, None, "x"), (3, "~", "y"), (4, "1:a", "")], "k long, v string, w string")
+    b = spark.createDataFrame([(1, "a", "b|c"), (2, "~", "x"), (3, "~", "y"), (4, "", "1:a")], "k long, v string, w string")
+    assert sorted(map(tuple, store.fingerprint_diff(a, b, "k", ["v", "w"]).collect())) == [(1, "changed"), (2, "changed"), (4, "changed")]
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"slug": "a", "tier": 1}\n{"slug": "b", "tier": 2}\n')
+    entries = manifest.read_manifest(spark, str(tmp_path / "m.json"))
+    assert [r["slug"] for r in manifest.select_acts(entries, tier=2).collect()] == ["b"]
+    with pytest.raises(ValueError, match="unknown slug: z"):
+        manifest.select_acts(entries, slug="z")
+    (tmp_path / "n.json").write_text('{"slug": "a"}\n{"slug": "a"}\n')
+    with pytest.raises(ValueError, match="repeated slugs: a"):
+        manifest.read_manifest(spark, str(tmp_path / "n.json"))
+
+
+def test_gold_file(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"in_corpus": [{"id": "q1", "question": "x?", "topic": "t", "expected": [{"statute_slug": "a", "sections": ["21-A", "2"]}]}],\n "adversarial": [{"id": "q2", "question": "y?", "topic": "t", "must_abstain": true, "expected": []}]}')
+    gold = manifest.read_gold(spark, str(tmp_path / "g.json"))
+    sections = spark.createDataFrame([(7, "a", "21A"), (8, "a", "2")], "id long, slug string, section_no string")
+    assert {r["id"]: (r["must_abstain"], r["expected_section_ids"]) for r in manifest.resolve_gold(gold, sections).collect()} == {"q1": (False, [7, 8]), "q2": (True, [])}
+    with pytest.raises(ValueError, match="labels without a section: a s. 2"):
+        manifest.resolve_gold(gold, sections.where("id = 7"))

@@ -93,6 +93,43 @@ def test_chunks_lose_nothing(spark):
     assert [r["chunk_idx"] for r in rows if r["id"] == 1] == [0, 1] and {r["id"] for r in rows} == {1, 2} and max(r["token_count"] for r in rows) <= 450
 
 
+def test_markup(spark):
+    html = "<p>a&eacute; &#8212;&rsquo;&mdash; &#x1F600; &amp;lt; &#150; &bogus; &#0; 3 < 4</p><!-- <p>x --><sup>1</sup>b<sup></sup><br/>c&nbsp;d"
+    assert one(spark, T.html_to_text(F.lit(html))) == "aé —’— 😀 < – &bogus; \ufffd 3 < 4\n[1]b\nc d"
+
+
+def test_notes_and_omissions(spark):
+    notes = lambda t: [tuple(x) for x in one(spark, T.footnotes(F.lit(t)))]
+    assert notes("[1] . a\n100. b\n2. c") == [("1", "a\n100. b"), ("2", "c")] and notes("x") == [("", "x")]
+    says = lambda t: one(spark, T.amendment_note(T.footnotes(F.lit(t)))) is not None
+    assert [says(t) for t in ("Substituted by Act 3 of 1951", "Inserted, w.e.f. 1-1-1990", "vide notification 5", "Fee added up", "report")] == [True, True, True, False, False]
+    gone = lambda note, body: one(spark, T.looks_omitted(F.lit(note), F.lit(body)))
+    assert gone("[Repealed.].", "x") and gone("x", "[1] [Decree of foreclosure suit, and whatever else there was to be said of it at length.] Rep. by the Code")
+    assert not gone("x", "The Indian Act, 1882, is hereby repealed.") and not gone(None, "live")
+
+
+def test_segments(spark):
+    text = "head\n( 1 ) a\n (2a) b Provided c\nExceptional d\nExplanation e\n(123) f"
+    assert one(spark, T.segments(F.lit(text))) == ["head", "( 1 ) a", "(2a) b", "Provided c\nExceptional d", "Explanation e\n(123) f"]
+    assert [one(spark, T.segment_label(F.lit(x))) for x in ("( 1 ) a", "(2a) b", "Exception x", "z")] == ["(1)", "(2a)", "Exception", "body"]
+
+
+def test_chunk_boundaries(spark):
+    """A segment that doesn't fit closes the chunk before it and leaves its last part open for what follows."""
+    text = "(1) a b\n(2) c d e; f g h; i\n(3) j"
+    assert split_section(text, lambda t: len(t.split()) <= 5) == ["(1) a b", "(2) c d e;", "f g h; i", "(3) j"]
+    assert split_section(text, lambda t: len(t.split()) <= 6) == ["(1) a b", "(2) c d e;", "f g h; i\n(3) j"]
+    frame = spark.createDataFrame([(1, "p: ", text)], "id long, heading string, text string")
+    rows = chunk_sections(frame, 25, lambda: len).orderBy("chunk_idx").collect()
+    assert all(r["token_count"] == 3 + len(r["text"]) <= 25 for r in rows) and " ".join(r["text"] for r in rows).split() == text.split()
+
+
+def test_questions_of_stop_words_match_nothing(spark):
+    docs = spark.createDataFrame([(1, "the cat of the house"), (2, "a dog")], "id long, text string")
+    asked = spark.createDataFrame([(1, "what is the of"), (2, "which cat is a dog")], "query_id long, text string")
+    assert {(r["query_id"], r["id"]) for r in retrieval.bm25(docs, asked).collect()} == {(2, 1), (2, 2)}
+
+
 def test_stream_guard_step():
     import pandas as pd
 
