@@ -312,6 +312,7 @@ def toxicity(
     folds: int = 5,
     sample_docs: int = 8000,
     sample_chars: int = 64_000_000,
+    broadcast_rows: int = 1_000_000,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each row of `documents`: doc_id, held_out, score, predicted, mass, spans, and the columns named in `carry`.
@@ -322,7 +323,8 @@ def toxicity(
     more as start:end in code points, comma-joined. Word statistics, and so what marks a
     token, cover all labelled training rows; the fit uses whole texts of at most
     `sample_docs` of them, picked by a hash of their ids, and of no more than
-    `sample_chars` together but for the first. Null and empty texts get the score of a
+    `sample_chars` together but for the first. Up to `broadcast_rows` training labels
+    (about 16 bytes each) are broadcast; with more both sides shuffle. Null and empty texts get the score of a
     text without words. Without labels of both kinds every score is the share of label 1
     (0 if there is none). A repeated label counts as toxic if any says so; rows with a
     null id or label are not used; other columns are ignored.
@@ -335,8 +337,9 @@ def toxicity(
     train = train.where(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
 
-    # Labels grow with the corpus, so they are never broadcast.
-    counts = docs.where("text IS NOT NULL").join(train.hint("merge"), "doc_id").select("text", "toxic").mapInArrow(_feature_counts, "feature long, toxic long, clean long")
+    # Labels cover a part of the documents and grow with them: few enough are broadcast, so that no text is shuffled.
+    labelled = F.broadcast(train) if n <= broadcast_rows else train.hint("merge")
+    counts = docs.where("text IS NOT NULL").join(labelled, "doc_id").select("text", "toxic").mapInArrow(_feature_counts, "feature long, toxic long, clean long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = n_toxic / max(n, 1)
     expected = (F.col("toxic") + F.col("clean")) * share

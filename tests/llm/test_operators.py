@@ -308,7 +308,10 @@ def test_short_toxic_words_are_learnt(spark):
         r.shuffle(w)
         docs.append((i, " ".join(w)))
         labels.append((i, int(i % 5 == 0)))
-    rows = toxicity.toxicity(H.docs_frame(spark, docs), spark.createDataFrame([(*x, 1, "s") for x in labels], "doc_id long, toxic int, mass int, text string")).where("held_out").collect()
+    marks = spark.createDataFrame([(*x, 1, "s") for x in labels], "doc_id long, toxic int, mass int, text string")
+    rows = toxicity.toxicity(H.docs_frame(spark, docs), marks).where("held_out").collect()
+    shuffled = toxicity.toxicity(H.docs_frame(spark, docs), marks, broadcast_rows=0).where("held_out").collect()
+    assert {x["doc_id"]: x["score"] for x in rows} == {x["doc_id"]: x["score"] for x in shuffled}
     assert sum(x["predicted"] != (x["doc_id"] % 5 == 0) for x in rows) <= len(rows) // 50
 
 
