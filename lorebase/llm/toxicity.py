@@ -324,7 +324,7 @@ def toxicity(
     token, cover all labelled training rows; the fit uses whole texts of at most
     `sample_docs` of them, picked by a hash of their ids, and of no more than
     `sample_chars` together but for the first. Up to `broadcast_rows` training labels
-    (about 16 bytes each) are broadcast; with more both sides shuffle. Null and empty texts get the score of a
+    are broadcast, some 100 MB at most; with more both sides shuffle. Null and empty texts get the score of a
     text without words. Without labels of both kinds every score is the share of label 1
     (0 if there is none). A repeated label counts as toxic if any says so; rows with a
     null id or label are not used; other columns are ignored.
