@@ -339,13 +339,14 @@ def train(pages: list[tuple[list[Block], np.ndarray]], epochs: int = 6, batch: i
     return {k: v.astype(np.float32) for k, v in model.items()}
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = 300, largest: int = 40_000) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = 300, sample_chars: int = 8_000_000) -> DataFrame:
     """One row for each row of `pages`: page_id, url, text, n_chars.
 
     `text` joins the blocks that the network takes for the article's, in page order, by
     an empty line; n_chars counts its code points. Every block of every page is
     classified, and nothing is cut. The network is trained on at most `sample_pages`
-    pages, picked by a hash of their ids among those of at most `largest` characters.
+    pages, picked by a hash of their ids, of `sample_chars` characters together (a page
+    that goes beyond is left out); long ones are learnt in runs of 512 blocks.
     Null, empty and text-free pages give an empty text; repeated rows give the same text
     each; other columns are ignored. If no page of the sample tells its parts by markup,
     all of a page's visible text is kept.
@@ -354,10 +355,15 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     ship(spark)
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     # The sample's hashes first, then only its pages: else every task would send its own best ones to the driver.
-    hashed = df.where(F.length("html") <= largest).select("html", F.xxhash64("page_id", "html", F.lit(5)).alias("h"))
-    least = [r["h"] for r in hashed.select("h").orderBy("h").limit(sample_pages).collect()]
-    rows = sorted(hashed.where(F.col("h") <= least[-1]).dropDuplicates(["h"]).collect(), key=lambda r: r["h"]) if least else []
-    made = [(p, y) for p, y in training_pages([blocks(r["html"]) for r in rows]) if (y == 0).any() and (y == 1).any()]
+    hashed = df.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "html", F.lit(5)).alias("h"))
+    picked, left = [], sample_chars
+    for r in hashed.select("h", F.length("html").alias("n")).dropDuplicates(["h"]).orderBy("h").limit(sample_pages).collect():
+        if r["n"] <= left:
+            picked.append(r["h"])
+            left -= r["n"]
+    rows = sorted(hashed.where(F.col("h").isin(picked)).dropDuplicates(["h"]).collect(), key=lambda r: r["h"]) if picked else []
+    whole = [(p, y) for p, y in training_pages([blocks(r["html"]) for r in rows]) if (y == 0).any() and (y == 1).any()]
+    made = [(p[i : i + 512], y[i : i + 512]) for p, y in whole for i in range(0, len(p), 512)]
     model = spark.sparkContext.broadcast(train(made) if made else None)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

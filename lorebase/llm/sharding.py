@@ -39,9 +39,12 @@ def numbered(df: DataFrame, keys: list[str], out: str, cells: int, order: list[C
     return placed.join(sizes, [*keys, "_cell"]).withColumn(out, F.col("_before") + F.col("_at")).drop("_cell", "_before", "_at")
 
 
-def propagate(nodes: DataFrame, links: DataFrame, *, shards: int = 16, rounds: int = 8, slack: float = 0.25) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, *, shards: int = 16, slack: float = 0.25) -> DataFrame:
     """(row, shard, slot) for each of `nodes` (row: long, unique): counts of shards differ by one at most.
 
+    Rounds go on until no row moves, or until a round gathers no more members at their
+    groups' targets; so they end, as that number only rises.
+
     `links` (row, key): rows with equal keys are linked; null keys and keys of one row
     link nothing. The start deals rows out by number, so that it is level; groups larger
     than a shard fill theirs up to the quota and stay spread beyond it. Slots are gapless
@@ -57,11 +60,16 @@ def propagate(nodes: DataFrame, links: DataFrame, *, shards: int = 16, rounds: i
     linked = checkpoint(links.distinct().join(groups, "key").select("row", "key", F.xxhash64("key", salt).alias("grp")))
     at = checkpoint(start.join(linked.groupBy("row").agg(F.min("grp").alias("grp")), "row", "left"))
     if not linked.isEmpty():
-        for _ in range(rounds):
-            moves = _round(at, linked, n, shards, slack, cells)
+        tally, gathered = _tally(at, linked)
+        while True:
+            moves = _round(at, linked, tally, n, shards, slack, cells)
             if moves.isEmpty():
                 break
-            at = checkpoint(at.join(moves, "row", "left").select("row", F.coalesce("to", "shard").alias("shard"), "grp"))
+            moved = checkpoint(at.join(moves, "row", "left").select("row", F.coalesce("to", "shard").alias("shard"), "grp"))
+            tally, now = _tally(moved, linked)
+            if now <= gathered:
+                break
+            at, gathered = moved, now
     return _levelled(at, quota, shards, cells)
 
 
@@ -71,9 +79,15 @@ def _dealt(nodes: DataFrame, shards: int, cells: int) -> DataFrame:
     return numbered(df, ["all"], "i", cells * shards, [F.col("row")]).select("row", F.pmod("i", F.lit(shards)).cast("int").alias("shard"))
 
 
-def _round(at: DataFrame, linked: DataFrame, n: int, shards: int, slack: float, cells: int) -> DataFrame:
-    """(row, to): the members that move to their groups' targets in this round."""
+def _tally(at: DataFrame, linked: DataFrame) -> tuple[DataFrame, int]:
+    """(key, shard, votes), and how many members stand where most of their group does."""
     tally = checkpoint(linked.join(at.select("row", "shard"), "row").groupBy("key", "shard").agg(F.count("*").alias("votes")))
+    most = tally.groupBy("key").agg(F.max("votes").alias("votes"))
+    return tally, most.agg(F.coalesce(F.sum("votes"), F.lit(0))).first()[0]
+
+
+def _round(at: DataFrame, linked: DataFrame, tally: DataFrame, n: int, shards: int, slack: float, cells: int) -> DataFrame:
+    """(row, to): the members that move to their groups' targets in this round."""
     # Rows linked by several keys go to the key whose target has most votes.
     best = tally.groupBy("key").agg(F.max(F.struct(F.col("votes"), F.xxhash64("key", "shard").alias("tie"), F.col("shard").alias("to"))).alias("b"))
     wish = linked.join(best.select("key", "b.votes", "b.to"), "key").groupBy("row").agg(F.max(F.struct("votes", "to", "grp")).alias("w"))
@@ -104,7 +118,7 @@ def _levelled(at: DataFrame, quota: Column, shards: int, cells: int) -> DataFram
     return seated.where(F.col("i") < quota).select("row", "shard", F.col("i").alias("slot")).unionByName(moved)
 
 
-def shard_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int = 8, slack: float = 0.25) -> DataFrame:
+def shard_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, slack: float = 0.25) -> DataFrame:
     """One row for each row of `documents`: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Documents with equal texts (by SHA-256) are linked. Counts of shards differ by one
@@ -119,7 +133,7 @@ def shard_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         F.when(F.col(text_col).isNotNull(), F.sha2(text, 256)).alias("key"), F.monotonically_increasing_id().alias("row"),
     )
     rows = checkpoint(rows)
-    placed = propagate(rows.select("row"), rows.select("row", "key"), shards=shards, rounds=rounds, slack=slack)
+    placed = propagate(rows.select("row"), rows.select("row", "key"), shards=shards, slack=slack)
     return rows.join(placed, "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
