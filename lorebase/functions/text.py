@@ -138,6 +138,11 @@ def heading_prefix(title: Column, note: Column) -> Column:
     return F.concat(F.lit("passage: "), title, F.when(bare != "", F.concat(F.lit(" — "), bare)).otherwise(F.lit("")), F.lit(". "))
 
 
+def indexed_text(heading: Column, text: Column) -> Column:
+    """What the sparse index holds of a passage: its heading, without the embedding model's mark, and its text."""
+    return F.concat_ws(" ", F.regexp_replace(heading, "^passage: ", ""), text)
+
+
 def rerank_passage(heading: Column, text: Column) -> Column:
     return F.concat(F.regexp_replace(heading, "^passage: ", ""), text)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem
 from ..functions.text import index_terms
 
 K1, B = 1.2, 0.75
@@ -23,23 +24,38 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf)."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(index_terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf). Terms are stems, worked out once for each distinct word."""
+    words = docs.select(F.col(id_col).alias("id"), F.explode(index_terms(F.col(text_col))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    stems = words.select("word").distinct().select("word", stem(F.col("word")).alias("term"))
+    return words.join(stems, "word").groupBy("id", "term").agg(F.sum("n").alias("tf"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct stems of each question's words but stop words. queries: query_id, text."""
+    words = queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("word"))
+    return words.select("query_id", stem(F.col("word")).alias("term")).distinct()
+
+
+def _forms(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, term): the distinct `words` whose stem is asked for."""
+    return words.distinct().select("word", stem(F.col("word")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, most_asked: int = 500_000) -> DataFrame:
     """(query_id, id, score, matched): BM25 of each document that holds a term of the query. docs: id, text; queries: query_id, text.
 
-    Stop words are neither indexed nor asked for: a question of nothing else matches nothing.
-    Only the documents' occurrences of asked terms are counted and shuffled. Questions of
-    at most `most_asked` terms together are broadcast; more are joined by shuffles.
+    Terms are stems. Stop words are neither indexed nor asked for: a question of nothing
+    else matches nothing. Stems are worked out for distinct words only, and only the
+    documents' occurrences of asked ones are counted and shuffled. Up to `most_asked`
+    question terms and forms of theirs are broadcast; more are joined by shuffles.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("term"))
+    asked = asked_terms(queries)
     d = docs.select("id", index_terms(F.col("text")).alias("t"))
     size = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    small = asked.count() <= most_asked
+    forms = _forms(d.select(F.explode("t").alias("word")), asked).persist()  # counted here, used below
+    small = max(asked.count(), forms.count()) <= most_asked
     hint = F.broadcast if small else (lambda x: x)
-    occ = d.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(hint(asked.select("term").distinct()), "term")
+    occ = d.select("id", F.size("t").alias("len"), F.explode("t").alias("word")).join(hint(forms), "word")
     # One shuffle by document serves the counts, the join with the questions and their sums.
     tf = occ.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -50,6 +66,20 @@ def bm25(docs: DataFrame, queries: DataFrame, most_asked: int = 500_000) -> Data
     return weighed.join(hint(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("matched"))
 
 
+def coverage(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """`pairs` (query_id, id, others) with `score`: the share of the question's distinct terms that the document holds; questions without terms go.
+
+    Only the pairs' documents are split into words.
+    """
+    pairs, asked = pairs.persist(), asked_terms(queries)  # a question's pairs are its first candidates, used three times
+    words = docs.join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("word"))
+    terms = words.join(_forms(words.select("word"), asked), "word").select("id", "term").distinct()
+    held = pairs.select("query_id", "id").join(asked, "query_id").join(terms, ["id", "term"]).groupBy("query_id", "id").agg(F.count("*").alias("held"))
+    n = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    met = pairs.join(n, "query_id").join(held, ["query_id", "id"], "left")
+    return met.select(*pairs.columns, F.round(F.coalesce("held", F.lit(0)) / F.col("n"), 6).alias("score"))
+
+
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     return top_k(bm25(docs, queries), ["query_id"], [F.col("score").desc(), F.col("id")], k)
 

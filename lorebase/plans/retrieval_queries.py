@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stem import stem_sql
 from ..operators import graph
 from ..operators import retrieval as R
 from ..operators.chunking import chunk_sections as _chunk
@@ -14,7 +15,9 @@ from .registry import query
 
 
 def _docs(v: Views) -> DataFrame:
-    return v.table("documents").select(F.col("doc_id").alias("id"), "text")
+    """Texts behind a heading that names their source."""
+    heading = T.heading_prefix(F.col("source"), F.lit(None).cast("string"))
+    return v.table("documents").select(F.col("doc_id").alias("id"), T.indexed_text(heading, F.col("text")).alias("text"))
 
 
 def _asked(v: Views) -> DataFrame:
@@ -22,9 +25,10 @@ def _asked(v: Views) -> DataFrame:
 
 
 _STOP = "[" + ", ".join(f"'{x}'" for x in T.STOP_WORDS) + "]"
-_TERMS = f"""WITH tok AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') IF x <> '' AND NOT list_contains({_STOP}, x)] AS t FROM documents),
-occ AS (SELECT id, len(t) AS len, unnest(t) AS term FROM tok)"""
-_BM25 = _TERMS + f""", asked AS (SELECT DISTINCT item_id AS query_id, unnest([x FOR x IN string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') IF x <> '' AND NOT list_contains({_STOP}, x)]) AS term FROM benchmark),
+_WORDS = f"[x FOR x IN string_split_regex(lower({{}}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+') IF x <> '' AND NOT list_contains({_STOP}, x)]"
+_TERMS = f"""WITH tok AS (SELECT doc_id AS id, {_WORDS.format("source || '.  ' || text")} AS t FROM documents), qw AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS.format("text")}) AS word FROM benchmark),
+words AS (SELECT id, len(t) AS len, unnest(t) AS word FROM tok), voc AS MATERIALIZED (SELECT word, {stem_sql("word")} AS term FROM (SELECT word FROM words UNION SELECT word FROM qw)), occ AS (SELECT id, len, term FROM words JOIN voc USING (word))"""
+_BM25 = _TERMS + f""", asked AS (SELECT DISTINCT query_id, term FROM qw JOIN voc USING (word)),
 tf AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM occ WHERE term IN (SELECT term FROM asked) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sz AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
 bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score, count(*) AS matched FROM asked JOIN tf USING (term) JOIN df USING (term), sz GROUP BY query_id, id),
 sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM bm) WHERE rank <= 30)"""
@@ -110,10 +114,8 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 def _coverage(v: Views) -> DataFrame:
     """The default pair scorer over the first candidates of the fused order: share of a question's distinct terms that the passage holds."""
-    asked = _asked(v).select("query_id", F.array_distinct(T.index_terms(F.col("text"))).alias("q")).where("size(q) > 0")
-    pairs = _fused(v).where(F.col("rank") <= R.TOP_K).select("query_id", "id", F.col("rank").alias("fused_rank")).join(asked, "query_id")
-    met = pairs.join(_docs(v), "id", "left").withColumn("held", F.coalesce(F.size(F.array_intersect("q", T.index_terms(F.col("text")))), F.lit(0)))
-    return met.select("query_id", "id", "fused_rank", F.round(F.col("held") / F.size("q"), 6).alias("score"))
+    pairs = _fused(v).where(F.col("rank") <= R.TOP_K).select("query_id", "id", F.col("rank").alias("fused_rank"))
+    return R.coverage(pairs, _docs(v), _asked(v))
 
 
 @query(f"{_SCORED} SELECT query_id, id, score, CAST(r AS INT) AS rank FROM top WHERE r <= 6")
