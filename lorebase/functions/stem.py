@@ -6,6 +6,10 @@ whose test it meets, and is changed where the rule's pattern holds.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +54,12 @@ STEPS = [
 ]
 
 
+def _meets(x: Column, test: str) -> Column:
+    """Plain endings are compared as such, several times faster than by a pattern."""
+    endings = re.fullmatch(r"\(\?:([a-z|]+)\)\$", test)
+    return reduce(or_, (x.endswith(e) for e in endings[1].split("|"))) if endings else x.rlike(test)
+
+
 def stem(word: Column) -> Column:
     """The stem of a lower-case word. Words with digits, or of one or two letters, are left; null stays null."""
 
@@ -57,7 +67,7 @@ def stem(word: Column) -> Column:
         def change(x):
             out = F.when(F.lit(False), x)
             for test, pattern, to in rules:
-                out = out.when(x.rlike(test), F.regexp_replace(x, pattern, f"$1{to}"))
+                out = out.when(_meets(x, test), F.regexp_replace(x, pattern, f"$1{to}"))
             return out.otherwise(x)
 
         return change

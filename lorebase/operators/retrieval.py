@@ -37,8 +37,13 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 
 def _forms(words: DataFrame, asked: DataFrame) -> DataFrame:
-    """(word, term): the distinct `words` whose stem is asked for."""
-    return words.distinct().select("word", stem(F.col("word")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    """(word, term): the distinct `words` whose stem is asked for.
+
+    An inner join on a term that can't be null: a semi join, or a test for null, would be
+    pushed below distinct(), and stems worked out for every occurrence.
+    """
+    stems = words.distinct().select("word", F.coalesce(stem(F.col("word")), F.lit("")).alias("term"))
+    return stems.join(asked.select("term").distinct(), "term").select("word", "term")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, most_asked: int = 500_000) -> DataFrame:
