@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lorebase.functions.stem import stem, stem_sql
+from lorebase.operators import retrieval as R
 
 # Fixed pairs, from the algorithm's published vocabulary and its description; only aeiouy are its vowels, so the last word keeps its s.
 PAIRS = """consign consign consigned consign consignment consign consist consist consistency consist consistently consist consolation consol consolatory consolatori
@@ -22,3 +23,13 @@ def test_published_pairs(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE t AS SELECT unnest(?) AS w", [words])
     assert {w: s for w, s in con.sql(f"SELECT w, {stem_sql('w')} FROM t").fetchall() if s != want[w]} == {}
+
+
+def test_stems_are_worked_out_after_distinct(spark):
+    """Neither the join nor a test for null may take the patterns below the aggregate over words."""
+    words = spark.createDataFrame([("the knights kneeling, knightly",)], "text string").select(F.explode(F.split("text", "[ ,]+")).alias("word"))
+    forms = R._forms(words, R.asked_terms(spark.createDataFrame([(1, "a knight")], "query_id long, text string")))
+    assert {tuple(r) for r in forms.collect()} == {("knights", "knight"), ("knightly", "knight")}
+    plan = forms._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.partition("Aggregate [word")[2].partition("\n")[2].partition("Generate")  # the aggregate's own line may hold them
+    assert below[1] and "RLIKE" not in below[0]
