@@ -31,6 +31,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """`names`, each with a number behind it if `df` has such a column."""
     taken = {c.lower() for c in df.columns}
