@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SEGMENT_START, word_count
+from ..sources.cluster import ship
 
 CEILING = 450
 _START = re.compile(rf"{SEGMENT_START}|\bProvided\b")
@@ -51,6 +52,7 @@ def chunk_sections(sections: DataFrame, ceiling: int = CEILING, load: Callable[[
     Tokens are words, unless `load` makes another counter, once in each task; that one is
     asked about every section in Python. Blank sections give no chunk.
     """
+    ship(sections.sparkSession)
     s = sections.select("id", "heading", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
     size = word_count(F.col("heading")) + word_count(F.col("text"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem
 from ..functions.text import index_terms
+from ..sources.cluster import ship
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -105,6 +106,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, query_blo
     Every pair has to be looked at, so blocks of queries meet blocks of vectors, one
     matrix product each; a block pair passes on its own k best only.
     """
+    ship(vectors.sparkSession)
     pairs = _blocks(vectors, vector_block, "v").crossJoin(_blocks(queries, query_block, "q"))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import embedding, graph, store
 from ..sources import archive
+from ..sources.cluster import shared_path
 from ..sources.views import Views
-from ..streaming.streams import shared_path
 from .registry import query
 
 

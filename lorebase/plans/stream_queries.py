@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.views import Views
 from ..streaming import streams as S
+from ..streaming.incremental import IncrementalIndex
 from .registry import query
 
 _GUARD = """WITH t AS (SELECT answer_id, CAST(s - 1 AS BIGINT) AS seq, substring(text, CAST((s - 1) * 6 + 1 AS BIGINT), 6) AS delta, allowed, text FROM answers, LATERAL (SELECT unnest(range(1, CAST(ceil(length(text) / 6.0) AS BIGINT) + 1)) AS s)),
@@ -99,11 +100,24 @@ def answer_outcome(v: Views) -> DataFrame:
     return g.select("question_id", F.col("attempt").isNotNull().alias("answered"), "attempt", F.when(F.col("attempt").isNull(), F.concat(F.lit("citation_"), "last")).alias("reason"))
 
 
-@query("SELECT doc_id AS id, CAST(len([x FOR x IN string_split_regex(text, '\\s+') IF x <> '']) AS BIGINT) AS words FROM documents WHERE trim(text) <> ''")
+_REFERRING = """WITH n AS (SELECT least(1800, count(*)) AS n FROM documents),
+t AS (SELECT s.id, s.text_verbatim || ' See section ' || o.section_no || ' of the ' || a.short_title || '.' AS text, o.id AS other FROM sections s, n JOIN sections o ON o.id = (s.id * 7 + 1) % n.n JOIN statutes a ON a.id = o.statute_id)"""
+
+
+@query(f"""{_REFERRING} SELECT id, CAST(len([x FOR x IN string_split_regex(text, '\\s+') IF x <> '']) AS BIGINT) AS words, CASE WHEN other <> id THEN CAST(other AS VARCHAR) END AS linked, true AS embedded FROM t""", "sections")
 def incremental_index(v: Views) -> DataFrame:
-    """Words of each document in a chunk table that a stream fills; the second run over the same rows adds nothing."""
-    path = S.shared_path(v.spark, "chunks")
-    for _ in range(2):
-        stream = S.read_stream(v.spark, f"{v.sf_dir}/documents.parquet")
-        S.incremental_chunks(stream.select(F.col("doc_id").alias("id"), F.lit("passage: ").alias("heading"), "text"), path)
-    return v.spark.read.parquet(path).groupBy("id").agg(F.sum(T.word_count(F.col("text"))).alias("words"))
+    """Each section's words in its chunks, where its references lead, and whether all chunks have vectors, of an index that two runs over different halves have filled; the second half is then sent again."""
+    index = IncrementalIndex(v.spark, S.shared_path(v.spark, "index"), v.statutes)
+    n = v.table("documents").count()
+    other = v.sections.join(v.statutes.select(F.col("id").alias("statute_id"), "short_title"), "statute_id").select(F.col("id").alias("other"), F.concat_ws("", F.lit(" See section "), "section_no", F.lit(" of the "), "short_title", F.lit(".")).alias("more"))
+    live = Views(v.spark, v.sf_dir)
+    live.__dict__["statutes"] = v.statutes
+    live.table = lambda name: S.read_stream(v.spark, f"{v.sf_dir}/{name}.parquet") if name == "documents" else v.table(name)  # type: ignore[method-assign]
+    s = live.sections.withColumn("other", (F.col("id") * 7 + 1) % min(1800, n)).join(other, "other")
+    s = s.select("id", "statute_id", "section_no", F.lit("passage: ").alias("heading"), F.concat("text_verbatim", "more").alias("text"))
+    for run, half in (("even", 0), ("odd", 1), ("odd-again", 1)):
+        index.follow(s.where(F.col("id") % 2 == half), run)
+    chunks = index.table("chunks").join(index.table("vectors"), ["id", "chunk_idx"], "left")
+    sizes = chunks.groupBy("id").agg(F.sum(T.word_count(F.col("text"))).alias("words"), F.bool_and(F.col("vector").isNotNull()).alias("embedded"))
+    links = index.table("links").groupBy(F.col("from_section_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("to_section_id")), ",").alias("linked"))
+    return sizes.join(links, "id", "left").select("id", "words", "linked", "embedded")

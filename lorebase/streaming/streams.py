@@ -3,26 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.chunking import chunk_sections
-from ..operators.store import insert_ignore
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; where none is set, in the warehouse, or a temporary one if all runs in one local process."""
-    sc = spark.sparkContext
-    alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    base = base or (tempfile.mkdtemp(prefix="lorebase-stream-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams")
-    return f"{base}/{name}-{uuid4().hex}"
+from ..sources.cluster import shared_path, ship
 
 
 def write_batch(path: str):
@@ -94,19 +82,3 @@ def token_stream(answers: DataFrame, width: int = 6) -> DataFrame:
     t = answers.select("answer_id", "text", "allowed", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("seq"))
     return t.select("answer_id", "seq", F.substring(F.col("text"), (F.col("seq") * width + 1).cast("int"), F.lit(width)).alias("delta"), "allowed")
 
-
-def incremental_chunks(stream: DataFrame, path: str) -> None:
-    """Chunks of sections (id, heading, text) as they come, appended to the table at `path`; sections that are there already add nothing."""
-
-    def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = chunk_sections(batch)
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = new.limit(0).withColumn("batch", F.lit(number))
-        insert_ignore(old.where(F.col("batch") != number), new, ["id", "chunk_idx"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    run_to_end(stream, add, "append")
