@@ -37,6 +37,12 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in store.listStatus(target)) if store.exists(target) else []
 
 
+def version_of(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a file, or of a folder's files: another string once they change."""
+    target, store = _store(spark, path)
+    return ";".join(sorted(f"{x.getPath()}|{x.getLen()}|{x.getModificationTime()}" for x in store.listStatus(target)))
+
+
 def put_mark(spark: SparkSession, path: str) -> None:
     """An empty file. It is there or not, so it can make visible what was written before it."""
     target, store = _store(spark, path)
