@@ -127,8 +127,8 @@ RULES: tuple[tuple[str, str, tuple[int, ...]], ...] = (
     ("cc0_waiver", "CC0-1.0", (77,)),
     ("cc0_notice", "CC0-1.0", (78,)),
 )
-#: Every known sentence holds one of these; texts and sentences without any are passed over.
-HINT = "licens|permi|redistribut|warrant|public domain|distributed|copyright|misrepresented|anyone is free|advertising|derived from|source distribution|mpl"
+#: Every known sentence holds one of these parts of a word, which no line break or comment mark divides; texts and sentences without any are passed over.
+HINT = "licens|permi|redistribut|warrant|domain|distribut|copyright|misrepresented|anyone|advertising|derived|mpl"
 _BREAK = r"\n(?:[^a-z0-9\n]*\n)+"
 _PREFIX = r"(?m)^[^a-z0-9\n]*(?:dnl|rem)[ \t]+"
 _STOP = r"""([a-z0-9)"'][a-z0-9)"'][.!?:])[ \t\r\n]+"""
@@ -171,7 +171,8 @@ def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     its sentences come in its order, with any others between; it isn't reported where a
     rule that holds all its sentences and more matches too. Texts without a match, null
     and empty ones give no row; repeated rows give a row each; other columns are
-    ignored. `hint` is a pattern that every known sentence holds. Nothing is shuffled.
+    ignored. `hint` is a pattern that every known sentence holds
+    within a word. Nothing is shuffled.
     """
     words = {i: f" {normalised(s)} " for i, s in known.items()}
     df = documents.where(F.col(text_col).rlike(f"(?i){hint}")).select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col)).alias("s"))

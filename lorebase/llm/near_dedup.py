@@ -151,7 +151,8 @@ def near_duplicates(
     pruned with about `miss`; no wrong link is made but for collisions of 64-bit
     hashes. Null or wordless texts have an empty set and are linked with nothing.
     Null ids are never a component_id unless the row stands alone. Repeated rows count
-    as copies. Other columns are ignored; an empty table gives an empty result.
+    as copies. Null and repeated ids cost what others do, as rows are told apart by id and
+    text. Other columns are ignored; an empty table gives an empty result.
 
     With `by_text` there is instead one row for each id and text that has words: doc_id,
     text_hash (xxhash64 of the text), copies (its rows), kept. Of each group just one is
@@ -159,7 +160,7 @@ def near_duplicates(
     """
     ship(documents.sparkSession)
     n_hashes, t = bands * rows, percent / 100
-    key = ["doc_id", "text_hash"] if by_text else ["doc_id"]
+    key = ["doc_id", "text_hash"]  # ids may be null or repeat: texts are fetched by both
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).select(*key, "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,7 @@ def near_duplicates(
     one = member.where("cid IS NOT NULL").groupBy("cid").agg(F.min_by(F.struct(*key), F.xxhash64(*key)).alias("key")).select("cid", "key.*").join(met.select("cid").distinct(), "cid", "left_semi")
 
     def check_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose text is of their class; an id may stand on several texts."""
+        """Rows whose text is of their class, if two texts of an id had one hash."""
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for i, j in slices(offsets):

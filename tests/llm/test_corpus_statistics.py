@@ -13,9 +13,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.llm import crc, phrases, queries, resampling, token_counts
+from lorebase.llm import crc, phrases, resampling, token_counts
 
-from ..conftest import SF
 from . import helpers as H
 
 ODD = [(1, None), (2, ""), (2, ""), (None, "a null id stands here"), (3, "   \n\t "), (4, "one"), (5, "One two. Three four"), (7, "É ß 漢字   x"), (7, "é"), (8, "y" * 70_000 + " end " + "z" * 60), (9, "a <|endoftext|> b"), (9, "a <|endoftext|> b")]
@@ -149,11 +148,6 @@ def test_phrase_counts_are_whole(spark):
     assert [tuple(r) for r in total.collect()] == [("en", 915)]
 
 
-@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_toivonen_collocations"])
-def test_whole_tables_equal_sql(spark, compare, name):
-    compare(queries.queries()[name](spark, SF), queries.oracle_sql()[name])
-
-
 # --- 13 -------------------------------------------------------------------------------------------------------
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")

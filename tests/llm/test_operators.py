@@ -62,6 +62,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def test_null_and_repeated_ids(spark):
+    """Near copies in pairs under null ids, under one id, and under ids of their own have the same classes."""
+    pairs = [w for i in range(30) for w in (prose(900 + i, 60, 9000), prose(900 + i, 60, 9000) + " more")] + [prose(1, 40)] * 3
+    for ids in ([None] * 40 + list(range(23)), [7] * 63, [None] * 63, list(range(63))):
+        docs = list(zip(ids, pairs, strict=True))
+        rows = near_dedup.near_duplicates(H.docs_frame(spark, docs).repartition(2)).collect()
+        want = sorted(((i, n, c if n and c is not None else i) for (i, _), (n, c) in zip(docs, H.components(docs), strict=True)), key=str)
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows), key=str) == want
+
+
+def test_a_null_id_meets_only_its_own_text(spark):
+    """The texts that are fetched grow with the rows, not with the square of the null ids."""
+    docs = H.docs_frame(spark, [(None, prose(i // 2, 60, 9000) + (" more" if i % 2 else "")) for i in range(1200)])
+    met, check = [], near_dedup.checkpoint
+    near_dedup.checkpoint = lambda df: met.append(check(df)) or met[-1]
+    try:
+        near_dedup.near_duplicates(docs).count()
+    finally:
+        near_dedup.checkpoint = check
+    assert max(x.count() for x in met if x.columns == ["cid", "text"]) == 1200
+
+
 def test_large_buckets_meet_in_blocks(spark):
     docs = [x for x in near_cases() if x[0] and x[0] >= 100]
     rows = near_dedup.near_duplicates(H.docs_frame(spark, docs), small_bucket=4).collect()
@@ -563,6 +585,30 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(H.docs_frame(spark, docs).limit(0)).count() == 0
 
 
+def test_wrapped_notices_of_every_rule_equal_sql(spark, tmp_path):
+    """Each rule's sentences, wrapped within words' gaps behind several comment marks, by Spark and by SQL."""
+    import textwrap
+
+    from ..conftest import same_rows
+
+    docs, k = [], 0
+    for name, _, seq in license_scan.RULES:
+        body = " ".join(f"{license_scan.SENTENCES[i].rstrip('.')}." for i in seq)
+        for mark in ("", "# ", "// ", " * ", "dnl ", "REM "):
+            docs.append((k, name, f"{mark}Some file.\n\n" + "\n".join(mark + x for x in textwrap.wrap(body, 34)) + "\n"))
+            k += 1
+    frame = H.docs_frame(spark, [(i, t) for i, _, t in docs])
+    frame.write.parquet(f"{tmp_path}/documents")
+    got = license_scan.scan_licenses(spark.read.parquet(f"{tmp_path}/documents"))
+    same_rows(got, license_scan.SQL.replace("FROM documents", f"FROM '{tmp_path}/documents/*.parquet'"))
+    found = {(r["doc_id"], r["rule"]) for r in got.collect()}
+    # A rule that is found in its sentences as they stand, and not as part of a longer rule, is found in all wrapped ones.
+    plain = H.docs_frame(spark, [(k, " ".join(f"{license_scan.SENTENCES[i].rstrip('.')}." for i in seq)) for k, (_, _, seq) in enumerate(license_scan.RULES)])
+    whole = {license_scan.RULES[r["doc_id"]][0] for r in license_scan.scan_licenses(plain).collect() if r["rule"] == license_scan.RULES[r["doc_id"]][0]}
+    assert {"unlicense_text", "mit_text", "zlib_text", "epl_header", "cc0_waiver"} <= whole and len(whole) > 30
+    assert {(i, name) for i, name, _ in docs if name in whole} <= found
+
+
 def test_licenses_sql_on_real_headers(spark, tmp_path):
     """The SQL twin on a table of such texts."""
     from ..conftest import same_rows
