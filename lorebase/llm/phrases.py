@@ -33,7 +33,7 @@ _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 _APART = _BREAK.copy()
 _APART[[9, 32]] = True
 #: Bytes of text that a task counts before it sends what it has counted.
-_HELD = 24 << 20
+_HELD = 8 << 20
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
