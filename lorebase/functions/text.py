@@ -15,8 +15,9 @@ OMITTED_NOTES = ("repealed", "omitted")
 #: What begins an omitted section's text: the old title in brackets, and the word. `Rep.` counts with any character behind.
 OMITTED_BODY = r"(?i)^\[[^\]]*\]\s*(?:Rep\.|Repealed\b|Omitted\b)"
 LEADING_MARKERS = r"^(?:\s*\[[0-9]{1,2}\])+\s*"
+#: What begins a footnote, and a segment's number.
 FOOTNOTE_START = r"(?m)^\s*\[?([0-9]{1,2})\]?\s*\.\s*"
-#: What begins a segment at a line's start; any word Provided begins one too.
+#: Fixed value: what begins a segment at a line's start; any word Provided begins one too.
 SEGMENT_START = r"(?m)^(\s*)(\(\s*[0-9]{1,2}[A-Za-z]?\s*\)|(?:Explanation|Illustrations?|Exception)\b)"
 SEGMENT_NUMBER = r"^\(\s*([0-9]{1,2}[A-Za-z]?)\s*\)"
 #: Common English words that no search looks for.
@@ -27,7 +28,9 @@ STOP_WORDS = tuple(
     off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so
     than too very s t can will just don should now""".split()
 )
-_REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_REFERENCE = "&(?:#[0-9]{1,18};?|#[xX][0-9a-fA-F]{1,15};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+#: The names that pages use most are told first; a map is searched from its beginning.
+_USUAL = ("amp", "lt", "gt", "quot", "nbsp", "apos", "mdash", "ndash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo", "copy", "eacute", "egrave")
 
 
 def _reference_names() -> str:
@@ -41,20 +44,43 @@ def _reference_names() -> str:
     return json.dumps(names)
 
 
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def decode_references(text: Column) -> Column:
-    """Character references, named and numeric, as their characters; unknown names stay, impossible numbers give U+FFFD."""
-    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
-    names = F.from_json(F.lit(_reference_names()), "map<string,string>")
+    """Character references, named and numeric, as their characters; unknown names stay, impossible numbers give U+FFFD.
 
-    def one(x: Column) -> Column:
+    The semicolon may be missing after a number and after the old names that HTML allows
+    without it, which count wherever they begin a name: `&copy2020` is a sign and a year.
+    """
+    names = F.from_json(F.lit(_reference_names()), "map<string,string>")
+    old = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    begins = f"^&({'|'.join(old)})"
+
+    def named(x: Column) -> Column:
+        first, *rest = _USUAL
+        usual = F.when(x == f"&{first};", html.entities.html5[f"{first};"])
+        for k in rest:
+            usual = usual.when(x == f"&{k};", html.entities.html5[f"{k};"])
+        prefix = F.regexp_extract(x, begins, 1)
+        cut = F.concat(F.try_element_at(names, F.concat(F.lit("&"), prefix, F.lit(";"))), F.substring(x, F.length(prefix) + 2, F.length(x)))
+        return usual.otherwise(F.coalesce(F.try_element_at(names, x), F.when(prefix != "", cut), x))
+
+    def numeric(x: Column) -> Column:
         digits = F.regexp_extract(x, "#[xX]?([0-9a-fA-F]+)", 1)
         n = F.when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
         possible = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
         char = F.when(possible, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        return F.coalesce(F.try_element_at(names, x), F.when(x.startswith("&#"), char), x)
+        return F.when(n.between(128, 159), F.coalesce(F.try_element_at(names, F.concat(F.lit("&#"), n.cast("string"), F.lit(";"))), char)).otherwise(char)
+
+    def decode(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), lambda x: F.when(x.startswith("&#"), numeric(x)).otherwise(named(x)))
+        parts = F.zip_with(F.split(t, _REFERENCE), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(parts, "")).otherwise(t)
 
-    parts = F.zip_with(F.split(text, _REFERENCE), F.transform(found, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+    return _once(text, decode)
 
 
 def section_no_sort(no: Column) -> Column:
@@ -100,7 +126,8 @@ def footnotes(text: Column) -> Column:
     """array<struct<marker, text>>: cut before `[n].` or `n.` of one or two digits at a line's start; without a marker one note; blank bodies and text before the first marker go."""
     marked = F.regexp_replace(text, FOOTNOTE_START, "\u0001$1\u0002")
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    notes = F.transform(F.slice(F.split(marked, "\u0001"), 2, 1 << 20), lambda x: F.struct(F.split(x, "\u0002")[0].alias("marker"), trimmed(F.split(x, "\u0002")[1]).alias("text")))
+    parts = F.split(marked, "\u0001")
+    notes = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.struct(F.split(x, "\u0002")[0].alias("marker"), trimmed(F.split(x, "\u0002")[1]).alias("text")))
     one = F.array(F.struct(F.lit("").alias("marker"), trimmed(text).alias("text")))
     return F.filter(F.when(F.contains(marked, F.lit("\u0001")), notes).otherwise(one), lambda n: n["text"] != "")
 

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_no, normalise_title
+from ..sources.cluster import staged
 
+#: A section's number; a reference to sections, and one to a chapter or part, as a reader of statutes writes them; the numbers that a range may span.
 _NUMBER = r"[0-9]{1,3}(?:-?[A-Z]{1,2})?"
-#: Fixed pattern of a section reference, as a reader of statutes writes it.
 SECTION_REF = rf"(?i)\b(?:sections?|ss?\.)\s*({_NUMBER}(?:\s*(?:,|and|or|to|&)\s*{_NUMBER})*)(?:\s+of\s+the\s+([A-Z][A-Za-z'()\- ]{{3,70}},?\s*(?:1[89][0-9]{{2}}|20[0-9]{{2}})))?"
 PART_REF = r"\b((?:Chapter|Part)\s+(?:[IVXLC]{1,6}|[0-9]{1,2}))\b"
 LONGEST_RANGE = 30
@@ -43,26 +44,29 @@ def expand_numbers(refs: DataFrame, numbers: str = "numbers") -> DataFrame:
     return refs.withColumn("no", F.explode(expanded(F.col(numbers))))
 
 
-def resolve_titles(phrases: DataFrame, statutes: DataFrame, phrase: str = "act", most: int = 10_000) -> DataFrame:
+def resolve_titles(phrases: DataFrame, statutes: DataFrame, phrase: str = "act") -> DataFrame:
     """(phrase, statute_id) for each distinct phrase: by its normalised title, else by the longest known title that it contains; null if none.
 
-    At most `most` titles are broadcast; more are joined with every part of the phrases,
-    which are of at most 80 characters.
+    A title is found by its head, as many of its first characters as the largest power of
+    two that it has: heads meet those of the phrases' ends from each place on by equality,
+    and the few titles of one head are then held against the text there. So neither side
+    is broadcast, no phrase meets all titles, and equal lengths of title share one head.
     """
-    known = statutes.select(F.col("id").alias("statute_id"), normalise_title(F.col("short_title")).alias("title"))
+    known = statutes.select(F.col("id").alias("statute_id"), normalise_title(F.col("short_title")).alias("title")).where("title <> ''")
+    known = known.withColumn("power", F.length(F.bin(F.length("title"))) - 1)
+    known = known.withColumn("head", F.expr("substring(title, 1, shiftleft(1, CAST(power AS INT)))"))
+    powers = [r[0] for r in known.select("power").distinct().collect()]  # one for each doubling of a title's length
     keys = phrases.where(F.col(phrase).isNotNull()).select(F.col(phrase).alias("phrase")).distinct().withColumn("key", normalise_title(F.col("phrase")))
-    if known.count() <= most:
-        met = keys.join(F.broadcast(known), F.contains("key", "title"), "left")
-    else:
-        at = keys.where("key <> ''").withColumn("i", F.explode(F.sequence(F.lit(1), F.length("key"))))
-        part = at.withColumn("n", F.explode(F.sequence(F.lit(1), F.length("key") - F.col("i") + 1))).select("phrase", F.expr("substring(key, i, n)").alias("title")).distinct()
-        met = keys.join(part.join(known, "title"), "phrase", "left")
+    ends = keys.where("key <> ''").select("phrase", "key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", i, F.length("key")))).alias("rest"))
+    heads = F.array(*(F.when(F.length("rest") >= 1 << p, F.substring("rest", 1, 1 << p)) for p in powers)) if powers else F.array().cast("array<string>")
+    met = ends.withColumn("head", F.explode(F.array_compact(heads))).join(known, "head").where(F.startswith("rest", "title"))
     best = F.max_by("statute_id", F.struct((F.col("key") == F.col("title")).cast("int"), F.length("title"), -F.col("statute_id")))
-    return met.groupBy("phrase").agg(best.alias("statute_id"))
+    return keys.select("phrase").join(met.groupBy("phrase").agg(best.alias("statute_id")), "phrase", "left")
 
 
 def resolve_references(refs: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataFrame:
-    """(id, pos, no, raw, to_id, reason): edges where reason is null. `refs`: id, statute_id, pos, kind, raw, numbers, act."""
+    """(id, pos, no, raw, to_id, reason): edges where reason is null. `refs`: id, statute_id, pos, kind, raw, numbers, act; they are worked out once and kept, for their titles and their numbers."""
+    refs = staged(refs.select("id", "statute_id", "pos", "kind", "raw", "numbers", "act"), "references")
     acts = resolve_titles(refs, statutes).withColumnRenamed("statute_id", "named")
     r = refs.join(acts, refs.act == acts.phrase, "left").withColumn("target", F.when(F.col("act").isNull(), F.col("statute_id")).otherwise(F.col("named")))
     known = (F.col("kind") == "section") & F.col("target").isNotNull()

@@ -287,10 +287,8 @@ def _refs(v: Views) -> DataFrame:
     return graph.extract_references(v.refs_text)
 
 
-_PARSED = """WITH k AS (SELECT id, statute_id, id % 10 AS k, regexp_extract_all(text, '(?i)\\b(?:sections?|ss?\\.)\\s*([0-9]{1,3}(?:-?[A-Z]{1,2})?(?:\\s*(?:,|and|or|to|&)\\s*[0-9]{1,3}(?:-?[A-Z]{1,2})?)*)(?:\\s+of\\s+the\\s+([A-Z][A-Za-z''()\\- ]{3,70},?\\s*(?:1[89][0-9]{2}|20[0-9]{2})))?', 0) AS raws,
-  regexp_extract_all(text, '(?i)\\b(?:sections?|ss?\\.)\\s*([0-9]{1,3}(?:-?[A-Z]{1,2})?(?:\\s*(?:,|and|or|to|&)\\s*[0-9]{1,3}(?:-?[A-Z]{1,2})?)*)(?:\\s+of\\s+the\\s+([A-Z][A-Za-z''()\\- ]{3,70},?\\s*(?:1[89][0-9]{2}|20[0-9]{2})))?', 1) AS numbers,
-  regexp_extract_all(text, '(?i)\\b(?:sections?|ss?\\.)\\s*([0-9]{1,3}(?:-?[A-Z]{1,2})?(?:\\s*(?:,|and|or|to|&)\\s*[0-9]{1,3}(?:-?[A-Z]{1,2})?)*)(?:\\s+of\\s+the\\s+([A-Z][A-Za-z''()\\- ]{3,70},?\\s*(?:1[89][0-9]{2}|20[0-9]{2})))?', 2) AS acts,
-  regexp_extract_all(text, '\\b((?:Chapter|Part)\\s+(?:[IVXLC]{1,6}|[0-9]{1,2}))\\b', 1) AS parts FROM refs_text),
+_SECTION, _PART = (x.replace("'", "''") for x in (graph.SECTION_REF, graph.PART_REF))
+_PARSED = f"""WITH k AS (SELECT id, statute_id, id % 10 AS k, {", ".join(f"regexp_extract_all(text, '{_SECTION}', {i}) AS {name}" for i, name in enumerate(("raws", "numbers", "acts")))}, regexp_extract_all(text, '{_PART}', 1) AS parts FROM refs_text),
 refs AS (SELECT id, statute_id, 'section' AS kind, unnest(raws) AS raw, unnest(numbers) AS numbers, nullif(unnest(acts), '') AS act FROM k UNION ALL SELECT id, statute_id, 'part', unnest(parts), '', NULL FROM k)"""
 
 

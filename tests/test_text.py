@@ -38,12 +38,11 @@ def test_references(spark):
     assert {r["reason"] for r in rows if r["reason"]} == {"act_not_in_corpus", "no_part_hierarchy"}
 
 
-def test_titles_by_either_join(spark):
+def test_longest_title(spark):
     statutes = spark.createDataFrame([(1, "Code A Act, 1807"), (2, "A Act"), (3, "The Sale Act, 1930")], "id long, short_title string")
     phrases = spark.createDataFrame([("the Code A Act, 1807",), ("Amended Code A Act, 1807",), ("Sale Act, 1930",), ("Other Law, 1900",), (None,)], "act string")
     want = {"the Code A Act, 1807": 1, "Amended Code A Act, 1807": 1, "Sale Act, 1930": 3, "Other Law, 1900": None}
-    for most in (10, 0):
-        assert {r["phrase"]: r["statute_id"] for r in graph.resolve_titles(phrases, statutes, most=most).collect()} == want
+    assert {r["phrase"]: r["statute_id"] for r in graph.resolve_titles(phrases, statutes).collect()} == want
 
 
 def test_ranges(spark):
@@ -147,3 +146,35 @@ def test_stream_guard_step():
     assert run("[S1046", "]", " x") == ["token"] * 3
     assert run("[S9999, S10", "46]", " x") == ["token", "invalidated"]
     assert run("see [S9999]") == ["invalidated"]
+
+
+def test_references_as_html_has_them(spark):
+    import html
+
+    texts = ["&copy 2020", "&copy2020", "&copy;2020", "&nbsp&nbsp;x", "&notit;", "&notin; &not in", "&amp;lt;", "&ampamp;", "&#169 &#169; &#xA9 &#Xa9;x", "&#150;&#x96 &#x110000; &#0; &#99999999999;", "&bogus; & &; &a; A&B AT&T;", "&frac12 &frac123", "&hellip;&mdash", "no reference", "", "&Eacute&eacute;", "&lt&gt", "&quot;a&quot"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["t"] for r in frame.orderBy("i").select(T.decode_references(F.col("t")).alias("t")).collect()]
+    assert got == [html.unescape(t) for t in texts]
+
+
+def test_titles_by_their_heads(spark):
+    """Against all pairs: titles within others, in the middle of words, of one letter, none at all, and ties."""
+    import random
+
+    from lorebase.operators import graph
+
+    r = random.Random(8)
+    words = ["code", "penal", "act", "the", "a", "of", "tax", "land"]
+    titles = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 6)))) for i in range(60)] + [(100, "the"), (101, "Z"), (102, "Code Penal"), (103, "code  penal")]
+    phrases = [" ".join(r.choice(words) for _ in range(r.randrange(1, 9))) for _ in range(80)] + ["xcode penalx", "buzz", "", "The", None, "nothing known here"]
+    norm = lambda t: " ".join(w for w in t.lower().split() if w != "the")
+    known = [(i, norm(t)) for i, t in titles if norm(t)]
+
+    def plain(p):
+        met = [(norm(p) == t, len(t), -i) for i, t in known if t in norm(p)]
+        return -max(met)[2] if met else None
+
+    frame = spark.createDataFrame([(p,) for p in phrases], "act string")
+    got = {x["phrase"]: x["statute_id"] for x in graph.resolve_titles(frame, spark.createDataFrame(titles, "id long, short_title string")).collect()}
+    assert got == {p: plain(p) for p in phrases if p is not None}
+    assert {x["statute_id"] for x in graph.resolve_titles(frame, spark.createDataFrame([], "id long, short_title string")).collect()} == {None}
