@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import embedding, graph, store
+from ..operators import embedding, graph, jobs, store
 from ..sources import archive
 from ..sources.cluster import shared_path
 from ..sources.views import Views
@@ -144,6 +144,73 @@ def run_fingerprint(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", F.substring(F.sha2(joined, 256), 1, 12).alias("run_fp"))
 
 
+# --- jobs that write, run whole ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT k, max(ver) AS ver, arg_max(status, ver) AS status FROM ({_ORDERS}) GROUP BY k")
+def merge_written(v: Views) -> DataFrame:
+    """Orders merged into a table on disk in two rounds, the second sent twice."""
+    o = v.table("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ver"), F.col("o_orderstatus").alias("status"))
+    path = shared_path(v.spark, "orders")
+    for rows in (o.where("ver % 3 = 0"), o.where("ver % 3 <> 0"), o.where("ver % 3 <> 0")):
+        jobs.merge_into(v.spark, path, rows, ["k"], "ver", parts=16)
+    return jobs.read_merged(v.spark, path)
+
+
+@query("SELECT from_section_id, to_section_id FROM links", "links")
+def links_written(v: Views) -> DataFrame:
+    """Edges appended in two overlapping rounds."""
+    path = shared_path(v.spark, "links")
+    for rows in (v.links.where("from_section_id % 4 = 0"), v.links):
+        jobs.append_new(rows, path, ["from_section_id", "to_section_id"])
+    return v.spark.read.parquet(path)
+
+
+@query("""SELECT CAST(k AS INT) AS round, CASE k WHEN 1 THEN 'partial' ELSE 'succeeded' END AS status, CASE WHEN k = 2 THEN 0 ELSE n END AS written, CASE WHEN k = 1 THEN 'no_text' END AS error
+FROM (SELECT count(*) AS n FROM documents), (VALUES (0), (1), (2)) t(k)""")
+def ledger_written(v: Views) -> DataFrame:
+    """Three rounds of a job, as its ledger has them: all rows, all rows with an error noted, none."""
+    d = v.table("documents").select("doc_id", "n_chars")
+    ledger = jobs.Ledger(v.spark, shared_path(v.spark, "ledger"))
+    for k in range(3):
+        with ledger.run(f"round {k}") as run:
+            run.counted(d.where(F.lit(k < 2)), "written").write.parquet(shared_path(v.spark, "round"))
+            if k == 1:
+                run.error("no_text", "an item")
+    return ledger.rows().select(F.substring("command", 7, 1).cast("int").alias("round"), "status", F.col("counts")["written"].alias("written"), F.get("errors", 0)["kind"].alias("error"))
+
+
+@query("SELECT doc_id AS id, true AS unit FROM documents WHERE doc_id % 2 = 0 AND len([x FOR x IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']) > 0")
+def embedded_in_ranges(v: Views) -> DataFrame:
+    """Vectors of every second document, embedded in ranges of ids and appended, by two runs of which the second finds nothing; whether each is of length one."""
+    d = v.table("documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "text").where(F.size(T.terms(F.col("text"))) > 0)
+    path = shared_path(v.spark, "vectors")
+    for _ in range(2):
+        jobs.embed_pending(d, path, embedding.hashing_model(64), 64, batch_rows=max(1, -(-v.table("documents").count() // 8)))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return v.spark.read.parquet(path).select("id", (F.abs(norm - 1) < 1e-9).alias("unit"))
+
+
+@query("SELECT user_id AS id, max(event_id) AS seq, CAST(arg_max(CAST(json_extract_string(props, '$.k') AS INT), event_id) AS INT) AS k FROM events GROUP BY 1")
+def checkpoint_files(v: Views) -> DataFrame:
+    """Lines of JSON appended in two files' worth, read in their order."""
+    e = v.table("events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    path = shared_path(v.spark, "lines")
+    half = e.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    for rows in (e.where(F.col("seq") <= half), e.where(F.col("seq") > half)):
+        jobs.append_checkpoint(rows.coalesce(1).sortWithinPartitions("seq"), path)
+    return jobs.read_checkpoint(v.spark, path, "id long, seq long, k int", "id")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS asked, count(*) FILTER (WHERE event_type = 'click') AS answered FROM events GROUP BY 1")
+def ask_log_written(v: Views) -> DataFrame:
+    """A log appended from events, of its own columns only, counted by day."""
+    t = F.col("event_type")
+    path = shared_path(v.spark, "asked")
+    jobs.append_ask_log(v.table("events").select(F.concat(F.lit("q"), "event_id").alias("question"), "user_id", (t == "click").alias("answered"), (t == "error").alias("abstained"), F.col("ts").alias("created_at")), path)
+    return v.spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("asked"), F.count_if("answered").alias("answered"))
+
+
 # --- scopes, lookups, joins -----------------------------------------------------------------------------------
 
 
