@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.views import Views
+from ..streaming import stateful
 from ..streaming import streams as S
 from ..streaming.incremental import IncrementalIndex
 from .registry import query
@@ -64,8 +65,11 @@ def tumbling_over_limit(v: Views) -> DataFrame:
     return g.select(F.col("w.start").alias("window_start"), "user_id", "n")
 
 
-@query("""WITH r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events)
-SELECT event_id, CAST(n AS INT) AS ordinal, n <= 2 AS allowed, CAST(greatest(0, 2 - n) AS INT) AS remaining, CAST(3600 - CAST(floor(epoch(ts)) AS BIGINT) % 3600 AS BIGINT) AS reset_after FROM r""")
+_LIMIT = """WITH r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events)
+SELECT event_id, CAST(n AS INT) AS ordinal, n <= 2 AS allowed, CAST(greatest(0, 2 - n) AS INT) AS remaining, CAST(3600 - CAST(floor(epoch(ts)) AS BIGINT) % 3600 AS BIGINT) AS reset_after FROM r"""
+
+
+@query(_LIMIT)
 def fixed_window_limit(v: Views) -> DataFrame:
     at = F.unix_timestamp("ts")
     w = W.partitionBy("user_id", F.floor(at / 3600)).orderBy("ts", "event_id")
@@ -73,6 +77,26 @@ def fixed_window_limit(v: Views) -> DataFrame:
     return v.table("events").select("event_id", n.alias("ordinal"), (n <= 2).alias("allowed"), F.greatest(F.lit(0), 2 - n).alias("remaining"), (3600 - at % 3600).alias("reset_after"))
 
 
+@query(_LIMIT)
+def stream_limiter(v: Views) -> DataFrame:
+    """The same decisions from a stream."""
+    path = S.shared_path(v.spark, "limiter")
+    with stateful.rocksdb(v.spark):
+        S.run_to_end(stateful.limited(S.read_stream(v.spark, f"{v.sf_dir}/events.parquet"), 2), S.write_batch(path), "append")
+    return v.spark.read.parquet(path).select("event_id", "ordinal", "allowed", "remaining", "reset_after")
+
+
+@query(_GUARD, "answers")
+def stream_guard_by_number(v: Views) -> DataFrame:
+    """The guard that takes tokens in any order."""
+    live = Views(v.spark, v.sf_dir)
+    live.table = lambda name: S.read_stream(v.spark, f"{v.sf_dir}/{name}.parquet")  # type: ignore[method-assign]
+    path = S.shared_path(v.spark, "guard")
+    with stateful.rocksdb(v.spark):
+        S.run_to_end(stateful.guarded(S.token_stream(live.answers)), S.write_batch(path), "append")
+    return v.spark.read.parquet(path).drop("batch")
+
+
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS asked, count(*) FILTER (WHERE event_type = 'click') AS answered, count(*) FILTER (WHERE event_type = 'error') AS abstained FROM events GROUP BY 1")
 def ask_log_daily(v: Views) -> DataFrame:
     t = F.col("event_type")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.cluster import shared_path, ship
+from .stateful import cited_in, open_tail
 
 
 def write_batch(path: str):
@@ -27,10 +27,10 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(df: DataFrame, each, mode: str = "update") -> None:
-    """Runs `each(batch, number)` on every micro-batch of what is there now."""
+def run_to_end(df: DataFrame, each, mode: str = "update", progress: str | None = None) -> None:
+    """Runs `each(batch, number)` on every micro-batch of what is there now; with a `progress` folder that is kept, of what came since the last time."""
     spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "stream-state")).foreachBatch(each).trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", progress or shared_path(spark, "stream-state")).foreachBatch(each).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -42,15 +42,13 @@ def tumbling_counts(events: DataFrame, key: str, ts: str, width: str) -> DataFra
     return counts.select(F.col("window.start").cast(kind).alias("window_start"), key, "n")
 
 
-_OPEN = re.compile(r"\[([^\[\]]*)\]")
-_ID = re.compile(r"\bS([0-9]{1,12})\b")
 GUARD_OUT = "answer_id long, seq long, name string, text string"
 
 
 def guard_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Tokens pass until a closed bracket cites an id that isn't allowed; then one `invalidated`, and nothing more.
 
-    State: the text after the last closed bracket, and whether the guard has tripped.
+    State: the text from the last open bracket on, and whether the guard has tripped.
     """
     tail, tripped = state.get if state.exists else ("", False)
     rows = []
@@ -60,12 +58,11 @@ def guard_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         if tripped:
             break
         tail += delta
-        ids = {int(x) for m in _OPEN.finditer(tail) for x in _ID.findall(m[1])}
-        if ids - {int(x) for x in allowed}:
+        if cited_in(tail) - {int(x) for x in allowed}:
             tripped = True
             rows.append((key[0], seq, "invalidated", ""))
             break
-        tail = tail[tail.rfind("]") + 1 :]
+        tail = open_tail(tail)
         rows.append((key[0], seq, "token", delta))
     state.update(("" if tripped else tail, tripped))
     yield pd.DataFrame(rows, columns=["answer_id", "seq", "name", "text"])
@@ -73,6 +70,7 @@ def guard_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
 
 def citation_guard(tokens: DataFrame) -> DataFrame:
     """Guarded events of a token stream (answer_id, seq, delta, allowed)."""
+    ship(tokens.sparkSession)
     return tokens.groupBy("answer_id").applyInPandasWithState(guard_step, GUARD_OUT, "tail string, tripped boolean", "append", GroupStateTimeout.NoTimeout)
 
 
