@@ -71,12 +71,13 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """(grp, code, cost): the negative log of each n-gram's interpolated probability by modified Kneser-Ney. counts: grp, code, n (long).
 
     A lower order counts the different symbols that come before. Below the unigrams
-    stands the uniform distribution over a language's symbols.
+    stands the uniform distribution over a language's symbols. An n-gram of count 0,
+    which only texts outside the training set hold, has what its lower orders give it.
     """
     tables = [counts.select("grp", "code", "n")]
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
-        tables.append(checkpoint(tables[-1].groupBy("grp", suffix.alias("code")).agg(F.count("*").alias("n"))))
+        tables.append(checkpoint(tables[-1].groupBy("grp", suffix.alias("code")).agg(F.count_if(F.col("n") > 0).alias("n"))))
     p = None
     for width, t in enumerate(reversed(tables), 1):
         # Discounts of a language: of counts 1, 2, and 3 or more.
@@ -91,8 +92,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         by_context = t.groupBy("grp", context.alias("context")).agg(F.sum("n").alias("total"), *(F.count_if(F.col("n") == k).alias(f"c{k}") for k in (1, 2)), F.count_if(F.col("n") > 2).alias("c3"))
         row = t.withColumn("context", context).join(by_context, ["grp", "context"]).join(discounts, "grp")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        spare = (F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")) / F.col("total")
-        own = (F.col("n") - d) / F.col("total")
+        spare = F.when(F.col("total") > 0, (F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")) / F.col("total")).otherwise(1.0)
+        own = F.when(F.col("n") > 0, (F.col("n") - d) / F.col("total")).otherwise(0.0)
         if p is None:
             p = row.select("grp", "code", (own + spare / F.col("types")).alias("p"))
         else:
@@ -153,8 +154,13 @@ def surface(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(grp, code, n) of all texts of a task, summed as far as memory bounds allow."""
+def _fit(s: dict[str, np.ndarray], marks: int) -> np.ndarray:
+    """Whether a model may learn from a text: it passes the base rules and has at most one mark for every `marks` words."""
+    return (s["n_words"] >= 10) & (100 * s["n_repeat_words"] <= 20 * s["n_words"]) & (marks * s["n_symbols"] <= s["n_words"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], marks: int) -> Iterator[pa.RecordBatch]:
+    """(grp, code, n) of all n-grams of a task's texts, n in those that a model may learn from, summed as far as memory bounds allow."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
@@ -175,9 +181,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp = np.asarray(batch.column("grp"))
         for i, j in slices(offsets, 1 << 21):
             code, doc = codes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            own = grp[i:j][doc]
+            own, learnt = grp[i:j][doc], _fit(surface(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), marks)[doc]
             for g in np.unique(own).tolist():
-                held.setdefault(g, []).append(np.unique(code[own == g], return_counts=True))
+                met, number = np.unique(code[own == g], return_inverse=True)
+                held.setdefault(g, []).append((met, np.bincount(number, learnt[own == g], len(met)).astype(np.int64)))
                 size += len(held[g][-1][0])
         if size > 4_000_000:
             held = {g: [summed(parts)] for g, parts in held.items()}
@@ -188,9 +195,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _bands(made: DataFrame, below: float, above: float, prior: float) -> tuple[DataFrame, Column]:
+def _bands(made: DataFrame, below: float, above: float, prior: float, marks: int) -> tuple[DataFrame, Column]:
     """(lo and hi by language: arrays over the length classes, the place of a text among the classes)."""
-    good = made.where("NOT base_failed AND log_perplexity IS NOT NULL")
+    good = made.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull() & (marks * F.col("n_symbols") <= F.col("n_words")))
     at = F.least(F.log(F.greatest(F.col("n_symbols_all"), F.lit(1)).cast("double")) / np.log(4.0), F.lit(CLASSES - 1.001))
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     whole = good.groupBy("grp").agg(quartiles.alias("q"))
@@ -204,24 +211,27 @@ def _bands(made: DataFrame, below: float, above: float, prior: float) -> tuple[D
     return each, at
 
 
-def quality_rules(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 12.0, prior: float = 50.0, model_rows: int = 2_000_000) -> DataFrame:
+def quality_rules(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 6.0, above: float = 8.0, prior: float = 50.0, marks: int = 20, model_rows: int = 2_000_000) -> DataFrame:
     """One row for each row of `documents`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity, kept.
 
-    Every language has a model and bands of its own, null too. log_perplexity is the mean
-    negative log probability of a text's folded code points (null without any). A text is
-    in its band if that is at most `below` interquartile ranges under the lower quartile
-    and `above` over the upper one of its language's texts of like length: quartiles of
+    Every language has a model and bands of its own, null too. The model learns from texts
+    that pass the base rules and have at most one mark of `[#*$%&|<>]` for every `marks`
+    words; all texts are scored. log_perplexity is the mean negative log probability of a
+    text's folded code points (null without any). A text is in its band if that is at
+    most `below` interquartile ranges under the lower quartile and `above` over the upper
+    one of the texts of like length that the language's model learns from: quartiles of
     length classes (powers of four), each mixed with the whole language's as if that were
-    `prior` more texts, and interpolated between classes. Marks and repetition lower
-    perplexity; another language raises it, and passages of one are common in clean
-    texts, so the upper band is the wider one. kept: not base_failed, and in the band.
-    Quartiles and counts are over all documents. Null and empty texts have no words and
+    `prior` more texts, and interpolated between classes. Repetition lowers perplexity;
+    marks, mangled words and another language raise it, and short passages of one are
+    common in clean texts, so the upper band is the wider one. Where a language has no
+    text to learn from, its bands decide nothing. kept: not base_failed, and in the band.
+    Quartiles and counts are over all such texts. Null and empty texts have no words and
     so fail; repeated rows count each; ids are only carried; other columns are ignored.
     """
     spark = documents.sparkSession
     ship(spark)
     df = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(lang_col).cast("string")).alias("grp"))
-    counts = checkpoint(df.where("text IS NOT NULL").select("grp", "text").mapInArrow(_counted, "grp long, code long, n long").groupBy("grp", "code").agg(F.sum("n").alias("n")))
+    counts = checkpoint(df.where("text IS NOT NULL").select("grp", "text").mapInArrow(lambda batches: _counted(batches, marks), "grp long, code long, n long").groupBy("grp", "code").agg(F.sum("n").alias("n")))
     model = checkpoint(kneser_ney(counts))
     parts = max(1, -(-model.count() // model_rows))
 
@@ -265,7 +275,7 @@ def quality_rules(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         made = checkpoint(met.withColumn("total", F.col("total") + F.col("more")).drop("d", "g", "t", "more"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     made = made.withColumn("base_failed", failed).withColumn("log_perplexity", F.when(F.col("n_symbols_all") > 0, F.col("total") / F.col("n_symbols_all")))
-    bands, at = _bands(made, below, above, prior)
+    bands, at = _bands(made, below, above, prior, marks)
     bands = checkpoint(bands)
     made = made.withColumn("at", at).join(F.broadcast(bands) if bands.count() <= 10_000 else bands, "grp", "left")
     a, b = F.floor("at").cast("int"), F.floor("at").cast("int") + 1
@@ -275,5 +285,5 @@ def quality_rules(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         x, y = F.try_element_at("edges", a)[name], F.try_element_at("edges", b)[name]
         return F.coalesce((1 - share) * x + share * y, x, y)
 
-    within = F.coalesce((F.col("log_perplexity") >= edge("lo")) & (F.col("log_perplexity") <= edge("hi")), F.lit(False))
+    within = F.coalesce((F.col("log_perplexity") >= edge("lo")) & (F.col("log_perplexity") <= edge("hi")), F.col("edges").isNull() & F.col("log_perplexity").isNotNull())
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", (~F.col("base_failed") & within).alias("kept"))
