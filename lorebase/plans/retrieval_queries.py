@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import stem_sql
-from ..operators import graph
+from ..operators import dense_index, graph
 from ..operators import retrieval as R
 from ..operators.chunking import chunk_sections as _chunk
 from ..operators.search_index import SearchIndex, build_index, open_index
@@ -85,6 +85,25 @@ def dense_topk_scoped(v: Views) -> DataFrame:
     return R.dense_topk(_vectors(v, "label = 3"), _vectors(v, "vec_id % 100 = 0"))
 
 
+def _dense_index(v: Views) -> dense_index.DenseIndex:
+    return dense_index.build_dense_index(_vectors(v), shared_path(v.spark, "dense-index"))
+
+
+@query(_dense_sql("a.vec_id % 100 = 0"))
+def dense_index_whole(v: Views) -> DataFrame:
+    """By the index, all of its lists probed: exact."""
+    index = _dense_index(v)
+    return index.search(_vectors(v, "vec_id % 100 = 0"), probes=len(index.centroids))
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def dense_index_recall(v: Views) -> DataFrame:
+    """By the index, as many lists probed as a sample needs for 0.95: whether at least 0.9 of the exact first thirty is found."""
+    index, q = _dense_index(v), _vectors(v, "vec_id % 100 = 0")
+    each = dense_index.recall(index.search(q, probes=dense_index.probes_for(index, _vectors(v))), R.dense_topk(_vectors(v), q))
+    return each.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
 def _dense_asked(v: Views) -> DataFrame:
     e = v.table("embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
     q = v.table("benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") * 10).alias("vec_id")).join(e, "vec_id").select("id", "vector")
