@@ -72,3 +72,9 @@ def chunk_sections(sections: DataFrame, ceiling: int = CEILING, load: Callable[[
     fits = s.where(F.col("n") <= ceiling).select("id", F.lit(0).alias("chunk_idx"), "text", F.col("n").cast("int").alias("token_count"))
     over = s.where(F.col("n") > ceiling).select("id", "heading", "text").mapInPandas(split, schema)
     return fits.unionByName(over)
+
+
+def chunk_report(chunks: DataFrame) -> DataFrame:
+    """One row: sections, chunks, split_sections and max_tokens (null without chunks)."""
+    each = chunks.groupBy("id").agg(F.count("*").alias("chunks"), F.max("token_count").alias("most"))
+    return each.agg(F.count("*").alias("sections"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.count_if(F.col("chunks") > 1).alias("split_sections"), F.max("most").alias("max_tokens"))

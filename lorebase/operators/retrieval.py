@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
-from ..functions.text import index_terms
+from ..functions.text import index_terms, snippet
 from ..sources.cluster import ship
 
 K1, B = 1.2, 0.75
@@ -130,6 +130,18 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
     return f.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")))
 
 
+def search_hits(fused: DataFrame, sections: DataFrame, statutes: DataFrame, k: int = 10, *, include_omitted: bool = False) -> DataFrame:
+    """(query_id, section_id, citation, rrf, rank, snippet): the first k sections of each question's fused candidates (query_id, id, rrf), omitted ones only with `include_omitted`.
+
+    sections: id, statute_id, section_no, text_verbatim, is_omitted; statutes: id, short_title. The cut comes before texts are joined.
+    """
+    known = sections.where(F.lit(include_omitted) | ~F.col("is_omitted"))
+    met = fused.select("query_id", "id", "rrf").join(known.select("id"), "id")
+    best = top_k(met, ["query_id"], [F.col("rrf").desc(), F.col("id")], k)
+    named = known.select("id", "statute_id", "section_no", "text_verbatim").join(statutes.select(F.col("id").alias("statute_id"), "short_title"), "statute_id")
+    return best.join(named, "id").select("query_id", F.col("id").alias("section_id"), F.concat("short_title", F.lit(", s. "), "section_no").alias("citation"), "rrf", "rank", snippet(F.col("text_verbatim")).alias("snippet"))
+
+
 def gate(scored: DataFrame, queries: DataFrame, floor: float = FLOOR, top_n: int = TOP_N) -> DataFrame:
     """(query_id, passed, n_kept, top_score, reason): the best top_n, then those at or over the floor; queries without candidates too."""
     best = top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], top_n, "_r")

@@ -73,9 +73,11 @@ class SearchIndex:
         df = mine.groupBy("term").agg(F.sum("n").alias("df"))
         return asked.join(df, "term").withColumn("idf", _idf(F.lit(self.documents), F.col("df"))).drop("df"), mine
 
-    def _scores(self, wanted: DataFrame, mine: DataFrame) -> DataFrame:
-        """(query_id, id, score, matched) of all documents of `wanted` (query_id, term, idf, block) that hold a term."""
+    def _scores(self, wanted: DataFrame, mine: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+        """(query_id, id, score, matched) of all documents of `wanted` (query_id, term, idf, block), and of `scope`, that hold a term."""
         each = wanted.join(mine.select("term", "block", "postings"), ["term", "block"]).select("query_id", "idf", F.explode("postings").alias("p"))
+        if scope is not None:
+            each = each.join(scope.select(F.col("id").alias("_id")), F.col("p.id") == F.col("_id"), "left_semi")
         part = F.col("idf") * _weight(F.col("p.tf"), F.col("p.len"), F.lit(float(self.mean)))
         return each.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
@@ -84,11 +86,12 @@ class SearchIndex:
         asked, mine = self._terms(asked_terms(queries))
         return self._scores(asked.join(mine.select("term", "block"), "term"), mine)
 
-    def search(self, queries: DataFrame, k: int = TOP_K, first_blocks: int = 2) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = TOP_K, first_blocks: int = 2, scope: DataFrame | None = None) -> DataFrame:
         """(query_id, id, score, matched, rank): each question's k best documents, as `retrieval.sparse_topk` has them. queries: query_id, text.
 
         A question without terms, or whose terms no document holds, has no rows. Where
-        the first blocks hold fewer than k documents, all of its blocks are scored.
+        the first blocks hold fewer than k documents, all of its blocks are scored. Only
+        documents of `scope` (id) are found, if it is given; weights stay those of all.
         """
         asked, mine = self._terms(asked_terms(queries))
         met = asked.join(mine.select("term", "block", "most"), "term")
@@ -96,10 +99,10 @@ class SearchIndex:
         best = [F.col("score").desc(), F.col("id")]
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))
         first = bound.withColumn("place", place).where(F.col("place") <= first_blocks).select("query_id", "block")
-        tried = top_k(self._scores(met.join(first, ["query_id", "block"]), mine), ["query_id"], best, k)
+        tried = top_k(self._scores(met.join(first, ["query_id", "block"]), mine, scope), ["query_id"], best, k)
         floor = tried.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
         left = bound.join(floor, "query_id").where(F.col("floor").isNull() | (F.col("bound") + _SLACK >= F.col("floor"))).select("query_id", "block")
-        return top_k(self._scores(met.join(left, ["query_id", "block"]), mine), ["query_id"], best, k)
+        return top_k(self._scores(met.join(left, ["query_id", "block"]), mine, scope), ["query_id"], best, k)
 
     def coverage(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """`pairs` (query_id, id, others) with `score`: the share of the question's distinct terms that the document holds. Questions without terms go. No text is read: only the pairs' blocks."""

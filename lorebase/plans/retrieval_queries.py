@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.stem import stem_sql
 from ..operators import dense_index, graph
 from ..operators import retrieval as R
+from ..operators.chunking import chunk_report as chunk_report_of
 from ..operators.chunking import chunk_sections as _chunk
 from ..operators.search_index import SearchIndex, build_index, open_index
 from ..sources.cluster import path_exists, shared_path, version_of
@@ -134,12 +135,25 @@ hit AS (SELECT query_id, rrf, d.doc_id AS section_id, title || ', s. ' || CAST(d
   row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, d.doc_id) AS rn FROM fused JOIN documents d ON d.doc_id = fused.id JOIN a ON a.slug = d.source LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(l.quality, 1) <> 0)"""
 
 
-@query(f"{_HYBRID}{_SEARCH} SELECT query_id, section_id, citation, rrf, CAST(rn AS INT) AS rank, CASE WHEN length(t) <= 320 THEN t ELSE regexp_replace(left(t, 320), ' [^ ]*$', '') || '…' END AS snippet FROM hit WHERE rn <= 10")
+_HITS = "SELECT query_id, section_id, citation, rrf, CAST(rn AS INT) AS rank, CASE WHEN length(t) <= 320 THEN t ELSE regexp_replace(left(t, 320), ' [^ ]*$', '') || '…' END AS snippet FROM hit WHERE rn <= 10"
+
+
+@query(f"{_HYBRID}{_SEARCH} {_HITS}")
 def search_corpus(v: Views) -> DataFrame:
-    s = v.sections.where(~F.col("is_omitted")).join(F.broadcast(v.statutes.select(F.col("id").alias("statute_id"), "short_title")), "statute_id")
-    hit = _fused(v).select("query_id", "id", "rrf").join(s, "id")
-    best = R.top_k(hit, ["query_id"], [F.col("rrf").desc(), F.col("id")], 10)
-    return best.select("query_id", F.col("id").alias("section_id"), F.concat("short_title", F.lit(", s. "), "section_no").alias("citation"), "rrf", "rank", T.snippet(F.col("text_verbatim")).alias("snippet"))
+    return R.search_hits(_fused(v), v.sections, v.statutes)
+
+
+@query(f"{_HYBRID}{_SEARCH.replace('WHERE coalesce(l.quality, 1) <> 0', '')} {_HITS}")
+def search_corpus_omitted(v: Views) -> DataFrame:
+    """Omitted sections are found too."""
+    return R.search_hits(_fused(v), v.sections, v.statutes, include_omitted=True)
+
+
+@query(_BM25.split(", sparse AS")[0].rstrip(", \n") + " SELECT query_id, id, score, rank FROM (SELECT query_id, bm.id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm.id) AS INT) AS rank FROM bm JOIN documents d ON d.doc_id = bm.id WHERE d.source = 'src3') WHERE rank <= 30")
+def sparse_topk_scoped(v: Views) -> DataFrame:
+    """Of one act, which is chosen before the cut."""
+    scope = v.table("documents").where("source = 'src3'").select(F.col("doc_id").alias("id"))
+    return _index(v).search(_asked(v), scope=scope).select("query_id", "id", "score", "rank")
 
 
 _SCORED = _HYBRID + """, n AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1), cov AS (SELECT fused.query_id, fused.id, rank, round(coalesce(matched, 0) / n, 6) AS score FROM fused JOIN n USING (query_id) LEFT JOIN bm ON bm.query_id = fused.query_id AND bm.id = fused.id WHERE rank <= 30),
@@ -230,6 +244,26 @@ def chunk_all(v: Views) -> DataFrame:
 @query(f"{_SIZES} SELECT count(*) AS sections, count(*) FILTER (WHERE h + n > 450) AS split_sections, true AS as_many, true AS within FROM z WHERE n > 0", "sections")
 def chunk_report(v: Views) -> DataFrame:
     """Sections and split ones; whether there are more chunks than sections by those split at least, and whether the largest chunk keeps to the ceiling."""
-    each = _chunk(_headed(v)).groupBy("id").agg(F.count("*").alias("chunks"), F.max("token_count").alias("most"))
-    r = each.agg(F.count("*").alias("sections"), F.sum("chunks").alias("chunks"), F.count_if(F.col("chunks") > 1).alias("split_sections"), F.max("most").alias("max_tokens"))
+    r = chunk_report_of(_chunk(_headed(v)))
     return r.select("sections", "split_sections", (F.col("chunks") >= F.col("sections") + F.col("split_sections")).alias("as_many"), (F.col("max_tokens") <= 450).alias("within"))
+
+
+_PLAIN = f"""WITH z AS (SELECT s.id, string_split(trim(regexp_replace(replace(text_verbatim, 'Provided', 'provided'), '[.;:\\s]+', ' ', 'g')), ' ') AS w, {_WORDS.format(_HEAD)} AS h FROM sections s JOIN statutes a ON a.id = s.statute_id WHERE NOT is_omitted),
+y AS (SELECT id, w, h, 450 - h AS room FROM z WHERE len(w) > 0 AND w[1] <> ''),
+k AS (SELECT id, h, CAST(k AS INT) AS chunk_idx, w[k * room + 1:(k + 1) * room] AS part FROM (SELECT *, unnest(range(0, CAST(ceil(len(w) / room) AS BIGINT))) AS k FROM y))"""
+
+
+def _plain_chunks(v: Views) -> DataFrame:
+    """Chunks of texts without marks or lines, so that only their words can be cut."""
+    plain = F.trim(F.regexp_replace(F.replace("text", F.lit("Provided"), F.lit("provided")), r"[.;:\s]+", " "))
+    return _chunk(_headed(v).withColumn("text", plain))
+
+
+@query(f"{_PLAIN} SELECT id, chunk_idx, md5(array_to_string(part, ' ')) AS text, CAST(h + len(part) AS INT) AS token_count FROM k", "sections")
+def chunk_plain(v: Views) -> DataFrame:
+    return _plain_chunks(v).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query(f"{_PLAIN} SELECT count(DISTINCT id) AS sections, count(*) AS chunks, count(DISTINCT id) FILTER (WHERE chunk_idx > 0) AS split_sections, CAST(max(h + len(part)) AS INT) AS max_tokens FROM k", "sections")
+def chunk_counts(v: Views) -> DataFrame:
+    return chunk_report_of(_plain_chunks(v))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prompts as P
 from ..functions import text as T
+from ..operators import parsing
 from ..sources.views import Views
 from .registry import query
 
@@ -222,15 +224,18 @@ def validate_citations(v: Views) -> DataFrame:
     return c.select("answer_id", F.size(bad).alias("n_invalid"), F.when(F.size(bad) > 0, "cited_sections_not_in_context").when(F.size("cited") == 0, "no_citations").alias("reason"))
 
 
-@query("""SELECT item_id, 'system' AS role, 0 AS pos, 'Answer only from the context and cite [S<id>].' AS content FROM benchmark
-UNION ALL SELECT item_id, 'user', 1, 'Question: ' || text FROM benchmark
+_FIRST = "'Question: ' || text || chr(10) || chr(10) || 'Context:' || chr(10) || '[S' || item_id || '] ' || left(text, 40)"
+
+
+@query(f"""SELECT item_id, 'system' AS role, 0 AS pos, 'Answer only from the context and cite [S<id>].' AS content FROM benchmark
+UNION ALL SELECT item_id, 'user', 1, {_FIRST} FROM benchmark
 UNION ALL SELECT item_id, 'assistant', 2, 'It is [S9999].' FROM benchmark WHERE item_id % 2 = 0
-UNION ALL SELECT item_id, 'user', 3, 'Invalid: S9999. Allowed: S' || item_id || '.' FROM benchmark WHERE item_id % 2 = 0""")
+UNION ALL SELECT item_id, 'user', 3, 'Invalid: S9999. Allowed: S' || item_id || ', S' || (item_id + 1) || '.' FROM benchmark WHERE item_id % 2 = 0""")
 def build_prompts(v: Views) -> DataFrame:
-    msg = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    first = F.array(msg("system", F.lit("Answer only from the context and cite [S<id>].")), msg("user", F.concat(F.lit("Question: "), F.col("text"))))
-    again = F.array(msg("assistant", F.lit("It is [S9999].")), msg("user", F.concat(F.lit("Invalid: S9999. Allowed: S"), F.col("item_id").cast("string"), F.lit("."))))
-    m = v.table("benchmark").select("item_id", F.posexplode(F.when(F.col("item_id") % 2 == 0, F.concat(first, again)).otherwise(first)).alias("pos", "m"))
+    i = F.col("item_id")
+    context = F.concat(F.lit("[S"), i.cast("string"), F.lit("] "), F.substring("text", 1, 40))
+    again = P.retry_messages(F.col("text"), context, F.lit("It is [S9999]."), F.array(F.lit(9999)), F.array(i, i + 1))
+    m = v.table("benchmark").select("item_id", F.posexplode(F.when(i % 2 == 0, again).otherwise(P.messages(F.col("text"), context))).alias("pos", "m"))
     return m.select("item_id", "m.role", "pos", "m.content")
 
 
@@ -248,11 +253,16 @@ def plausibility(v: Views) -> DataFrame:
     return v.sections.select("id", F.explode(rules).alias("r")).select("id", "r.*")
 
 
-@query(f"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {_html_sql("'[1] ' || CASE WHEN page_id % 6 = 0 THEN '[The whole] Rep. by Act' ELSE html END")} AS body FROM pages)
-SELECT page_id, CAST(page_id AS VARCHAR) AS section_no, nullif(title, '') AS note, body AS text, page_id % 6 = 0 AS is_omitted FROM p""")
+@query(f"""WITH p AS (SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, '[1] ' || CASE WHEN page_id % 6 = 0 THEN '[The whole] Rep. by Act' ELSE html END AS raw FROM pages)
+SELECT page_id % 7 AS act_id, CAST(page_id AS VARCHAR) AS section_no, nullif({_html_sql("title")}, '') AS note, {_html_sql("raw")} AS text, md5(raw) AS raw_md5, page_id % 6 = 0 OR page_id % 11 = 0 AS is_omitted,
+CASE page_id % 3 WHEN 0 THEN '1=Subs. by Act ' || page_id || ';2=plain' WHEN 1 THEN '' ELSE '=One note' END AS footnotes, CASE page_id % 3 WHEN 0 THEN 'Subs. by Act ' || page_id END AS amendment_note,
+CAST(row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) - 1 AS INT) AS order_idx FROM p""")
 def parse_sections(v: Views) -> DataFrame:
-    """Raw items to parsed sections: number without its full stop, empty note null, plain text, omitted or not."""
+    """Pages as raw items, to whole sections."""
     k = F.col("page_id")
     raw = F.concat(F.lit("[1] "), F.when(k % 6 == 0, "[The whole] Rep. by Act").otherwise(F.col("html")))
-    p = v.table("pages").select("page_id", F.concat(k.cast("string"), F.lit(".")).alias("no"), F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("note"), T.html_to_text(raw).alias("text"))
-    return p.select("page_id", F.regexp_replace("no", r"\.+$", "").alias("section_no"), "note", "text", T.looks_omitted(F.col("note"), F.col("text")).alias("is_omitted"))
+    notes = F.when(k % 3 == 0, F.concat(F.lit("1. Subs. by Act "), k.cast("string"), F.lit("<br>2. plain"))).when(k % 3 == 1, "").otherwise("<p>One note</p>")
+    items = v.table("pages").select((k % 7).alias("act_id"), k.alias("pos"), F.concat(F.lit(" "), k.cast("string"), F.lit(".")).alias("section_number"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), raw.alias("body_html"), notes.alias("footnote_html"), (k % 11 == 0).alias("is_repealed"))
+    p = parsing.parse_sections(items)
+    told = F.array_join(F.transform("footnotes", lambda n: F.concat_ws("=", n["marker"], n["text"])), ";")
+    return p.select("act_id", "section_no", F.col("marginal_note").alias("note"), F.col("text_verbatim").alias("text"), F.md5(F.col("text_raw").cast("binary")).alias("raw_md5"), "is_omitted", told.alias("footnotes"), "amendment_note", "order_idx")
