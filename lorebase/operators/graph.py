@@ -87,7 +87,7 @@ def related(links: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataF
     """Neighbours of every section in both directions, each once for a direction, with title and number."""
     out = links.select(F.col("from_section_id").alias("id"), F.col("to_section_id").alias("other"), F.lit("outbound").alias("direction"))
     into = links.select(F.col("to_section_id").alias("id"), F.col("from_section_id").alias("other"), F.lit("inbound").alias("direction"))
-    s = sections.select(F.col("id").alias("other"), "section_no", "statute_id").join(F.broadcast(statutes.select(F.col("id").alias("statute_id"), "short_title")), "statute_id")
+    s = sections.select(F.col("id").alias("other"), "section_no", "statute_id").join(statutes.select(F.col("id").alias("statute_id"), "short_title"), "statute_id")
     return out.unionByName(into).dropDuplicates(["id", "other", "direction"]).join(s, "other").select("id", "direction", "other", "short_title", "section_no")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem
 from ..functions.text import index_terms, snippet
-from ..sources.cluster import ship
+from ..sources.cluster import ship, staged
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -58,7 +58,7 @@ def bm25(docs: DataFrame, queries: DataFrame, most_asked: int = 500_000) -> Data
     asked = asked_terms(queries)
     d = docs.select("id", index_terms(F.col("text")).alias("t"))
     size = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    forms = _forms(d.select(F.explode("t").alias("word")), asked).persist()  # counted here, used below
+    forms = staged(_forms(d.select(F.explode("t").alias("word")), asked), "forms")  # counted here, used below
     small = max(asked.count(), forms.count()) <= most_asked
     hint = F.broadcast if small else (lambda x: x)
     occ = d.select("id", F.size("t").alias("len"), F.explode("t").alias("word")).join(hint(forms), "word")
@@ -77,7 +77,7 @@ def coverage(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame
 
     Only the pairs' documents are split into words.
     """
-    pairs, asked = pairs.persist(), asked_terms(queries)  # a question's pairs are its first candidates, used three times
+    pairs, asked = staged(pairs, "pairs"), asked_terms(queries)  # a question's pairs are its first candidates, used three times
     words = docs.join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("word"))
     terms = words.join(_forms(words.select("word"), asked), "word").select("id", "term").distinct()
     held = pairs.select("query_id", "id").join(asked, "query_id").join(terms, ["id", "term"]).groupBy("query_id", "id").agg(F.count("*").alias("held"))

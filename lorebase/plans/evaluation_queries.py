@@ -85,7 +85,7 @@ def outstanding_cases(v: Views) -> DataFrame:
 SELECT o_orderkey, g.slug, g.no FROM g LEFT JOIN k ON k.slug = g.slug AND k.key = regexp_replace(lower(g.no), '[^0-9a-z]', '', 'g') WHERE k.key IS NULL""", "sections")
 def gold_label_errors(v: Views) -> DataFrame:
     g = v.table("orders").select("o_orderkey", F.concat(F.lit("src"), (F.col("o_custkey") % 25).cast("string")).alias("slug"), F.concat((F.col("o_orderkey") % 600).cast("string"), F.lit("-a")).alias("no")).withColumn("key", T.normalise_no(F.col("no")))
-    k = v.sections.join(F.broadcast(v.statutes.select(F.col("id").alias("statute_id"), "slug")), "statute_id").select("slug", T.normalise_no(F.col("section_no")).alias("key"))
+    k = v.sections.join(v.statutes.select(F.col("id").alias("statute_id"), "slug"), "statute_id").select("slug", T.normalise_no(F.col("section_no")).alias("key"))
     return g.join(k, ["slug", "key"], "left_anti").select("o_orderkey", "slug", "no")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import embedding, graph, jobs, store
-from ..sources import archive
+from ..sources import archive, manifest
 from ..sources.cluster import shared_path
 from ..sources.views import Views
 from .registry import query
@@ -19,12 +19,13 @@ from .registry import query
 
 @query("SELECT p_brand AS slug, count(*) AS n FROM (SELECT 'b' || (p_partkey % 700) AS p_brand FROM part) GROUP BY 1 HAVING count(*) > 1")
 def manifest_dups(v: Views) -> DataFrame:
-    return v.table("part").groupBy(F.concat(F.lit("b"), (F.col("p_partkey") % 700).cast("string")).alias("slug")).agg(F.count("*").alias("n")).where("n > 1")
+    return manifest.duplicates(v.table("part").select(F.concat(F.lit("b"), (F.col("p_partkey") % 700).cast("string")).alias("slug")))
 
 
 @query("SELECT id, slug, CAST(1 + id % 3 AS INT) AS tier FROM statutes WHERE id % 3 = 1 OR slug = 'src7'", "statutes")
 def manifest_select(v: Views) -> DataFrame:
-    return v.statutes.select("id", "slug", (1 + F.col("id") % 3).cast("int").alias("tier")).where("tier = 2 OR slug = 'src7'")
+    entries = v.statutes.select("id", "slug", (1 + F.col("id") % 3).cast("int").alias("tier"))
+    return manifest.select_acts(entries, tier=2).unionByName(manifest.select_acts(entries, slug="src7")).distinct()
 
 
 def _payload(v: Views) -> DataFrame:
@@ -252,7 +253,7 @@ def search_by_citation(v: Views) -> DataFrame:
     q = v.table("orders").select(k.alias("query_id"), F.when(k % 3 == 0, s("section ", k % 500)).when(k % 3 == 1, s("s. ", k % 500, "A")).otherwise("what is consideration?").alias("q"))
     key = T.normalise_no(F.regexp_extract("q", r"(?i)\b(?:sections?|ss?\.?)\s*([0-9]{1,3}(?:-?[A-Z]{1,2})?)\b", 1))
     keyed = v.sections.select("id", "statute_id", T.normalise_no(F.col("section_no")).alias("key"))
-    hits = q.select("query_id", key.alias("key")).where("key <> ''").join(keyed, "key").join(F.broadcast(v.statutes.select(F.col("id").alias("statute_id"), "year")), "statute_id")
+    hits = q.select("query_id", key.alias("key")).where("key <> ''").join(keyed, "key").join(v.statutes.select(F.col("id").alias("statute_id"), "year"), "statute_id")
     return graph.numbered_by(hits, ["query_id"], ["year", "id"]).where("rn <= 5").select("query_id", "id", "rn")
 
 
@@ -271,14 +272,14 @@ def list_acts(v: Views) -> DataFrame:
 @query("SELECT s.id AS section_id, s.statute_id, a.short_title || ', s. ' || s.section_no AS citation, s.marginal_note FROM sections s JOIN statutes a ON a.id = s.statute_id", "sections")
 def section_act(v: Views) -> DataFrame:
     a = v.statutes.select(F.col("id").alias("statute_id"), "short_title")
-    return v.sections.join(F.broadcast(a), "statute_id").select(F.col("id").alias("section_id"), "statute_id", F.concat("short_title", F.lit(", s. "), "section_no").alias("citation"), "marginal_note")
+    return v.sections.join(a, "statute_id").select(F.col("id").alias("section_id"), "statute_id", F.concat("short_title", F.lit(", s. "), "section_no").alias("citation"), "marginal_note")
 
 
 @query("SELECT e.vec_id AS chunk_id, s.id AS section_id, a.slug, s.section_no FROM embeddings e JOIN sections s ON s.id = e.vec_id % (SELECT count(*) FROM documents) JOIN statutes a ON a.id = s.statute_id", "sections")
 def chunk_section_act(v: Views) -> DataFrame:
     c = v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % v.table("documents").count()).alias("id"))
     a = v.statutes.select(F.col("id").alias("statute_id"), "slug")
-    return c.join(v.sections.select("id", "statute_id", "section_no"), "id").join(F.broadcast(a), "statute_id").select("chunk_id", F.col("id").alias("section_id"), "slug", "section_no")
+    return c.join(v.sections.select("id", "statute_id", "section_no"), "id").join(a, "statute_id").select("chunk_id", F.col("id").alias("section_id"), "slug", "section_no")
 
 
 @query("""SELECT e.vec_id AS chunk_id, s.id AS section_id, a.short_title, s.section_no, s.marginal_note, 'passage: ' || a.short_title AS heading FROM embeddings e JOIN sections s ON s.id = e.vec_id % (SELECT count(*) FROM documents) JOIN statutes a ON a.id = s.statute_id WHERE NOT s.is_omitted""", "sections")
@@ -286,7 +287,7 @@ def candidate_base(v: Views) -> DataFrame:
     c = v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % v.table("documents").count()).alias("id"))
     s = v.sections.where(~F.col("is_omitted")).select("id", "statute_id", "section_no", "marginal_note")
     a = v.statutes.select(F.col("id").alias("statute_id"), "short_title")
-    return c.join(s, "id").join(F.broadcast(a), "statute_id").select("chunk_id", F.col("id").alias("section_id"), "short_title", "section_no", "marginal_note", F.concat(F.lit("passage: "), "short_title").alias("heading"))
+    return c.join(s, "id").join(a, "statute_id").select("chunk_id", F.col("id").alias("section_id"), "short_title", "section_no", "marginal_note", F.concat(F.lit("passage: "), "short_title").alias("heading"))
 
 
 _RELATED = """SELECT DISTINCT x.id, x.direction, x.other, a.short_title, s.section_no FROM (SELECT from_section_id AS id, to_section_id AS other, 'outbound' AS direction FROM links UNION ALL SELECT to_section_id, from_section_id, 'inbound' FROM links) x

@@ -201,7 +201,7 @@ def _packed(v: Views) -> DataFrame:
     rows = kept.select("query_id", "section_id", F.lit("retrieved").alias("origin"), ((F.col("section_id") * 7 % 10) / 10.0).alias("score")).unionByName(graph.expand_one_hop(kept, v.links).select("query_id", "section_id", F.lit("cross_reference").alias("origin"), F.lit(None).cast("double").alias("score")))
     s = v.sections.select(F.col("id").alias("section_id"), "statute_id", T.section_no_sort(F.col("section_no")).alias("sort"), T.estimate_tokens(F.col("text_verbatim")).alias("tokens"))
     a = v.statutes.select(F.col("id").alias("statute_id"), F.col("short_title").alias("title"))
-    return R.pack(rows.join(s, "section_id").join(F.broadcast(a), "statute_id"), 12_000)
+    return R.pack(rows.join(s, "section_id").join(a, "statute_id"), 12_000)
 
 
 _WITH_LINKS = ("sections", "links")
@@ -220,7 +220,7 @@ def pack_totals(v: Views) -> DataFrame:
 
 def _headed(v: Views) -> DataFrame:
     a = v.statutes.select(F.col("id").alias("statute_id"), "short_title")
-    return v.sections.where(~F.col("is_omitted")).join(F.broadcast(a), "statute_id").select("id", T.heading_prefix(F.col("short_title"), F.col("marginal_note")).alias("heading"), F.col("text_verbatim").alias("text"))
+    return v.sections.where(~F.col("is_omitted")).join(a, "statute_id").select("id", T.heading_prefix(F.col("short_title"), F.col("marginal_note")).alias("heading"), F.col("text_verbatim").alias("text"))
 
 
 _WORDS = "len([x FOR x IN string_split_regex({}, '\\s+') IF x <> ''])"
