@@ -28,7 +28,7 @@ def _met(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tagger doesn't predict to be toxic. Repeated ids: only rows with a toxic text go; null texts stay."""
+    """Documents that the tagger doesn't predict to be toxic. Repeated ids: only rows with a toxic text go; null texts are scored as empty ones are."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     scored = toxicity(rows, table(spark, sf_dir, "labels"), carry=("text_hash",))
     return _met(docs, scored.where("predicted = 1").select("doc_id", "text_hash").distinct(), "left_anti")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SEGMENT_START, word_count
@@ -46,34 +46,60 @@ def split_section(text: str, fits: Callable[[str], bool]) -> list[str]:
     return _filled(_segments(text), "\n", fits)
 
 
-def chunk_sections(sections: DataFrame, ceiling: int = CEILING, load: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+def _chunks(heading: str | None, text: str, ceiling: int, count: Callable[[str], int]) -> Iterator[tuple[int, str, int]]:
+    """(chunk_idx, text, token_count) of one section."""
+    heading = heading or ""
+    fits = lambda t: count(heading + t) <= ceiling
+    for k, t in enumerate([text] if fits(text) else split_section(text, fits)):
+        yield k, t, count(heading + t)
+
+
+def _words(text: str) -> int:
+    return len(text.split())
+
+
+def chunk_sections(sections: DataFrame, ceiling: int = CEILING, load: Callable[[], Callable[[str], int]] | None = None, size: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, chunk_idx, text, token_count). sections: id, heading, text; a chunk and its heading have at most `ceiling` tokens, but for a longer word.
 
-    Tokens are words, unless `load` makes another counter, once in each task; that one is
-    asked about every section in Python. Blank sections give no chunk.
+    Tokens are words, unless `load` makes another counter, once in each task. `size` is
+    the same counter as a function of columns: with it, and by default, sections that fit
+    are told natively and only overlong ones run Python; a counter that is known in Python
+    alone is asked about every section there. Blank sections give no chunk.
     """
     ship(sections.sparkSession)
     s = sections.select("id", "heading", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
-    size = word_count(F.col("heading")) + word_count(F.col("text"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = load() if load else lambda t: len(t.split())
+        count = load() if load else _words
         for df in batches:
-            rows = []
-            for i, heading, text in df.itertuples(index=False):
-                fits = lambda t, heading=heading: count(heading + t) <= ceiling
-                rows += [(i, k, t, count(heading + t)) for k, t in enumerate([text] if fits(text) else split_section(text, fits))]
+            rows = [(i, *x) for i, heading, text in df.itertuples(index=False) for x in _chunks(heading, text, ceiling, count)]
             yield pd.DataFrame(rows, columns=["id", "chunk_idx", "text", "token_count"])
 
     schema = "id long, chunk_idx int, text string, token_count int"
-    if load:
+    if size is None and load:
         return s.mapInPandas(split, schema)
-    s = s.withColumn("n", size)
+    n = size(F.concat(F.coalesce("heading", F.lit("")), "text")) if size else word_count(F.col("heading")) + word_count(F.col("text"))
+    s = s.withColumn("n", n)
     fits = s.where(F.col("n") <= ceiling).select("id", F.lit(0).alias("chunk_idx"), "text", F.col("n").cast("int").alias("token_count"))
     over = s.where(F.col("n") > ceiling).select("id", "heading", "text").mapInPandas(split, schema)
     return fits.unionByName(over)
 
 
+def register_chunker(spark: SparkSession, name: str = "split_section", ceiling: int = CEILING, load: Callable[[], Callable[[str], int]] | None = None) -> None:
+    """The chunker as a table function for SQL: `FROM sections, LATERAL split_section(heading, text)` gives (chunk_idx, chunk, token_count). Null and blank texts give no row."""
+    ship(spark)
+
+    class SplitSection:
+        def __init__(self) -> None:
+            self.count = load() if load else _words
+
+        def eval(self, heading: str, text: str) -> Iterator[tuple[int, str, int]]:
+            if text and text.strip():
+                yield from _chunks(heading, text.strip(), ceiling, self.count)
+
+    spark.udtf.register(name, F.udtf(SplitSection, returnType="chunk_idx int, chunk string, token_count int"))
+
+
 def chunk_report(chunks: DataFrame) -> DataFrame:
     """One row: sections, chunks, split_sections and max_tokens (null without chunks)."""
     each = chunks.groupBy("id").agg(F.count("*").alias("chunks"), F.max("token_count").alias("most"))

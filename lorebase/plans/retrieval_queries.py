@@ -11,6 +11,7 @@ from ..operators import dense_index, graph
 from ..operators import retrieval as R
 from ..operators.chunking import chunk_report as chunk_report_of
 from ..operators.chunking import chunk_sections as _chunk
+from ..operators.chunking import register_chunker
 from ..operators.search_index import SearchIndex, build_index, open_index
 from ..sources.cluster import path_exists, shared_path, version_of
 from ..sources.views import Views
@@ -253,10 +254,14 @@ y AS (SELECT id, w, h, 450 - h AS room FROM z WHERE len(w) > 0 AND w[1] <> ''),
 k AS (SELECT id, h, CAST(k AS INT) AS chunk_idx, w[k * room + 1:(k + 1) * room] AS part FROM (SELECT *, unnest(range(0, CAST(ceil(len(w) / room) AS BIGINT))) AS k FROM y))"""
 
 
-def _plain_chunks(v: Views) -> DataFrame:
-    """Chunks of texts without marks or lines, so that only their words can be cut."""
+def _plain_texts(v: Views) -> DataFrame:
+    """Texts without marks or lines, so that only their words can be cut."""
     plain = F.trim(F.regexp_replace(F.replace("text", F.lit("Provided"), F.lit("provided")), r"[.;:\s]+", " "))
-    return _chunk(_headed(v).withColumn("text", plain))
+    return _headed(v).withColumn("text", plain)
+
+
+def _plain_chunks(v: Views) -> DataFrame:
+    return _chunk(_plain_texts(v))
 
 
 @query(f"{_PLAIN} SELECT id, chunk_idx, md5(array_to_string(part, ' ')) AS text, CAST(h + len(part) AS INT) AS token_count FROM k", "sections")
@@ -264,6 +269,14 @@ def chunk_plain(v: Views) -> DataFrame:
     return _plain_chunks(v).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
+@query(f"{_PLAIN} SELECT id, chunk_idx, md5(array_to_string(part, ' ')) AS text, CAST(h + len(part) AS INT) AS token_count FROM k", "sections")
+def chunk_lateral(v: Views) -> DataFrame:
+    """The same chunks by the table function, in SQL."""
+    register_chunker(v.spark)
+    _plain_texts(v).createOrReplaceTempView("plain_sections")
+    return v.spark.sql("SELECT id, c.chunk_idx, md5(CAST(c.chunk AS BINARY)) AS text, c.token_count FROM plain_sections, LATERAL split_section(heading, text) AS c")
+
+
 @query(f"{_PLAIN} SELECT count(DISTINCT id) AS sections, count(*) AS chunks, count(DISTINCT id) FILTER (WHERE chunk_idx > 0) AS split_sections, CAST(max(h + len(part)) AS INT) AS max_tokens FROM k", "sections")
 def chunk_counts(v: Views) -> DataFrame:
     return chunk_report_of(_plain_chunks(v))
