@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem
 from ..functions.text import index_terms
+from ..sources.cluster import staged
 from .retrieval import K1, TOP_K, B, asked_terms, top_k
 
 POSTINGS = "bucket int, term string, block int, n int, most double, postings array<struct<id:bigint,tf:bigint,len:int>>"
@@ -67,11 +68,12 @@ class SearchIndex:
 
     def _terms(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(asked terms that the index holds, with idf; their rows of the postings), by buckets first, so that the others' files aren't opened."""
+        asked = staged(asked, "asked")  # stems are worked out once
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         used = [r[0] for r in asked.select(bucket).distinct().collect()]  # at most `buckets`
         mine = self.postings.where(F.col("bucket").isin(used)).join(asked.select("term").distinct(), "term", "left_semi")
         df = mine.groupBy("term").agg(F.sum("n").alias("df"))
-        return asked.join(df, "term").withColumn("idf", _idf(F.lit(self.documents), F.col("df"))).drop("df"), mine
+        return staged(asked.join(df, "term").withColumn("idf", _idf(F.lit(self.documents), F.col("df"))).drop("df"), "known"), mine
 
     def _scores(self, wanted: DataFrame, mine: DataFrame, scope: DataFrame | None = None) -> DataFrame:
         """(query_id, id, score, matched) of all documents of `wanted` (query_id, term, idf, block), and of `scope`, that hold a term."""
@@ -106,7 +108,7 @@ class SearchIndex:
 
     def coverage(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """`pairs` (query_id, id, others) with `score`: the share of the question's distinct terms that the document holds. Questions without terms go. No text is read: only the pairs' blocks."""
-        asked = asked_terms(queries)
+        asked = staged(asked_terms(queries), "asked")
         known, mine = self._terms(asked)
         at = pairs.select("query_id", "id", F.pmod(F.xxhash64("id"), F.lit(self.blocks)).cast("int").alias("block"))
         lists = at.join(known.select("query_id", "term"), "query_id").join(mine.select("term", "block", F.transform("postings", lambda p: p["id"]).alias("ids")), ["term", "block"])
