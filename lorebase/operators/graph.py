@@ -64,14 +64,28 @@ def resolve_titles(phrases: DataFrame, statutes: DataFrame, phrase: str = "act")
     return keys.select("phrase").join(met.groupBy("phrase").agg(best.alias("statute_id")), "phrase", "left")
 
 
-def resolve_references(refs: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataFrame:
-    """(id, pos, no, raw, to_id, reason): edges where reason is null. `refs`: id, statute_id, pos, kind, raw, numbers, act; they are worked out once and kept, for their titles and their numbers."""
+def resolve_references(refs: DataFrame, sections: DataFrame, statutes: DataFrame, most_lists: int = 100_000) -> DataFrame:
+    """(id, pos, no, raw, to_id, reason): edges where reason is null. `refs`: id, statute_id, pos, kind, raw, numbers, act; they are worked out once and kept, for their titles and their numbers.
+
+    Acts and lists of numbers recur, so each distinct one is resolved once. Up to
+    `most_lists` of either are looked up in a broadcast table; more acts are joined by a
+    shuffle of the references that name one, and more lists are expanded row by row.
+    """
     refs = staged(refs.select("id", "statute_id", "pos", "kind", "raw", "numbers", "act"), "references")
-    acts = resolve_titles(refs, statutes).withColumnRenamed("statute_id", "named")
-    r = refs.join(acts, refs.act == acts.phrase, "left").withColumn("target", F.when(F.col("act").isNull(), F.col("statute_id")).otherwise(F.col("named")))
+    acts = staged(resolve_titles(refs, statutes).withColumnRenamed("statute_id", "named"), "acts")
+    hint = F.broadcast if acts.count() <= most_lists else (lambda x: x)
+    own = refs.where("act IS NULL").withColumn("target", F.col("statute_id"))  # never shuffled: a null act would be one key
+    other = refs.where("act IS NOT NULL").join(hint(acts), F.col("act") == F.col("phrase"), "left").withColumn("target", F.col("named"))
+    r = own.unionByName(other.select(*own.columns))
+    lists = refs.where("kind = 'section'").select("numbers").distinct()
+    keyed = lambda c: F.transform(expanded(c), lambda x: F.struct(x.alias("no"), normalise_no(x).alias("key")))
     known = (F.col("kind") == "section") & F.col("target").isNotNull()
-    each = r.withColumn("no", F.explode(F.when(known, expanded(F.col("numbers"))).otherwise(F.array(F.lit(None).cast("string")))))
-    each = each.withColumn("key", normalise_no(F.col("no")))
+    if lists.count() <= most_lists:
+        r = r.join(F.broadcast(lists.select("numbers", keyed(F.col("numbers")).alias("items"))), "numbers", "left")
+    else:
+        r = r.withColumn("items", F.when(known, keyed(F.col("numbers"))))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("no"), F.lit(None).cast("string").alias("key")))
+    each = r.withColumn("item", F.explode(F.when(known, F.col("items")).otherwise(none))).select("id", "pos", "kind", "raw", "target", "item.no", "item.key")
     s = sections.select(F.col("statute_id").alias("target"), normalise_no(F.col("section_no")).alias("key"), F.col("id").alias("to_id")).groupBy("target", "key").agg(F.min("to_id").alias("to_id"))
     reason = F.when(F.col("kind") == "part", "no_part_hierarchy").when(F.col("target").isNull(), "act_not_in_corpus").when(F.col("to_id").isNull(), "section_not_found")
     met = each.join(s, ["target", "key"], "left").select("id", "pos", "no", "raw", "to_id", reason.alias("reason"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem
 from ..functions.text import index_terms
-from ..sources.cluster import staged
+from ..sources.cluster import drop_path, spread, staged
 from .retrieval import K1, TOP_K, B, asked_terms, top_k
 
 POSTINGS = "bucket int, term string, block int, n int, most double, postings array<struct<id:bigint,tf:bigint,len:int>>"
@@ -34,27 +34,40 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def build_index(docs: DataFrame, path: str, *, block_rows: int = 256, buckets: int = 16) -> SearchIndex:
+def build_index(docs: DataFrame, path: str, *, block_rows: int = 256, buckets: int = 16, most_stems: int = 500_000) -> SearchIndex:
     """Writes the index of `docs` (id, text) to `path` and opens it. Terms are stems without stop words; each distinct word is stemmed once.
 
-    A term of very many documents has a row for each block, so it gathers nowhere. Null
-    texts have no terms and count as documents, but not in the mean length; ids must be
-    distinct and not null.
+    Texts are split once: the words' counts are kept beside the index until it is written.
+    Up to `most_stems` distinct words are broadcast with their stems; more are joined by
+    shuffles. One shuffle by ranges of bucket, term and block serves the sums, the lists
+    and the files. A term of very many documents has a row for each block, so it gathers
+    nowhere. Null texts have no terms and count as documents, but not in the mean length;
+    ids must be distinct and not null.
     """
-    spark = docs.sparkSession
-    d = docs.select("id", index_terms(F.col("text")).alias("t"))
-    n, mean = d.agg(F.count("*"), F.coalesce(F.avg(F.size("t")), F.lit(0.0))).first()
-    blocks = max(1, -(-n // block_rows))
-    spark.createDataFrame([(n, mean, blocks, buckets)], STATS).coalesce(1).write.parquet(f"{path}/stats")
-    words = d.select("id", F.size("t").alias("len"), F.explode("t").alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("n"))
-    stems = words.select("word").distinct().select("word", F.coalesce(stem(F.col("word")), F.lit("")).alias("term"))
-    tf = words.join(stems, "word").groupBy("id", "len", "term").agg(F.sum("n").alias("tf"))
+    spark, text = docs.sparkSession, F.col("text")
+    words = F.coalesce(index_terms(text), F.array().cast("array<string>"))
+    d = spread(docs).select(F.col("id").cast("long").alias("id"), F.when(text.isNotNull(), F.size(words)).alias("len"), F.concat(F.array(F.lit("")), words).alias("t"))  # "" is a row for the document itself
+    d.select("id", "len", F.explode("t").alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("n")).write.parquet(f"{path}/words")
+    counted = spark.read.schema("id long, len int, word string, n long").parquet(f"{path}/words")
+    n, mean = counted.where("word = ''").agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
+    counted, blocks = counted.where("word <> ''"), max(1, -(-n // block_rows))
+    numbers = F.lit(n).alias("documents"), F.lit(float(mean)).alias("mean"), F.lit(blocks).alias("blocks"), F.lit(buckets).alias("buckets")
+    spark.range(1).select(*(c.cast(t) for c, t in zip(numbers, ("long", "double", "int", "int"), strict=True))).toDF("documents", "mean", "blocks", "buckets").coalesce(1).write.parquet(f"{path}/stats")
+    # Stems are costly and the words' bytes few, so the number of tasks isn't left to their size.
+    distinct = counted.select("word").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
+    distinct.select("word", F.coalesce(stem(F.col("word")), F.lit("")).alias("term")).write.parquet(f"{path}/stems")
+    stems = spark.read.schema("word string, term string").parquet(f"{path}/stems")
+    stems = F.broadcast(stems) if stems.count() <= most_stems else stems
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    key = [F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), F.col("term"), block]
+    each = counted.join(stems, "word").select(*key, "id", "len", "n").repartitionByRange("bucket", "term", "block")
+    tf = each.groupBy("bucket", "term", "block", "id", "len").agg(F.sum("n").alias("tf"))
     most = F.max(_weight(F.col("tf"), F.col("len"), F.lit(float(mean))))
-    rows = tf.groupBy("term", block).agg(F.count("*").cast("int").alias("n"), most.alias("most"), F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("postings"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows = rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    rows = tf.groupBy("bucket", "term", "block").agg(F.count("*").cast("int").alias("n"), most.alias("most"), F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("postings"))
+    rows = rows.sortWithinPartitions("bucket", "term", "block")
     rows.write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("bucket").parquet(f"{path}/postings")
+    for used in ("words", "stems"):
+        drop_path(spark, f"{path}/{used}")
     return open_index(spark, path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import embedding, graph, jobs, store
 from ..sources import archive, manifest
-from ..sources.cluster import shared_path
+from ..sources.cluster import shared_path, spread
 from ..sources.views import Views
 from .registry import query
 
@@ -355,7 +355,7 @@ def orphan_rows(v: Views) -> DataFrame:
 
 
 def _refs(v: Views) -> DataFrame:
-    return graph.extract_references(v.refs_text)
+    return graph.extract_references(spread(v.refs_text))
 
 
 _SECTION, _PART = (x.replace("'", "''") for x in (graph.SECTION_REF, graph.PART_REF))

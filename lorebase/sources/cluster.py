@@ -62,6 +62,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in as many partitions as tasks can run, if a scan of few row groups has fewer: for costly work on each row. A large table stays as it is read."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once for each application, so that Python tasks can import it."""
     sc = spark.sparkContext

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lorebase.functions.text import STOP_WORDS
 from lorebase.operators import retrieval
 from lorebase.operators.search_index import build_index, open_index
 from lorebase.sources.cluster import version_of
@@ -18,10 +19,10 @@ def corpus(spark, n=400):
     return spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
 
 
-@pytest.mark.parametrize(("block_rows", "k", "first"), [(8, 5, 1), (1, 1000, 1)])
-def test_search_equals_the_search_without_index(spark, tmp_path, block_rows, k, first):
+@pytest.mark.parametrize(("block_rows", "k", "first", "most_stems"), [(8, 5, 1, 500_000), (1, 1000, 1, 0)])
+def test_search_equals_the_search_without_index(spark, tmp_path, block_rows, k, first, most_stems):
     docs, queries = corpus(spark)
-    index = build_index(docs, str(tmp_path / "i"), block_rows=block_rows, buckets=4)
+    index = build_index(docs, str(tmp_path / "i"), block_rows=block_rows, buckets=4, most_stems=most_stems)
     want = sorted(map(tuple, retrieval.sparse_topk(docs, queries, k).select("query_id", "id", "score", "matched", "rank").collect()))
     assert sorted(map(tuple, index.search(queries, k, first).select("query_id", "id", "score", "matched", "rank").collect())) == want and want
     again = open_index(spark, str(tmp_path / "i"))
@@ -64,3 +65,11 @@ def test_empty_corpus_and_versions(spark, tmp_path):
     assert build_index(docs.limit(0), str(tmp_path / "none")).search(queries).count() == 0
     a = version_of(spark, str(tmp_path / "none" / "stats"))
     assert a == version_of(spark, str(tmp_path / "none" / "stats")) != version_of(spark, str(tmp_path / "none" / "postings"))
+
+
+def test_index_leaves_only_its_own_tables(spark, tmp_path):
+    docs, _ = corpus(spark, 20)
+    index = build_index(docs, str(tmp_path / "i"))
+    assert sorted(x.name for x in (tmp_path / "i").iterdir() if x.is_dir()) == ["postings", "stats"]
+    sizes = [sum(w not in STOP_WORDS for w in t.split()) for (t,) in docs.select("text").collect() if t is not None]
+    assert index.documents == docs.count() and abs(index.mean - sum(sizes) / len(sizes)) < 1e-9  # null texts are no part of the mean

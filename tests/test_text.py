@@ -38,6 +38,21 @@ def test_references(spark):
     assert {r["reason"] for r in rows if r["reason"]} == {"act_not_in_corpus", "no_part_hierarchy"}
 
 
+def test_references_looked_up_or_expanded(spark):
+    """The same edges whether acts and lists are few or many; null acts, ranges, repeats and null own statutes included."""
+    texts = [
+        (1, 1, "See sections 3, 5 and 7 to 9 of the Sale Act, 1930; s. 14 and Part II apply."), (2, 1, "See sections 3, 5 and 7 to 9."), (2, 1, "See sections 3, 5 and 7 to 9."),
+        (3, None, "Under section 14 and section 3 of the Other Law, 1900."), (4, 2, None), (5, 2, ""), (6, 2, "ss. 3 to 40 and section 21A"),
+    ]
+    refs = graph.extract_references(spark.createDataFrame(texts, "id long, statute_id long, text string"))
+    sections = spark.createDataFrame([(1, 1, "3"), (2, 1, "14"), (8, 2, "8"), (9, 2, "21-A"), (10, 2, "3")], "id long, statute_id long, section_no string")
+    statutes = spark.createDataFrame([(1, "Code A Act, 1807"), (2, "Sale Act, 1930")], "id long, short_title string")
+    few, many = (sorted(map(str, graph.resolve_references(refs, sections, statutes, most_lists=n).collect())) for n in (100, 0))
+    assert few == many and len(few) > 20
+    edges = {(r["id"], r["no"], r["to_id"]) for r in graph.resolve_references(refs, sections, statutes).where("reason IS NULL").collect()}
+    assert edges == {(1, "3", 10), (1, "8", 8), (1, "14", 2), (2, "3", 1), (6, "3", 10), (6, "21A", 9)}
+
+
 def test_longest_title(spark):
     statutes = spark.createDataFrame([(1, "Code A Act, 1807"), (2, "A Act"), (3, "The Sale Act, 1930")], "id long, short_title string")
     phrases = spark.createDataFrame([("the Code A Act, 1807",), ("Amended Code A Act, 1807",), ("Sale Act, 1930",), ("Other Law, 1900",), (None,)], "act string")
