@@ -19,6 +19,7 @@ LEADING_MARKERS = r"^(?:\s*\[[0-9]{1,2}\])+\s*"
 FOOTNOTE_START = r"(?m)^\s*\[?([0-9]{1,2})\]?\s*\.\s*"
 #: Fixed value: what begins a segment at a line's start; any word Provided begins one too.
 SEGMENT_START = r"(?m)^(\s*)(\(\s*[0-9]{1,2}[A-Za-z]?\s*\)|(?:Explanation|Illustrations?|Exception)\b)"
+_SEGMENT_CUT = rf"(?m)(?={SEGMENT_START.removeprefix('(?m)')}|\bProvided\b)"
 SEGMENT_NUMBER = r"^\(\s*([0-9]{1,2}[A-Za-z]?)\s*\)"
 #: Common English words that no search looks for.
 STOP_WORDS = tuple(
@@ -124,12 +125,11 @@ def html_to_text(fragment: Column) -> Column:
 
 def footnotes(text: Column) -> Column:
     """array<struct<marker, text>>: cut before `[n].` or `n.` of one or two digits at a line's start; without a marker one note; blank bodies and text before the first marker go."""
-    marked = F.regexp_replace(text, FOOTNOTE_START, "\u0001$1\u0002")
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    parts = F.split(marked, "\u0001")
-    notes = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.struct(F.split(x, "\u0002")[0].alias("marker"), trimmed(F.split(x, "\u0002")[1]).alias("text")))
+    markers, parts = F.regexp_extract_all(text, F.lit(FOOTNOTE_START), F.lit(1)), F.split(text, FOOTNOTE_START)
+    notes = F.zip_with(markers, F.slice(parts, 2, F.size(parts)), lambda m, x: F.struct(m.alias("marker"), trimmed(x).alias("text")))
     one = F.array(F.struct(F.lit("").alias("marker"), trimmed(text).alias("text")))
-    return F.filter(F.when(F.contains(marked, F.lit("\u0001")), notes).otherwise(one), lambda n: n["text"] != "")
+    return F.filter(F.when(F.size(markers) > 0, notes).otherwise(one), lambda n: n["text"] != "")
 
 
 def amendment_note(notes: Column) -> Column:
@@ -146,9 +146,7 @@ def looks_omitted(note: Column, body: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """Pieces that begin at a line-start (n) or (nA), at a line-start Explanation, Illustration(s) or Exception, or at any word Provided."""
-    marked = F.regexp_replace(text, SEGMENT_START, "\u0001$1$2")
-    marked = F.regexp_replace(marked, r"\b(Provided)\b", "\u0001$1")
-    pieces = F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    pieces = F.transform(F.split(text, _SEGMENT_CUT), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.filter(pieces, lambda x: x != "")
 
 

@@ -193,3 +193,12 @@ def test_titles_by_their_heads(spark):
     got = {x["phrase"]: x["statute_id"] for x in graph.resolve_titles(frame, spark.createDataFrame(titles, "id long, short_title string")).collect()}
     assert got == {p: plain(p) for p in phrases if p is not None}
     assert {x["statute_id"] for x in graph.resolve_titles(frame, spark.createDataFrame([], "id long, short_title string")).collect()} == {None}
+
+
+def test_control_characters_cut_nothing(spark):
+    """Texts may hold any character: only markers cut."""
+    odd = "a\u0001b\u0002c"
+    assert [tuple(x) for x in one(spark, T.footnotes(F.lit(f"before\n1. {odd} d\n[2]. {odd}")))] == [("1", f"{odd} d"), ("2", odd)]
+    assert [tuple(x) for x in one(spark, T.footnotes(F.lit(odd)))] == [("", odd)]
+    assert one(spark, T.segments(F.lit(f"{odd}\n\n (1) x{odd} Provided that y\nExplanation z, Providedly"))) == [odd, f"(1) x{odd}", "Provided that y", "Explanation z, Providedly"]
+    assert one(spark, T.segments(F.lit("(1) a\n(2A) b"))) == ["(1) a", "(2A) b"]
