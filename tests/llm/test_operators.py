@@ -151,6 +151,17 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate(H.docs_frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_decontamination_with_clashing_columns(spark):
+    """Either table may have columns named as those that are made on the way."""
+    names = ["h", "g", "v", "fp", "near", "place", "from", "salt", "start", "length", "n_words", "text_hash", "id"]
+    items, docs = [(1, prose(51, 12)), (2, "solo"), (None, None)], ODD + [(20, f"x {prose(51, 12)} solo"), (None, prose(51, 12))]
+    bench, frame = spark.createDataFrame(items, "item_id long, text string"), H.docs_frame(spark, docs)
+    clash = lambda df, *more: df.select("*", *(F.lit(7).alias(c) for c in (*names, *more) if c not in df.columns))
+    for most in (200_000, 0):
+        got = sorted(map(str, decontaminate(clash(frame, "item_id", "m"), clash(bench, "doc_id"), broadcast_rows=most).collect()))
+        assert got == sorted(map(str, decontaminate(frame, bench).collect())) and sum("contaminated=True" in x for x in got) == 2
+
+
 # --- 6: secrets -----------------------------------------------------------------------------------------------
 
 HEX = "0123456789abcdef" * 2
@@ -375,6 +386,14 @@ def test_main_text(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_with_clashing_columns(spark):
+    pages = [(i, f"u{i}", PAGE.format(i=i, w=prose(i, 20), v=prose(i + 99, 25)), "t", 1, 2, "b") for i in range(12)] + [(None, None, None, None, None, None, None)] * 2
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string, n_chars int, h int, blocks string")
+    plain = frame.select("page_id", "url", "html")
+    got, want = (sorted(map(str, html_extract.extract_main_text(x).collect())) for x in (frame, plain))
+    assert got == want and len(got) == len(pages)
+
+
 def test_blocks():
     got = html_extract.blocks("a<br>b <!-- x --> c<p>d<p>e<div>f <i>g</i><ul><li>h<li>i</ul>j</div><script>k</script>l &nbsp; m <")
     assert [b.text for b in got] == ["a b c", "d", "e", "f g", "h", "i", "j", "l m <"]
