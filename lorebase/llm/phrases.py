@@ -115,11 +115,13 @@ def _counted(run: Run, before: np.ndarray | None, now: np.ndarray | None, longes
     if before is None:
         yield 1, first, n
     hashes = run.h[first]
+    reached = np.full(len(first), before is not None)  # of each distinct phrase: whether the passes before counted it
     starts = np.arange(len(run.h))  # first words of all phrases of k words that may matter
     for k in range(2, longest + 1):
         # Both parts of one word less must be proposed: that from here on, and that from the next word on.
         new = _holds(now, hashes) if now is not None else np.ones(len(hashes), bool)
-        old = _holds(before, hashes) if before is not None else np.zeros(len(hashes), bool)
+        # A false hit alone is no proof of a count: a pass reaches a phrase only by shorter ones that it has counted.
+        old = reached & _holds(before, hashes) if before is not None else reached
         ahead = np.full(len(run.h) + 1, -1)
         ahead[starts] = number
         starts = starts[(starts + k <= len(run.h))]
@@ -129,8 +131,8 @@ def _counted(run: Run, before: np.ndarray | None, now: np.ndarray | None, longes
         ok = (b >= 0) & new[a] & new[b]
         starts, a, b = starts[ok], a[ok], b[ok]
         first, number, n = _distinct(a * len(hashes) + b)
-        counted = ~(old[a[first]] & old[b[first]])
-        yield k, starts[first[counted]], n[counted]
+        reached = old[a[first]] & old[b[first]]
+        yield k, starts[first[~reached]], n[~reached]
         hashes = _pair(hashes[a[first]], run.h[starts[first] + k - 1])
 
 

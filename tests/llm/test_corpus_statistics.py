@@ -133,6 +133,15 @@ def test_collocations_equal_brute_force(spark, fraction, bits, support):
     assert got == collocated(docs, support) and {x[0] for x in got} >= {"en", "de", "fr", "und"}
 
 
+def test_false_hits_lose_no_phrase(spark):
+    """A half-full bitmap admits pairs whose words the sample didn't propose; no pass before has counted what is built on them."""
+    r = random.Random(5)
+    threes = [" ".join(f"u{r.randrange(400)}" for _ in range(3)) for _ in range(400)]
+    docs = [(r.choice(["en", "de"]), ". ".join(r.choice(threes) for _ in range(4))) for _ in range(2500)]
+    got = sorted(tuple(x) for x in phrases.collocations(lang_frame(spark, docs).repartition(7), fraction=0.05, bits=12).collect())
+    assert got == collocated(docs, 10)
+
+
 def test_collocations_cut_and_empty(spark):
     docs = mined()
     frame = lang_frame(spark, docs)
