@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.cluster import shared_path, ship
-from .stateful import cited_in, open_tail
+from .stateful import guard_token, ranged
 
 
 def write_batch(path: str):
@@ -45,33 +45,41 @@ def tumbling_counts(events: DataFrame, key: str, ts: str, width: str) -> DataFra
 GUARD_OUT = "answer_id long, seq long, name string, text string"
 
 
-def guard_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def guard_range(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Tokens pass until a closed bracket cites an id that isn't allowed; then one `invalidated`, and nothing more.
 
-    State: the text from the last open bracket on, and whether the guard has tripped.
+    A group is a range of answers. State: of those with an open bracket, or tripped, the
+    text from the last open bracket on, and whether the guard has tripped.
     """
-    tail, tripped = state.get if state.exists else ("", False)
+    tails = dict(zip(*state.get, strict=True)) if state.exists else {}  # None: tripped
+    df = pd.concat([df[["answer_id", "seq", "delta", "allowed"]] for df in frames])  # the range's new tokens, which may come in any order
+    df = df.sort_values(["answer_id", "seq"], kind="stable")
+    ids = [0] * len(df) if pd.isna(key[0]) else df["answer_id"].tolist()  # all null ids are one answer
     rows = []
-    parts = [df[["seq", "delta", "allowed"]] for df in frames]  # one answer's new tokens, which may come in any order
-    df = pd.concat(parts).sort_values("seq")
-    for seq, delta, allowed in zip(df["seq"], df["delta"], df["allowed"], strict=True):
-        if tripped:
-            break
-        tail += delta
-        if cited_in(tail) - {int(x) for x in allowed}:
-            tripped = True
-            rows.append((key[0], seq, "invalidated", ""))
-            break
-        tail = open_tail(tail)
-        rows.append((key[0], seq, "token", delta))
-    state.update(("" if tripped else tail, tripped))
-    yield pd.DataFrame(rows, columns=["answer_id", "seq", "name", "text"])
+    for answer, seq, delta, allowed in zip(ids, df["seq"].tolist(), df["delta"].tolist(), df["allowed"].tolist(), strict=True):
+        tail = tails.get(answer, "")
+        if tail is None:
+            continue
+        tail, bad = guard_token(tail, delta, allowed)
+        if bad or tail:
+            tails[answer] = None if bad else tail
+        else:
+            tails.pop(answer, None)
+        rows.append((answer, seq, "invalidated" if bad else "token", "" if bad else delta))
+    state.update((list(tails), list(tails.values())))
+    out = pd.DataFrame(rows, columns=["answer_id", "seq", "name", "text"])
+    yield out.assign(answer_id=pd.Series([None] * len(out), dtype="Int64")) if pd.isna(key[0]) else out
+
+
+def guard_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The same for the tokens of one answer, which `key` names."""
+    return guard_range((0,), (df.assign(answer_id=key[0]) for df in frames), state)
 
 
 def citation_guard(tokens: DataFrame) -> DataFrame:
-    """Guarded events of a token stream (answer_id, seq, delta, allowed)."""
+    """Guarded events of a token stream (answer_id, seq, delta, allowed). Answers have whole numbers."""
     ship(tokens.sparkSession)
-    return tokens.groupBy("answer_id").applyInPandasWithState(guard_step, GUARD_OUT, "tail string, tripped boolean", "append", GroupStateTimeout.NoTimeout)
+    return ranged(tokens, "answer_id").groupBy("part").applyInPandasWithState(guard_range, GUARD_OUT, "answer array<long>, tail array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def token_stream(answers: DataFrame, width: int = 6) -> DataFrame:

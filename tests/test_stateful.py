@@ -65,3 +65,20 @@ def test_limiter_over_batches(spark, tmp_path):
         n = count[user, ts.hour] = count.get((user, ts.hour), 0) + 1
         want[k] = (n, n <= 3, max(0, 3 - n), 3600 - (ts.minute * 60 + ts.second))
     assert {k: (x["ordinal"], x["allowed"], x["remaining"], x["reset_after"]) for k, x in got.items()} == want
+
+
+def test_many_keys_share_few_groups(spark, tmp_path):
+    """1,000 answers and users make a handful of groups, so that a key costs no call of its own; null ids are one key."""
+    from datetime import datetime
+
+    frame = spark.createDataFrame([(i,) for i in range(1000)], "answer_id long")
+    assert stateful.ranged(frame, "answer_id").select("part").distinct().count() <= 8
+    ids = [*range(1000), None]
+    rows = [(i, k, d, [1]) for i in ids for k, d in enumerate(("a [S", "2] b" if i and i % 3 == 0 else "1] b", " c"))]
+    want = sorted(((i, k, *x) for i in ids for k, x in enumerate([("token", "a [S"), *([("invalidated", "")] if i and i % 3 == 0 else [("token", "1] b"), ("token", " c")])])), key=str)
+    for make in (stateful.guarded, streams.citation_guard):
+        got = run(spark, tmp_path, make, [[x for x in rows if x[1] == k] for k in range(3)], TOKENS, make.__name__)
+        assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == want
+    events = [(i, (i or -1) * 10 + k, datetime(2024, 1, 1, 0, 20 * k)) for i in ids for k in range(4)]
+    got = run(spark, tmp_path, lambda s: stateful.limited(s, 2), [events[::2], events[1::2]], "user_id long, event_id long, ts timestamp", "many")
+    assert sorted((r["ordinal"], r["allowed"]) for r in got.collect()) == sorted([(1, True), (2, True), (3, False), (1, True)] * 1001)
