@@ -79,6 +79,6 @@ def test_many_keys_share_few_groups(spark, tmp_path):
     for make in (stateful.guarded, streams.citation_guard):
         got = run(spark, tmp_path, make, [[x for x in rows if x[1] == k] for k in range(3)], TOKENS, make.__name__)
         assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == want
-    events = [(i, (i or -1) * 10 + k, datetime(2024, 1, 1, 0, 20 * k)) for i in ids for k in range(4)]
+    events = [(i, (i or -1) * 10 + k, datetime(2024, 1, 1, k // 3, 20 * (k % 3))) for i in ids for k in range(4)]
     got = run(spark, tmp_path, lambda s: stateful.limited(s, 2), [events[::2], events[1::2]], "user_id long, event_id long, ts timestamp", "many")
     assert sorted((r["ordinal"], r["allowed"]) for r in got.collect()) == sorted([(1, True), (2, True), (3, False), (1, True)] * 1001)
