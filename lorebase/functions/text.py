@@ -120,7 +120,7 @@ def html_to_text(fragment: Column) -> Column:
     t = decode_references(decode_references(F.regexp_replace(t, "</?[A-Za-z][^>]*>|<[!?][^>]*>", "")))
     t = F.regexp_replace(F.replace(t, F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), "\n{3,}", "\n\n")
-    return F.regexp_replace(F.replace(t, F.lit("[]"), F.lit("")), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.replace(t, F.lit("[]"), F.lit("")), r"^\s+|\s+\z", "")  # `$` would pass over a last U+0085 or U+2028
 
 
 def footnotes(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +44,41 @@ def multi_format_date(v: Views) -> DataFrame:
     return v.table("orders").select("o_orderkey", raw.alias("raw")).withColumn("parsed", T.parse_date(F.col("raw")))
 
 
-def _html_sql(x: str) -> str:
-    x = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), '(?i)<sup(\\s[^>]*|/)?>', '[', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, '(?i)</sup>', ']', 'g'), '(?i)</?(p|div|br|tr|li)(\\s[^>]*|/)?>', chr(10), 'g')"
+def _text_literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: Named references, those whose semicolon may be missing, and what numbers 128 to 159 mean: `T.decode_references`, as SQL.
+_NAMES = ", ".join(f"({_text_literal(k)}, {_text_literal(c)})" for k, c in sorted(json.loads(T._reference_names()).items()))
+_OLD = "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+
+
+def _decoded_sql(source: str, out: str) -> str:
+    """Clauses that decode the references in `t` of table `source` (k, field, t) once, to table `out`. Each distinct reference is worked out once."""
+    return f"""{out}_r AS (SELECT DISTINCT unnest(regexp_extract_all(t, '{T._REFERENCE}')) AS x FROM {source}),
+{out}_n AS (SELECT x, CASE WHEN regexp_matches(x, '^&#[xX]') THEN CAST('0x' || regexp_extract(x, '[0-9a-fA-F]+', 0) AS HUGEINT) WHEN x LIKE '&#%' THEN CAST(regexp_extract(x, '[0-9]+', 0) AS HUGEINT) END AS n, regexp_extract(x, '^&({_OLD})', 1) AS old FROM {out}_r),
+{out}_d AS (SELECT x, CASE WHEN n BETWEEN 128 AND 159 AND c.value IS NOT NULL THEN c.value WHEN n > 0 AND n < 1114112 AND n NOT BETWEEN 55296 AND 57343 THEN chr(CAST(n AS INT)) WHEN n IS NOT NULL THEN chr(65533)
+  ELSE coalesce(w.value, o.value || substr(x, length(old) + 2), x) END AS value FROM {out}_n LEFT JOIN names w ON w.name = x LEFT JOIN names o ON o.name = '&' || old || ';' LEFT JOIN names c ON c.name = '&#' || n || ';'),
+{out}_m AS (SELECT map(coalesce(list(x), []), coalesce(list(value), [])) AS m FROM {out}_d),
+{out} AS (SELECT k, field, array_to_string([z[1] || coalesce(map_extract(m, z[2])[1], '') FOR z IN list_zip(string_split_regex(t, '{T._REFERENCE}'), regexp_extract_all(t, '{T._REFERENCE}'))], '') AS t FROM {source}, {out}_m)"""
+
+
+def _html_sql(source: str, out: str) -> str:
+    """Clauses that turn the markup `t` of table `source` (k, field, t) into text, in table `out`. White space is what Java's patterns take for it."""
+    s = "[\\s\\x0B]"
+    x = f"regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '<[sS][uU][pP]({s}[^>]*|/)?>', '[', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '</[sS][uU][pP]>', ']', 'g'), '(?i)</?(p|div|br|tr|li)({s}[^>]*|/)?>', chr(10), 'g')"
     x = f"regexp_replace({x}, '</?[A-Za-z][^>]*>|<[!?][^>]*>', '', 'g')"
-    for _ in range(2):  # the references that the pages hold
-        for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&raquo;", "»"), ("&laquo;", "«"), ("&times;", "×"), ("&amp;", "&")):
-            x = f"replace({x}, '{name}', '{char}')"
-    x = f"regexp_replace(replace({x}, chr(160), ' '), '[ \\t]+', ' ', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    return f"regexp_replace(replace({x}, '[]', ''), '^\\s+|\\s+$', '', 'g')"
+    y = "regexp_replace(replace(t, chr(160), ' '), '[ \\t]+', ' ', 'g')"
+    y = f"regexp_replace(regexp_replace({y}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    y = f"regexp_replace(replace({y}, '[]', ''), '^{s}+|{s}+$', '', 'g')"
+    return f"""names AS (SELECT * FROM (VALUES {_NAMES}) v(name, value)), {out}_0 AS (SELECT k, field, {x} AS t FROM {source}),
+{_decoded_sql(f"{out}_0", f"{out}_1")},
+{_decoded_sql(f"{out}_1", f"{out}_2")},
+{out} AS (SELECT k, field, {y} AS t FROM {out}_2)"""
 
 
-@query(f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+@query(f"WITH src AS (SELECT page_id AS k, 'html' AS field, html AS t FROM pages), {_html_sql('src', 'plain')} SELECT k AS page_id, t AS text FROM plain")
 def html_to_text(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
@@ -253,10 +278,14 @@ def plausibility(v: Views) -> DataFrame:
     return v.sections.select("id", F.explode(rules).alias("r")).select("id", "r.*")
 
 
-@query(f"""WITH p AS (SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, '[1] ' || CASE WHEN page_id % 6 = 0 THEN '[The whole] Rep. by Act' ELSE html END AS raw FROM pages)
-SELECT page_id % 7 AS act_id, CAST(page_id AS VARCHAR) AS section_no, nullif({_html_sql("title")}, '') AS note, {_html_sql("raw")} AS text, md5(raw) AS raw_md5, page_id % 6 = 0 OR page_id % 11 = 0 AS is_omitted,
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, '[1] ' || CASE WHEN page_id % 6 = 0 THEN '[The whole] Rep. by Act' ELSE html END AS raw FROM pages),
+src AS (SELECT page_id AS k, 'note' AS field, coalesce(title, '') AS t FROM p UNION ALL SELECT page_id, 'body', coalesce(raw, '') FROM p),
+{_html_sql("src", "plain")},
+q AS (SELECT page_id, raw, n.t AS note, b.t AS text, lower(trim(regexp_replace(trim(n.t), '^[\\[\\].]+|[\\[\\].]+$', '', 'g'))) IN ('repealed', 'omitted') OR regexp_matches(regexp_replace(b.t, '{T.LEADING_MARKERS}', ''), '{T.OMITTED_BODY}') AS gone
+  FROM p JOIN plain n ON n.k = page_id AND n.field = 'note' JOIN plain b ON b.k = page_id AND b.field = 'body')
+SELECT page_id % 7 AS act_id, CAST(page_id AS VARCHAR) AS section_no, nullif(note, '') AS note, text, md5(raw) AS raw_md5, page_id % 11 = 0 OR gone AS is_omitted,
 CASE page_id % 3 WHEN 0 THEN '1=Subs. by Act ' || page_id || ';2=plain' WHEN 1 THEN '' ELSE '=One note' END AS footnotes, CASE page_id % 3 WHEN 0 THEN 'Subs. by Act ' || page_id END AS amendment_note,
-CAST(row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) - 1 AS INT) AS order_idx FROM p""")
+CAST(row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) - 1 AS INT) AS order_idx FROM q""")
 def parse_sections(v: Views) -> DataFrame:
     """Pages as raw items, to whole sections."""
     k = F.col("page_id")
