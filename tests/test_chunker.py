@@ -22,3 +22,22 @@ def test_counters_and_ways_agree(spark):
     got = chunking.chunk_report(chunking.chunk_sections(frame.fillna("", ["heading"]), 12)).first()
     assert got["sections"] == 5 and got["split_sections"] == 3 and got["max_tokens"] == 12 and got["chunks"] > 10
     assert chunking.chunk_report(chunking.chunk_sections(frame.limit(0))).first()["chunks"] == 0
+
+
+def test_words_are_counted_once():
+    """Words of a long text without marks are looked at a few times, not once for each chunk that grows by one; headings may run on into the text."""
+    seen = 0
+
+    class Text(str):
+        def split(self, *a):
+            nonlocal seen
+            seen += len(self)
+            return [Text(x) for x in str.split(self, *a)]
+
+    text = Text(" ".join(f"w{i}" for i in range(5000)))
+    got = chunking._chunks(text, chunking._WordCounter("Head: "), 450)
+    assert " ".join(x for _, x, _ in got) == text and all(n == 1 + len(x.split()) for _, x, n in got) and seen < 4 * len(text)
+    for heading in (None, "", "Head", "Head ", " ", "a b"):
+        for x in ("one", "one two three four five six", "(1) a b\n(2) c; d e f g h"):
+            plain = chunking._Counter(heading, lambda t: len(t.split()))
+            assert chunking._chunks(x, chunking._WordCounter(heading), 4) == chunking._chunks(x, plain, 4)
