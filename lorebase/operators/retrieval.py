@@ -130,16 +130,19 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
     return f.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")))
 
 
-def search_hits(fused: DataFrame, sections: DataFrame, statutes: DataFrame, k: int = 10, *, include_omitted: bool = False) -> DataFrame:
+def search_hits(fused: DataFrame, sections: DataFrame, statutes: DataFrame, k: int = 10, *, include_omitted: bool = False, most_asked: int = 500_000) -> DataFrame:
     """(query_id, section_id, citation, rrf, rank, snippet): the first k sections of each question's fused candidates (query_id, id, rrf), omitted ones only with `include_omitted`.
 
     sections: id, statute_id, section_no, text_verbatim, is_omitted; statutes: id, short_title. The cut comes before texts are joined.
     """
+    # The candidates choose the sections before these meet their acts' titles, so that few texts are moved.
+    fused = staged(fused.select("query_id", "id", "rrf"), "fused")
+    few = lambda df: F.broadcast(df) if fused.count() <= most_asked else df
     known = sections.where(F.lit(include_omitted) | ~F.col("is_omitted"))
-    met = fused.select("query_id", "id", "rrf").join(known.select("id"), "id")
-    best = top_k(met, ["query_id"], [F.col("rrf").desc(), F.col("id")], k)
-    named = known.select("id", "statute_id", "section_no", "text_verbatim").join(statutes.select(F.col("id").alias("statute_id"), "short_title"), "statute_id")
-    return best.join(named, "id").select("query_id", F.col("id").alias("section_id"), F.concat("short_title", F.lit(", s. "), "section_no").alias("citation"), "rrf", "rank", snippet(F.col("text_verbatim")).alias("snippet"))
+    met = known.select("id").join(few(fused), "id").select("query_id", "id", "rrf")
+    best = staged(top_k(met, ["query_id"], [F.col("rrf").desc(), F.col("id")], k), "hits")
+    named = known.select("id", "statute_id", "section_no", "text_verbatim").join(few(best.select("id").distinct()), "id", "left_semi").join(statutes.select(F.col("id").alias("statute_id"), "short_title"), "statute_id")
+    return named.join(few(best), "id").select("query_id", F.col("id").alias("section_id"), F.concat("short_title", F.lit(", s. "), "section_no").alias("citation"), "rrf", "rank", snippet(F.col("text_verbatim")).alias("snippet"))
 
 
 def gate(scored: DataFrame, queries: DataFrame, floor: float = FLOOR, top_n: int = TOP_N) -> DataFrame:

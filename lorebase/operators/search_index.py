@@ -24,6 +24,8 @@ POSTINGS = "bucket int, term string, block int, n int, most double, postings arr
 STATS = "documents long, mean double, blocks int, buckets int"
 #: Scores are rounded to six decimals; a bound that is lower by less than this still counts as reached.
 _SLACK = 2e-6
+#: Rows that a search broadcasts at most, and blocks that one task of it scores.
+MOST_BROADCAST, BLOCKS_OF_A_TASK = 500_000, 8
 
 
 def _weight(tf: Column, length: Column, mean: Column) -> Column:
@@ -88,18 +90,32 @@ class SearchIndex:
         df = mine.groupBy("term").agg(F.sum("n").alias("df"))
         return staged(asked.join(df, "term").withColumn("idf", _idf(F.lit(self.documents), F.col("df"))).drop("df"), "known"), mine
 
-    def _scores(self, wanted: DataFrame, mine: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-        """(query_id, id, score, matched) of all documents of `wanted` (query_id, term, idf, block), and of `scope`, that hold a term."""
-        each = wanted.join(mine.select("term", "block", "postings"), ["term", "block"]).select("query_id", "idf", F.explode("postings").alias("p"))
+    def _scores(self, asked: DataFrame, mine: DataFrame, wanted: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
+        """(block, query_id, id, score, matched) of all documents that hold a term of `asked` (query_id, term, idf), in the blocks of `wanted` (query_id, block), and of `scope`.
+
+        Postings are dealt by block, once for all questions, and all terms of a block meet
+        in one task: sums need no shuffle of their own, however many questions share a list.
+        """
+        parts = max(int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.blocks // BLOCKS_OF_A_TASK))
+        lists = mine.select("term", "block", "postings").repartition(parts, "block")
+        each = lists.join(self._small(asked), "term")
+        if wanted is not None:
+            each = each.join(self._small(wanted), ["query_id", "block"])
+        each = each.select("block", "query_id", "idf", F.explode("postings").alias("p"))
         if scope is not None:
-            each = each.join(scope.select(F.col("id").alias("_id")), F.col("p.id") == F.col("_id"), "left_semi")
+            each = each.join(self._small(scope.select(F.col("id").alias("_id"))), F.col("p.id") == F.col("_id"), "left_semi")
         part = F.col("idf") * _weight(F.col("p.tf"), F.col("p.len"), F.lit(float(self.mean)))
-        return each.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+        return each.groupBy("block", "query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        """`df`, kept once, and broadcast if it is short."""
+        kept = staged(df, "side")
+        return F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
 
     def bm25(self, queries: DataFrame) -> DataFrame:
         """(query_id, id, score, matched) of every document that holds a term of the query."""
         asked, mine = self._terms(asked_terms(queries))
-        return self._scores(asked.join(mine.select("term", "block"), "term"), mine)
+        return self._scores(asked, mine).drop("block")
 
     def search(self, queries: DataFrame, k: int = TOP_K, first_blocks: int = 2, scope: DataFrame | None = None) -> DataFrame:
         """(query_id, id, score, matched, rank): each question's k best documents, as `retrieval.sparse_topk` has them. queries: query_id, text.
@@ -109,15 +125,14 @@ class SearchIndex:
         documents of `scope` (id) are found, if it is given; weights stay those of all.
         """
         asked, mine = self._terms(asked_terms(queries))
-        met = asked.join(mine.select("term", "block", "most"), "term")
-        bound = met.groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+        met = mine.select("term", "block", "most").join(self._small(asked), "term")
+        bound = staged(met.groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound")), "bounds")
         best = [F.col("score").desc(), F.col("id")]
-        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))
-        first = bound.withColumn("place", place).where(F.col("place") <= first_blocks).select("query_id", "block")
-        tried = top_k(self._scores(met.join(first, ["query_id", "block"]), mine, scope), ["query_id"], best, k)
+        first = top_k(bound, ["query_id"], [F.col("bound").desc(), F.col("block")], first_blocks).select("query_id", "block")
+        tried = top_k(self._scores(asked, mine, first, scope), ["query_id"], best, k)
         floor = tried.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
-        left = bound.join(floor, "query_id").where(F.col("floor").isNull() | (F.col("bound") + _SLACK >= F.col("floor"))).select("query_id", "block")
-        return top_k(self._scores(met.join(left, ["query_id", "block"]), mine, scope), ["query_id"], best, k)
+        left = bound.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") + _SLACK >= F.col("floor"))).select("query_id", "block")
+        return top_k(self._scores(asked, mine, left, scope), ["query_id"], best, k).drop("block")
 
     def coverage(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """`pairs` (query_id, id, others) with `score`: the share of the question's distinct terms that the document holds. Questions without terms go. No text is read: only the pairs' blocks."""

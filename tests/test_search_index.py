@@ -42,6 +42,15 @@ def test_scope_comes_before_the_cut(spark, tmp_path):
     assert got == {q: sorted(x)[:4] for q, x in want.items()}
 
 
+def test_narrow_scope_is_found_outside_the_first_blocks(spark, tmp_path):
+    """A scope that the most promising blocks don't hold leaves a question without a floor, not without results."""
+    docs, queries = corpus(spark)
+    index = build_index(docs, str(tmp_path / "i"), block_rows=4)
+    scope = docs.where("id % 97 = 1").select("id")
+    want = {(r["query_id"], r["id"]) for r in index.bm25(queries).where("id % 97 = 1").collect()}
+    assert {(r["query_id"], r["id"]) for r in index.search(queries, 10, 1, scope=scope).collect()} == want and want
+
+
 def test_coverage_equals_the_one_over_texts(spark, tmp_path):
     docs, queries = corpus(spark)
     index = build_index(docs, str(tmp_path / "i"), block_rows=16)
