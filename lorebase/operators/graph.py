@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_no, normalise_title
-from ..sources.cluster import staged
+from ..sources.cluster import dealt, staged
 
 #: A section's number; a reference to sections, and one to a chapter or part, as a reader of statutes writes them; the numbers that a range may span.
 _NUMBER = r"[0-9]{1,3}(?:-?[A-Z]{1,2})?"
@@ -97,12 +97,20 @@ def build_links(resolved: DataFrame) -> DataFrame:
     return resolved.where("reason IS NULL").groupBy(F.col("id").alias("from_section_id"), F.col("to_id").alias("to_section_id")).agg(F.max_by("raw", F.struct("pos", "no")).alias("raw_text"))
 
 
-def related(links: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataFrame:
-    """Neighbours of every section in both directions, each once for a direction, with title and number."""
+def related(links: DataFrame, sections: DataFrame, statutes: DataFrame, most_links: int | None = None) -> DataFrame:
+    """Neighbours of every section in both directions, each once for a direction, with title and number.
+
+    Links are made distinct before they are turned round. The sections are hashed, so that
+    the many neighbours need no sort. With `most_links`, what the links number at most, a
+    task has a bounded share of them.
+    """
+    links = links.select("from_section_id", "to_section_id").distinct()
     out = links.select(F.col("from_section_id").alias("id"), F.col("to_section_id").alias("other"), F.lit("outbound").alias("direction"))
     into = links.select(F.col("to_section_id").alias("id"), F.col("from_section_id").alias("other"), F.lit("inbound").alias("direction"))
     s = sections.select(F.col("id").alias("other"), "section_no", "statute_id").join(statutes.select(F.col("id").alias("statute_id"), "short_title"), "statute_id")
-    return out.unionByName(into).dropDuplicates(["id", "other", "direction"]).join(s, "other").select("id", "direction", "other", "short_title", "section_no")
+    each = out.unionByName(into)
+    each = each if most_links is None else dealt(each, 2 * most_links, "other")
+    return each.join(s.hint("shuffle_hash"), "other").select("id", "direction", "other", "short_title", "section_no")
 
 
 def expand_one_hop(kept: DataFrame, links: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import embedding, graph, jobs, store
 from ..sources import archive, manifest
-from ..sources.cluster import shared_path, spread
+from ..sources.cluster import dealt, shared_path, spread
 from ..sources.views import Views
 from .registry import query
 
@@ -298,19 +298,21 @@ JOIN sections s ON s.id = x.other JOIN statutes a ON a.id = s.statute_id"""
 
 @query(_RELATED, "sections", "links")
 def related_sections(v: Views) -> DataFrame:
-    return graph.related(v.links, v.sections, v.statutes)
+    return graph.related(v.links, v.sections, v.statutes, v.most_links)
 
 
 @query(f"""WITH r AS ({_RELATED}) SELECT s.id, a.short_title, s.section_no, count(r.other) AS n_related, coalesce(string_agg(CAST(r.other AS VARCHAR), ',' ORDER BY r.direction, r.other), '') AS related,
 CASE s.id % 3 WHEN 0 THEN '1=Ins. by Act ' || s.id || ';2=plain' WHEN 1 THEN '' ELSE '=One note' END AS footnotes FROM sections s JOIN statutes a ON a.id = s.statute_id LEFT JOIN r ON r.id = s.id GROUP BY 1, 2, 3""", "sections", "links")
 def section_detail(v: Views) -> DataFrame:
-    r = graph.related(v.links, v.sections, v.statutes).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("direction", "other"))).alias("r"))
+    each = graph.related(v.links, v.sections, v.statutes, v.most_links).select("id", "direction", "other")
+    r = dealt(each, 2 * v.most_links, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("direction", "other"))).alias("r"))  # two for a link
+    r = r.select("id", F.size("r").cast("long").alias("n"), F.array_join(F.transform("r", lambda x: x["other"].cast("string")), ",").alias("others"))
     a = v.statutes.select(F.col("id").alias("statute_id"), "short_title")
     k = F.col("id")
     raw = F.when(k % 3 == 0, F.concat(F.lit("[1]. Ins. by Act "), k.cast("string"), F.lit("\n2. plain"))).when(k % 3 == 1, "").otherwise("One note")
     s = v.sections.select("id", "statute_id", "section_no", T.footnotes(raw).alias("footnotes")).join(a, "statute_id").join(r, "id", "left")
     notes = F.array_join(F.transform("footnotes", lambda n: F.concat_ws("=", n["marker"], n["text"])), ";").alias("footnotes")
-    return s.select("id", "short_title", "section_no", notes, F.coalesce(F.size("r"), F.lit(0)).cast("long").alias("n_related"), F.coalesce(F.array_join(F.transform("r", lambda x: x["other"].cast("string")), ","), F.lit("")).alias("related"))
+    return s.select("id", "short_title", "section_no", notes, F.coalesce("n", F.lit(0)).cast("long").alias("n_related"), F.coalesce("others", F.lit("")).alias("related"))
 
 
 _KEPT = "SELECT item_id AS query_id, item_id * 3 + k AS section_id FROM benchmark, (VALUES (0), (1), (2)) t(k)"

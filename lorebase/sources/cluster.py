@@ -68,6 +68,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, share: int = 250_000) -> DataFrame:
+    """`df` by its `keys`, about `share` of its `rows` to a partition, but as many partitions as tasks can run at least.
+
+    The number is given, so that adaptive execution puts none together: it goes by bytes as
+    compressed for a shuffle, of which narrow rows have few and in a sort or a hash table many.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // share)), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once for each application, so that Python tasks can import it."""
     sc = spark.sparkContext

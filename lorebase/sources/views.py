@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import dealt
+
 #: View: the views that it needs, and its SQL.
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "statutes": ((), """SELECT CAST(row_number() OVER (ORDER BY slug) AS BIGINT) AS id, slug, 'Code ' || chr(64 + CAST(row_number() OVER (ORDER BY slug) AS INT)) || ' Act, ' || (1800 + 7 * row_number() OVER (ORDER BY slug)) AS short_title,
@@ -61,6 +63,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def most_links(self) -> int:
+        """Links before equal ones are put together."""
+        return self.table("lineitem").count()
+
     @cached_property
     def statutes(self) -> DataFrame:
         from pyspark.sql import Window as W
@@ -86,7 +93,8 @@ class Views:
     def links(self) -> DataFrame:
         n = self.table("documents").count()
         a, b = F.col("l_orderkey") % n, F.col("l_partkey") % n
-        return self.table("lineitem").select(a.alias("from_section_id"), b.alias("to_section_id")).where("from_section_id <> to_section_id").distinct()
+        pairs = self.table("lineitem").select(a.alias("from_section_id"), b.alias("to_section_id")).where("from_section_id <> to_section_id")
+        return dealt(pairs, self.most_links, "from_section_id", "to_section_id").distinct()
 
     @cached_property
     def refs_text(self) -> DataFrame:
