@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.cluster import dealt
+
 KS = (1, 3, 6, 10, 20)
 
 
+def _ranked(scored: DataFrame) -> DataFrame:
+    """(case_id, section_id, best, rank). Chunks go by score, then section: so a section's first chunk is its best, and sections go by these."""
+    best = dealt(scored, scored.count(), "case_id").groupBy("case_id", "section_id").agg(F.max("score").alias("best"))
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy(F.col("best").desc(), "section_id")))
+
+
 def section_ranks(scored: DataFrame) -> DataFrame:
     """(case_id, section_id, rank): distinct sections in order of their first chunk. scored: case_id, section_id, score, line."""
-    w = W.partitionBy("case_id").orderBy(F.col("score").desc(), "section_id", "line")
-    first = scored.withColumn("r", F.row_number().over(w)).groupBy("case_id", "section_id").agg(F.min("r").alias("r"))
-    return first.select("case_id", "section_id", F.row_number().over(W.partitionBy("case_id").orderBy("r")).alias("rank"))
+    return _ranked(scored).select("case_id", "section_id", "rank")
 
 
 def outcomes(cases: DataFrame, scored: DataFrame) -> DataFrame:
     """Each case with top_score (best chunk) and first_correct (rank of the expected section, null if absent)."""
-    hit = section_ranks(scored).join(cases.select(F.col("id").alias("case_id"), F.col("expected_id").alias("section_id")), ["case_id", "section_id"]).groupBy("case_id").agg(F.min("rank").alias("first_correct"))
-    top = scored.groupBy("case_id").agg(F.max("score").alias("top_score"))
-    return cases.join(top, cases.id == top.case_id, "left").drop("case_id").join(hit, F.col("id") == hit.case_id, "left").drop("case_id")
+    asked = cases.select(F.col("id").alias("case_id"), "expected_id")
+    each = _ranked(scored).join(asked, "case_id").groupBy("case_id")
+    met = each.agg(F.max("best").alias("top_score"), F.min(F.when(F.col("section_id") == F.col("expected_id"), F.col("rank"))).alias("first_correct"))
+    return cases.join(met, cases.id == met.case_id, "left").drop("case_id")
 
 
 def recall_at(out: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ class Views:
     @cached_property
     def cases(self) -> DataFrame:
         c = F.col("case_id")
-        return self.scored.select("case_id").distinct().select(c.alias("id"), (c % 4 == 3).alias("must_abstain"), F.concat(F.lit("topic"), (c % 7).cast("string")).alias("topic"), (c % 40).alias("expected_id"), (50 + c % 977).alias("latency_ms"))
+        return dealt(self.scored.select("case_id"), self.scored.count(), "case_id").distinct().select(c.alias("id"), (c % 4 == 3).alias("must_abstain"), F.concat(F.lit("topic"), (c % 7).cast("string")).alias("topic"), (c % 40).alias("expected_id"), (50 + c % 977).alias("latency_ms"))
 
     @cached_property
     def answers(self) -> DataFrame:

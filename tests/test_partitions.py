@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lorebase.operators import graph
+from lorebase.operators import evaluation, graph
 from lorebase.sources.cluster import dealt
 
 
@@ -27,3 +27,23 @@ def test_neighbours_of_a_task_are_bounded(spark):
     assert many.rdd.getNumPartitions() == 6  # of 250,000 neighbours each
     assert many.count() == few.count() == links.where("to_section_id < 990").distinct().count() + links.where("from_section_id < 990").distinct().count()
     assert many.exceptAll(few).count() == 0
+
+
+def test_ranked_sections_of_a_task_are_bounded(spark):
+    c = F.col("id")
+    scored = spark.range(1_500_000).select((c % 300_000).alias("case_id"), F.expr("CAST(id / 300000 AS INT) * 7 % 3").alias("section_id"), (c % 11 / 2).alias("score"), c.cast("int").alias("line"))
+    got = evaluation.section_ranks(scored)
+    assert got.rdd.getNumPartitions() == 6 and most_in_a_task(got) < 250_000
+    cases = spark.range(300_010).select("id", (c % 4).alias("expected_id"))
+    out = evaluation.outcomes(cases, scored)
+    assert out.count() == 300_010 and out.where("top_score IS NULL").count() == 10
+
+
+def test_outcomes_of_odd_scores(spark):
+    rows = [(1, 5, 0.5, 2), (1, 4, 0.5, 1), (1, 4, 0.9, 3), (1, 6, 0.9, 1), (1, 7, None, 1), (1, 3, float("nan"), 9), (2, 1, None, 1), (3, 1, 0.0, 1), (3, 0, -0.0, 2)]
+    scored = spark.createDataFrame(rows, "case_id long, section_id long, score double, line int")
+    ranks = {(r["case_id"], r["section_id"]): r["rank"] for r in evaluation.section_ranks(scored).collect()}
+    assert ranks == {(1, 3): 1, (1, 4): 2, (1, 6): 3, (1, 5): 4, (1, 7): 5, (2, 1): 1, (3, 0): 1, (3, 1): 2}
+    cases = spark.createDataFrame([(1, 7), (2, 9), (3, 1), (4, 1)], "id long, expected_id long")
+    out = {r["id"]: (r["top_score"], r["first_correct"]) for r in evaluation.outcomes(cases, scored).where("id > 1").collect()}
+    assert out == {2: (None, None), 3: (0.0, 2), 4: (None, None)}
