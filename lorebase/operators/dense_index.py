@@ -16,10 +16,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.cluster import ship
+from ..sources.cluster import ship, staged
 from .retrieval import TOP_K, dense_topk, top_k
 
 _PAIRS = "query_id long, id long, score double"
+#: Rows that a Python worker holds against all centroids at once.
+_ROWS = 1024
+
+
+def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Few rows at a time, with their vectors of length one."""
+    for df in frames:
+        for at in range(0, len(df), _ROWS):
+            part = df.iloc[at : at + _ROWS]
+            yield part, _unit(np.vstack(part["vector"].to_numpy()))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -47,8 +57,8 @@ def build_dense_index(vectors: DataFrame, path: str, *, lists: int | None = None
     """Writes the index of `vectors` (id, vector) to `path` and opens it. All vectors have one length; null ones are left out.
 
     By default there are about as many lists as the root of the rows, at most `most_lists`,
-    so that what tasks get of centroids is bounded. Lists are written in blocks of about
-    `block_rows` rows, so that a long one is no single row.
+    so that what tasks get of centroids is bounded. Every list is written in blocks of
+    about `block_rows` rows by its own length, so that a long one is no single row.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -58,15 +68,13 @@ def build_dense_index(vectors: DataFrame, path: str, *, lists: int | None = None
     spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(c)], "list int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            if len(df):
-                x = np.vstack(df["vector"].to_numpy())
-                yield df.assign(list=np.argmax(_unit(x) @ c.T, axis=1).astype(np.int32))
-
-    placed = whole.mapInPandas(assign, "id long, vector array<double>, list int")
-    sizes = max(1, len(c))
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // (sizes * block_rows)) * 2))).cast("int")
-    rows = placed.groupBy("list", block.alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias("x"))
+        for part, x in _parts(frames):
+            yield part.assign(list=np.argmax(x @ c.T, axis=1).astype(np.int32))
+
+    placed = staged(whole.mapInPandas(assign, "id long, vector array<double>, list int"), "placed")
+    sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))  # a row for each list
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = placed.join(F.broadcast(sizes), "list").groupBy("list", block.alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias("x"))
     rows = rows.select("list", F.transform("x", lambda y: y["id"]).alias("ids"), F.flatten(F.transform("x", lambda y: y["vector"])).alias("vectors"))
     rows.write.partitionBy("list").parquet(f"{path}/lists")
     return open_dense_index(spark, path)
@@ -87,12 +95,12 @@ class DenseIndex:
         probes = min(probes, len(c))
 
         def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for df in frames:
-                if len(df) and probes:
-                    near = np.argsort(-(_unit(np.vstack(df["vector"].to_numpy())) @ c.T), axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"id": np.repeat(df["id"].to_numpy(), probes), "vector": np.repeat(df["vector"].to_numpy(), probes), "list": near.ravel().astype(np.int32)})
+            for part, x in _parts(frames if probes else iter(())):
+                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes]
+                yield part.assign(lists=list(near.astype(np.int32)))
 
-        asked = queries.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInPandas(nearest, "id long, vector array<double>, list int")
+        # Python gives a row for each query; the copies of its vector, one for each list, are made outside of it.
+        asked = queries.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInPandas(nearest, "id long, vector array<double>, lists array<int>").select("id", "vector", F.explode("lists").alias("list"))
         parts = max(1, -(-queries.count() // query_block))
         asked = asked.groupBy("list", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "vector")).alias("x"))
         asked = asked.select("list", F.transform("x", lambda y: y["id"]).alias("q_ids"), F.flatten(F.transform("x", lambda y: y["vector"])).alias("q"))

@@ -47,3 +47,14 @@ def test_little_and_equal_rows(spark, tmp_path):
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(50)] + [(99, [0.0, 0.0])], schema)
     got = dense_index.build_dense_index(same, str(tmp_path / "same"), block_rows=8).search(q, 3)
     assert [(r["id"], r["rank"]) for r in got.orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_long_lists_have_more_blocks_and_many_probes_few_rows(spark, tmp_path):
+    rows = [(i, [1.0, 0.0] if i % 10 else [-1.0, 0.01 * i]) for i in range(2000)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = dense_index.build_dense_index(v, str(tmp_path / "i"), lists=8, sample_rows=300, block_rows=50)
+    assert index.blocks.selectExpr("max(size(ids))").first()[0] < 100  # nine tenths are in one list
+    q = v.where("id % 50 < 2")
+    got = index.search(q, 5, probes=8)
+    rows_of = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()))
+    assert rows_of(got) == rows_of(retrieval.dense_topk(v, q, 5))
