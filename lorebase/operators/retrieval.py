@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem
 from ..functions.text import index_terms, snippet
-from ..sources.cluster import ship, staged
+from ..sources.cluster import dealt, ship, staged
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -53,23 +53,27 @@ def bm25(docs: DataFrame, queries: DataFrame, most_asked: int = 500_000) -> Data
     Terms are stems. Stop words are neither indexed nor asked for: a question of nothing
     else matches nothing. Stems are worked out for distinct words only, and only the
     documents' occurrences of asked ones are counted and shuffled. Up to `most_asked`
-    question terms and forms of theirs are broadcast; more are joined by shuffles.
+    question terms and forms of theirs are broadcast; more are joined by shuffles. A task
+    has so few documents that their sums, one for each question, have bounded memory.
     """
     asked = asked_terms(queries)
     d = docs.select("id", index_terms(F.col("text")).alias("t"))
+    # At most as many sums as documents times questions; a document has some hundred asked terms, however few the questions.
+    sums = docs.count() * max(queries.count(), 100)
     size = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
     forms = staged(_forms(d.select(F.explode("t").alias("word")), asked), "forms")  # counted here, used below
     small = max(asked.count(), forms.count()) <= most_asked
     hint = F.broadcast if small else (lambda x: x)
     occ = d.select("id", F.size("t").alias("len"), F.explode("t").alias("word")).join(hint(forms), "word")
     # One shuffle by document serves the counts, the join with the questions and their sums.
-    tf = occ.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    tf = dealt(occ, sums, "id", share=1_000_000).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     w = df.crossJoin(F.broadcast(size))  # `size` is one row
     w = w.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     weighed = tf.join(hint(w), "term").select("id", "term", part.alias("part"))
-    return weighed.join(hint(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("matched"))
+    met = weighed.join(hint(asked), "term")
+    return (met if small else dealt(met, sums, "query_id", "id", share=1_000_000)).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("matched"))
 
 
 def coverage(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:

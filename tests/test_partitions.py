@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lorebase.operators import evaluation, graph
+from lorebase.operators import evaluation, graph, retrieval
 from lorebase.sources.cluster import dealt
 
 
@@ -17,6 +17,16 @@ def test_dealt_keeps_its_partitions(spark):
     assert dealt(rows, 1, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_bm25_sums_of_a_task_are_bounded(spark):
+    word = lambda n: F.concat(F.lit("w"), (F.col("id") % n).cast("string"))
+    docs = spark.range(4000).select("id", word(40).alias("text"))
+    asked = spark.range(2500).select(F.col("id").alias("query_id"), word(50).alias("text"))
+    got = retrieval.bm25(docs, asked)
+    assert got.count() == 4000 * 50  # of 2500 questions, 50 ask for each word
+    assert got.rdd.getNumPartitions() == 10  # of a million possible sums each
+    assert retrieval.bm25(docs, asked, most_asked=10).rdd.getNumPartitions() == 10
+
+
 def test_neighbours_of_a_task_are_bounded(spark):
     n = 700_000
     links = spark.range(n).select((F.col("id") % 1000).alias("from_section_id"), (F.col("id") % 997).alias("to_section_id"))
